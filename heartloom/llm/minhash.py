@@ -7,7 +7,7 @@ under a key. Pairs that meet are confirmed on their full shingle sets; no pair i
 
 A bucket may hold a large part of all rows, so pairs within a bucket are never all emitted. Equal sets are first one
 node. Star rounds then link each node with a few hubs of its buckets, links are contracted to components, and only
-pairs of a bucket that still lie in different components are compared.
+nodes of buckets that still hold different components go on, to an exact prefix-filtered join on rare shingles.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def sign(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
 
 
 def keys(nodes: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """(key, node, n) for every chunk and every choice of components left out of it."""
+    """(key, node) for every chunk and every choice of components left out of it."""
     left = [np.array(x) for x in combinations(range(p.width), p.width - p.errors)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +107,10 @@ def keys(nodes: DataFrame, p: NearParams = NearParams()) -> DataFrame:
                         h = mix(h * np.uint64(0xD6E8FEB86659FD93) + sigs[:, c, i])
                     out.append(h)
             each = len(out)
-            node, n = (np.tile(batch.column(x).to_numpy(), each) for x in ("node", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(node), pa.array(n)], ["key", "node", "n"])
+            node = np.tile(batch.column("node").to_numpy(), each)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(node)], ["key", "node"])
 
-    return nodes.select("node", "n", "sig").mapInArrow(run, "key long, node long, n long")
+    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
 
 def _distance(a: str, b: str, size: int) -> F.Column:
@@ -163,11 +163,7 @@ def near_groups(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     signed = cut(sign(docs, p))
     classes = signed.filter("sig is not null and doc_id is not null").groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig"))
     nodes = cut(classes.withColumnRenamed("n_shingles", "n"))
-    entries = keys(nodes, p)
-    hubs = entries.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    met = cut(entries.join(hubs, "key"))
-
-    size = lambda x, y: f"100 * least({x}, {y}) >= {p.percent} * greatest({x}, {y})"
+    met = _buckets(nodes, p)
     order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     links, label = None, None
     for turn in range(p.stars):
@@ -183,10 +179,9 @@ def near_groups(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
         links = cut(found if links is None else links.unionAll(found))
         label = cut(components(links))
     apart = cut(_apart(met, label))
-    marked = _labelled(met.join(apart.select("key").distinct(), "key", "left_semi"), label, "node", "comp")
-    cross = apart.select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")).join(marked, "key").filter("comp <> cx and " + size("n", "nx"))
-    pairs = order(cross.select(F.col("x").alias("a"), F.col("node").alias("b")))
-    links = cut(links.unionAll(confirm(_near(pairs, nodes, p).select("a", "b"), docs, p)))
+    left = met.join(apart.select("key").distinct(), "key", "left_semi").select("node").distinct()
+    pairs = _prefix_pairs(_labelled(left, label, "node", "comp"), docs, p)
+    links = cut(links.unionAll(confirm(order(pairs), docs, p)))
     label = components(links)
 
     members = nodes.select("hi", "lo", F.col("n").alias("n_shingles"), "node").join(label, "node", "left")
@@ -196,6 +191,51 @@ def near_groups(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
+def _buckets(nodes: DataFrame, p: NearParams) -> DataFrame:
+    """(key, node, hub) of keys with two nodes or more; a bucket's hub is its node that meets most others over all keys.
+
+    Copies with changes of their own lie closer to their common original than to each other, and the original meets
+    most of them, so hubs link a group in few comparisons.
+    """
+    entries = keys(nodes, p)
+    shared = cut(entries.join(entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key"))
+    degree = shared.groupBy("node").agg(F.sum("c").alias("degree"))
+    hubs = shared.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("hub"))
+    return cut(shared.drop("c").join(hubs, "key"))
+
+
+def _prefix_pairs(nodes: DataFrame, docs: DataFrame, p: NearParams) -> DataFrame:
+    """Pairs (a, b) of nodes (node, comp) in different components that can reach the similarity.
+
+    Every pair of these nodes that reaches it is among them, so hot buckets lose nothing, and pairs that cannot reach
+    it are not made. Shingles are ordered from rare to common; if sets of sizes n <= m reach a similarity t, they
+    share a shingle among the first n - ceil(2t / (1 + t) n) + 1 of one and m - ceil(t m) + 1 of the other, at
+    positions that leave room for the rest of the overlap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, comp, text in zip(batch.column("node"), batch.column("comp"), _texts(batch, "text"), strict=True):
+                items = shingles(text, p.words)
+                if len(items):
+                    row = [np.full(len(items), x, np.int64) for x in (node.as_py(), comp.as_py(), int(mix(items + np.uint64(11)).sum(dtype=np.uint64).view(np.int64)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*row, items.view(np.int64))], ["node", "comp", "sid", "item"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    items = texts.join(small(cut(nodes)), "node").select("node", "comp", "text").mapInArrow(run, "node long, comp long, sid long, item long")
+    items = cut(items)
+    ranked = items.join(items.groupBy("item").agg(F.count("*").alias("f")), "item")
+    sets = ranked.groupBy("node", "comp", "sid").agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("x"))
+    t = p.percent / 100
+    sets = sets.withColumn("n", F.size("x")).withColumn("short", F.col("n") - F.ceil(F.lit(2 * t / (1 + t)) * F.col("n") - 1e-9) + 1)
+    heads = sets.select("node", "comp", "n", "short", F.posexplode(F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).cast("int"))).alias("i", "e"))
+    heads = cut(heads.select("node", "comp", "n", "i", "short", F.col("e.item").alias("item")).filter("e.f > 1"))
+    a, b = heads.filter("i < short").alias("a"), heads.alias("b")
+    room = f"{100 + p.percent} * least(a.n - a.i, b.n - b.i) >= {p.percent} * (a.n + b.n)"
+    near = f"a.item = b.item and a.comp <> b.comp and a.n <= b.n and 100 * a.n >= {p.percent} * b.n and {room}"
+    return a.join(b, F.expr(near)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def _labelled(df: DataFrame, label: DataFrame, node: str, name: str) -> DataFrame:
     named = label.select(F.col("node").alias(node), F.col("component").alias(name))
     return df.join(named, node, "left").withColumn(name, F.coalesce(name, node))
