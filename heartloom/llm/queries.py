@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heartloom.llm import minhash
+from heartloom.llm import minhash, packing, quality_gam, quality_rules
 from heartloom.llm.common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_gam.classify(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_minhash_near_dedup": op6_minhash_near_dedup}
+    return {f.__name__: f for f in (op2_quality_rules, op5_quality_classifier, op6_minhash_near_dedup, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": minhash.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op6_minhash_near_dedup": minhash.ORACLE}
