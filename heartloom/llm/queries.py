@@ -6,14 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heartloom.llm import minhash, packing, quality_gam, quality_rules
+from heartloom.llm import byte_bpe, html_text, license_scan, matroska, minhash, packing, pii, quality_gam, quality_rules, url_rules
 from heartloom.llm.common import table
 
 
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_gam.classify(docs, quality_gam.train(docs, table(spark, sf_dir, "labels")))
@@ -23,12 +35,25 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_quality_classifier, op6_minhash_near_dedup, op9_packing)}
+    ops = (op1_pii_surrogates, op2_quality_rules, op3_license_scan, op4_byte_bpe, op5_quality_classifier, op6_minhash_near_dedup, op7_matroska, op8_html_text, op9_packing, op10_url_rules)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
