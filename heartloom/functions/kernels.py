@@ -6,10 +6,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from heartloom.functions import dsp
 
-RATE = "rppg_hr_bpm double, spectral_peak_fraction double, spectral_entropy double, rppg_signal_std double"
+
+
+def _doubles(*names: str) -> StructType:
+    return StructType([StructField(n, DoubleType()) for n in names])
+
+
+RATE = _doubles("rppg_hr_bpm", "spectral_peak_fraction", "spectral_entropy", "rppg_signal_std")
+CONTACT = _doubles("time_hr_bpm", "frequency_hr_bpm")
 _NONE = (None,) * 4
 
 
@@ -26,7 +34,7 @@ def _udf(method: str):  # noqa: ANN202
             _estimate(np.asarray(x[2], float), np.column_stack([np.asarray(c, float) for c in x[3:]]), x[1], method) if x[0] == "ok" else _NONE
             for x in zip(status, fs, t, r, g, b, strict=True)
         ]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in RATE.split(", ")], dtype=float)
+        return pd.DataFrame(rows, columns=RATE.names, dtype=float)
 
     return rate
 
@@ -34,10 +42,10 @@ def _udf(method: str):  # noqa: ANN202
 pos_rate, chrom_rate = _udf("POS"), _udf("CHROM")
 
 
-@pandas_udf("time_hr_bpm double, frequency_hr_bpm double")
+@pandas_udf(CONTACT)
 def contact_rate(t: pd.Series, ppg: pd.Series) -> pd.DataFrame:
     rows = [dsp.contact_rate(np.asarray(a, float), np.asarray(b, float)) if a is not None else (None, None) for a, b in zip(t, ppg, strict=True)]
-    return pd.DataFrame(rows, columns=["time_hr_bpm", "frequency_hr_bpm"], dtype=float)
+    return pd.DataFrame(rows, columns=CONTACT.names, dtype=float)
 
 
 def register(spark: SparkSession) -> None:
