@@ -54,7 +54,7 @@ def condition_traces(windows: DataFrame, original: DataFrame, shifted: DataFrame
     The original's shift is 0 and its retention 1 in every frame, with or without a face. shifted has a condition
     column and its own frames.
     """
-    plain = original.withColumns({"roi_shift_fraction": F.lit(0.0), "roi_shift_x_px": F.lit(0.0), "roi_shift_y_px": F.lit(0.0), "retention_ratio": F.lit(1.0)})
+    plain = original.drop("sel_seq").withColumns({"roi_shift_fraction": F.lit(0.0), "roi_shift_x_px": F.lit(0.0), "roi_shift_y_px": F.lit(0.0), "retention_ratio": F.lit(1.0)})
     order = F.col("frame_idx").cast("bigint")
     out = plain.withColumn("condition", F.lit("original")).withColumn("sel_seq", order)
     once = plain.select("subject", "frame_idx", "time_sec").distinct()

@@ -53,7 +53,8 @@ def effective_rate(n: Column, first: Column, last: Column) -> Column:
 def coverage(n: Column, rate: Column, length: Column) -> Column:
     """Frames against those expected at the rate, at most 1; 0 without a rate. Expected counts round half to even."""
     expected = F.bround(length * rate, 0)
-    return F.coalesce(F.least(F.lit(1.0), ratio(n, F.when(expected > 0, expected))), F.lit(0.0))
+    share = ratio(n, F.when(expected > 0, expected))
+    return F.when(share > 1.0, 1.0).otherwise(F.coalesce(share, F.lit(0.0)))
 
 
 def status(cover: Column, valid_fraction: Column, gap: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _path(spark: SparkSession, path: str):  # noqa: ANN202
+def path_of(spark: SparkSession, path: str):  # noqa: ANN202
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -17,7 +17,7 @@ def _path(spark: SparkSession, path: str):  # noqa: ANN202
 
 def require_empty(spark: SparkSession, path: str) -> None:
     """The folder doesn't exist or has nothing in it."""
-    p, fs = _path(spark, path)
+    p, fs = path_of(spark, path)
     if fs.exists(p) and len(fs.listStatus(p)):
         raise FileExistsError(f"output folder is not empty: {path}")
 
@@ -33,7 +33,7 @@ def write_table(df: DataFrame, path: str, *partition: str) -> None:
 
 
 def write_json(spark: SparkSession, path: str, value: dict[str, Any]) -> None:
-    p, fs = _path(spark, path)
+    p, fs = path_of(spark, path)
     out = fs.create(p, True)
     out.write(bytearray(json.dumps(value, indent=2, sort_keys=True, default=str).encode()))
     out.close()

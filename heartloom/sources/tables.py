@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from heartloom.missing import require_none
 from heartloom.schemas import CANDIDATES, REFERENCE_WINDOWS, ROI_COLUMNS, ROIS, WIDE_TRACE
+from heartloom.sources.sinks import path_of
 
 
 def discover_subjects(spark: SparkSession, root: str) -> DataFrame:
     """(subject, subject_no, video_path, ground_truth_path) of folders subject<digits> that hold both files, by number.
 
-    Only paths are listed; no file is read. Two folders of one number break the contract.
+    Only names are listed, by the session's file system; no file is read, and empty files count. Two folders of one
+    number break the contract.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    folder, fs = path_of(spark, root)
+    listed = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*/*")) or []
+    files = spark.createDataFrame([(x.getPath().toString(),) for x in listed], "path string")
     found = files.select("path", F.regexp_extract("path", r"/(subject\d+)/[^/]+$", 1).alias("subject"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"))
     found = found.filter("subject <> '' and name in ('vid.avi', 'ground_truth.txt')").groupBy("subject").agg(
         F.max(F.when(F.col("name") == "vid.avi", F.col("path"))).alias("video_path"), F.max(F.when(F.col("name") == "ground_truth.txt", F.col("path"))).alias("ground_truth_path")
