@@ -62,7 +62,7 @@ def kind(entity: Column) -> Column:
 
 
 def gender(entity: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^({_TITLE})", 1)
+    title = F.regexp_extract(entity, rf"^({_TITLE})\.? ", 1)
     return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
 
 

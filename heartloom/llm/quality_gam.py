@@ -142,6 +142,21 @@ def _tree(g: np.ndarray, h: np.ndarray, leaves: int) -> np.ndarray:
     return out
 
 
+def _quarters(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The values of a tree that splits a grid once by row and once by column, at the places of most gain."""
+    if min(g.shape) < 2:
+        return np.full_like(g, g.sum() / (h.sum() + 1.0))
+    cg, ch = (a.cumsum(0).cumsum(1) for a in (g, h))
+    part = lambda a: (a[:-1, :-1], a[:-1, -1:] - a[:-1, :-1], a[-1:, :-1] - a[:-1, :-1], a[-1, -1] - a[:-1, -1:] - a[-1:, :-1] + a[:-1, :-1])
+    gains = sum(x**2 / (y + 1.0) for x, y in zip(part(cg), part(ch), strict=True))
+    r, k = np.unravel_index(int(np.argmax(gains)), gains.shape)
+    out = np.zeros_like(g)
+    for rows in (slice(0, r + 1), slice(r + 1, None)):
+        for cols in (slice(0, k + 1), slice(k + 1, None)):
+            out[rows, cols] = g[rows, cols].sum() / (h[rows, cols].sum() + 1.0)
+    return out
+
+
 def fit(x: np.ndarray, y: np.ndarray, p: GamParams = GamParams()) -> Gam:
     """Fit by Newton boosting of the log-loss. Without rows, or with one class only, the score is the prior."""
     n, m = x.shape if len(x) else (0, len(FEATURES))
@@ -177,13 +192,7 @@ def fit(x: np.ndarray, y: np.ndarray, p: GamParams = GamParams()) -> Gam:
             codes = coarse[i] * wide[j] + coarse[j]
             g, h = step(codes, wide[i] * wide[j])
             g, h = g.reshape(wide[i], wide[j]), h.reshape(wide[i], wide[j])
-            rows, cols = _tree(g.sum(1), h.sum(1), 2), _tree(g.sum(0), h.sum(0), 2)
-            cut_rows, cut_cols = rows == rows[0], cols == cols[0]
-            move = np.zeros_like(g)
-            for a in (cut_rows, ~cut_rows):
-                for b in (cut_cols, ~cut_cols):
-                    cell = np.ix_(a, b)
-                    move[cell] = g[cell].sum() / (h[cell].sum() + 1.0)
+            move = _quarters(g, h)
             move *= p.rate
             model.pair_tables[k] = model.pair_tables[k] + move
             z += move[coarse[i], coarse[j]]
