@@ -216,13 +216,8 @@ def clashes(names: DataFrame, key: str) -> DataFrame:
     raise RuntimeError("surrogates still clash; too many entities of one short format")
 
 
-def pseudonymise(docs: DataFrame, key: str = "rotate-me") -> DataFrame:
-    """docs with every detected entity replaced; text and, where there is one, n_chars change, other columns stay.
-
-    Null texts stay null and texts without entities stay as they are. Repeated rows get equal results; a null doc_id is
-    no obstacle; extra columns are kept; an empty table gives an empty table. Replacing twice with one key gives
-    surrogates of surrogates, not the entities.
-    """
+def _rewrite(docs: DataFrame, key: str) -> DataFrame:
+    """docs with a column __new: the replaced text, the number of entities and their types, from one search of a text."""
     text = F.col("text").cast("string")
     found = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__h"), F.explode(entities(text)).alias("e")).select("__id", "__h", F.explode(parts(F.col("e"))).alias("p"))
     again = cut(clashes(found.select("p.type", "p.canon"), key))
@@ -237,17 +232,25 @@ def pseudonymise(docs: DataFrame, key: str = "rotate-me") -> DataFrame:
     def rebuilt(es: Column) -> Column:
         gaps = F.split(text, ANY, -1)
         new = F.transform(es, lambda e: replace(e, key, F.col("__again")))
-        return F.when(F.size(es) == 0, text).otherwise(F.array_join(F.zip_with(gaps, new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""))
+        whole = F.when(F.size(es) == 0, text).otherwise(F.array_join(F.zip_with(gaps, new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""))
+        types = F.array_join(F.array_sort(F.array_distinct(F.transform(es, kind))), ",")
+        return F.struct(whole.alias("text"), F.size(es).cast("long").alias("n"), types.alias("types"))
+
+    return held.withColumn("__new", F.when(text.isNotNull(), let(entities(text), rebuilt)))
 
-    out = let(entities(text), rebuilt)
-    cols = [F.when(text.isNotNull(), out).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    done = held.select(*cols)
+
+def pseudonymise(docs: DataFrame, key: str = "rotate-me") -> DataFrame:
+    """docs with every detected entity replaced; text and, where there is one, n_chars change, other columns stay.
+
+    Null texts stay null and texts without entities stay as they are. Repeated rows get equal results; a null doc_id is
+    no obstacle; extra columns are kept; an empty table gives an empty table. Replacing twice with one key gives
+    surrogates of surrogates, not the entities.
+    """
+    done = _rewrite(docs, key).select(*(F.col("__new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def report(docs: DataFrame, key: str = "rotate-me") -> DataFrame:
     """One row per row of docs: doc_id, n_entities, types (distinct, sorted, comma-joined), and the replaced text."""
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    seen = entities(F.col("text"))
-    held = found.withColumn("n_entities", F.coalesce(F.size(seen), F.lit(0)).cast("long")).withColumn("types", F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(seen, kind))), ","), F.lit("")))
-    return pseudonymise(held, key)
+    done = _rewrite(docs.select("doc_id", F.col("text").cast("string").alias("text")), key)
+    return done.select("doc_id", F.col("__new.text").alias("text"), F.coalesce("__new.n", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("__new.types", F.lit("")).alias("types"))
