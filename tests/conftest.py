@@ -5,6 +5,8 @@ HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (HERE, os.environ.get("PYTHONPATH", "")) if x)
 
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # Spark places the tasks
+
 import pytest  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
