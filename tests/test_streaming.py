@@ -1,0 +1,26 @@
+from pyspark.sql import functions as F
+
+from heartloom.operators import candidates
+from heartloom.schemas import CANDIDATES
+from heartloom.streaming import live
+
+
+def test_stream_equals_batch(spark, tmp_path, same):
+    rows = [("s1", c, w, 0.0, 10.0, 10.0, "forehead", m, 70.0, w % 3 > 0, "ok", 30.0, 300, 1.0, 0.0, 0.1, 0.0, 0.0, 120.0, 1.0, 0.0, 70.0 + w, 0.5, 0.5, 1.0, float(w), float(w), 0.0) for c in ("original", "fps15") for w in range(6) for m in ("POS", "CHROM")]
+    df = spark.createDataFrame(rows, CANDIDATES)
+    df.repartition(3).write.parquet(f"{tmp_path}/in")
+    q = live.live_metrics(live.candidate_stream(spark, f"{tmp_path}/in")).writeStream.outputMode("complete").format("memory").queryName("live").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    same(spark.table("live").toPandas(), candidates.metrics(df).toPandas())
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):
+    rows = spark.range(300).select(F.lit("s1").alias("subject"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 2 == 0).alias("valid"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    q = live.frame_rates(stream).writeStream.outputMode("append").format("memory").queryName("rates").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("rates").collect()
+    assert len(got) == 23 and {r.n_frames for r in got} == {10} and {r.valid_frame_fraction for r in got} == {0.5}
