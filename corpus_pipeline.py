@@ -24,8 +24,8 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near copies."""
-    return minhash.keep_first(docs)
+    """The document of smallest doc_id of each group of near copies by five-word shingles; op6 alone takes two."""
+    return minhash.keep_first(docs, minhash.NearParams(words=5))
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
