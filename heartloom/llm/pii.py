@@ -7,7 +7,9 @@ address its bytes' range, an e-mail its registered domain, a person the title, a
 title's gender.
 
 Two entities could still be given one surrogate, or one that is a real entity of the corpus. All distinct entities are
-therefore checked against each other on Spark, and those that clash are drawn again until none does.
+therefore checked against each other on Spark, and those that clash are drawn again until none does. A form that is too
+short for the entities that have it is widened: a longer local part or name, more digits, a secret of other
+characters.
 """
 
 from __future__ import annotations
@@ -48,7 +50,11 @@ ENDINGS = {"m": (("an", "er", "us", "o"), ("ος", "ης", "ας"), ("ан", "е
 CONSONANTS = ("bdfgklmnprstvz", "βγδκλμνπρσ", "бвдгклмнпрст")
 VOWELS = ("aeiou", "αεηιο", "аеиоу")
 
+HEX = "0123456789abcdef"
+
 ROUNDS = 30
+#: Draws of an entity's own form; beyond them the form of its surrogate is widened, by more with each draw.
+OWN_FORM = 6
 
 
 def kind(entity: Column) -> Column:
@@ -127,6 +133,11 @@ def _spread(digits: Column, form: Column) -> Column:
     return F.array_join(F.transform(cs, lambda c, i: F.when(isd(c), F.substring(digits, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), isd)), F.lit(1))).otherwise(c)), "")
 
 
+def _beyond(digits: Column, form: Column) -> Column:
+    """The digits for which form has no place."""
+    return F.substring(digits, F.length(F.regexp_replace(form, "[^0-9]", "")) + 1, F.length(digits))
+
+
 def _name(draw: Column, word: Column, type_: Column) -> Column:
     """A made-up name of word's script with a capital first letter; given names end as usual for their gender."""
 
@@ -140,6 +151,17 @@ def _name(draw: Column, word: Column, type_: Column) -> Column:
     return F.when(F.regexp_like(word, F.lit(r"\p{IsGreek}")), of(1)).when(F.regexp_like(word, F.lit(r"\p{IsCyrillic}")), of(2)).otherwise(of(0))
 
 
+def _widened(out: Column, draw: Column, type_: Column, canon: Column, attempt: Column) -> Column:
+    """A surrogate whose own form was drawn often enough, with letters or digits more; a secret is drawn as a whole."""
+    n = F.least((attempt - OWN_FORM + 1) * 2, F.lit(50))
+    more = F.substring(draw, F.lit(205), n)  # digits of the draw that no short form takes
+    letters = F.when(F.regexp_like(canon, F.lit(r"\p{IsGreek}")), F.translate(more, HEX, "αβγδεζηικλμνορστ")).when(F.regexp_like(canon, F.lit(r"\p{IsCyrillic}")), F.translate(more, HEX, "абвгдеиклмнопрст"))
+    letters = letters.otherwise(F.translate(more, HEX, "abdefgiklmnorstu"))
+    wide = F.when(type_ == "phone", F.concat(out, F.translate(more, "abcdef", "012345"))).when(type_ == "secret", F.substring(draw, F.lit(1), F.length(canon) + n))
+    wide = wide.when((type_ == "email") | (type_ == "surname") | F.startswith(type_, F.lit("given_")), F.concat(letters, out)).otherwise(out)
+    return F.when(attempt < OWN_FORM, out).otherwise(wide)
+
+
 def surrogate(key: str, type_: Column, canon: Column, attempt: Column) -> Column:
     """The surrogate of a canonical form, itself canonical."""
 
@@ -156,7 +178,7 @@ def surrogate(key: str, type_: Column, canon: Column, attempt: Column) -> Column
         secret = F.when(F.regexp_like(canon, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), _hexed(canon, draw)).otherwise(_masked(canon, draw, F.lit(0)))
         out = F.when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", card).when(type_ == "phone", phone)
         out = out.when(type_ == "ssn", _masked(canon, draw, F.lit(0))).when(type_ == "iban", _masked(canon, draw, F.lit(2))).when(type_ == "secret", secret)
-        return out.otherwise(F.lower(_name(draw, canon, type_)))
+        return let(out.otherwise(F.lower(_name(draw, canon, type_))), lambda own: _widened(own, draw, type_, canon, attempt))
 
     return let(_draw(key, type_, canon, attempt), of)
 
@@ -164,7 +186,7 @@ def surrogate(key: str, type_: Column, canon: Column, attempt: Column) -> Column
 def _written(entity: Column, new: Column, type_: Column) -> Column:
     """A canonical surrogate set in the form of the entity that it replaces."""
     cased = F.when(F.regexp_like(entity, F.lit("^[^a-z]*$")), F.upper(new)).otherwise(new)
-    return F.when(type_ == "email", cased).when(type_.isin("card", "ssn"), _spread(new, entity)).when(type_ == "phone", _spread(F.regexp_replace(new, r"\+", ""), entity)).when(type_ == "iban", _grouped(new, entity)).otherwise(new)
+    return F.when(type_ == "email", cased).when(type_.isin("card", "ssn"), _spread(new, entity)).when(type_ == "phone", let(F.regexp_replace(new, r"\+", ""), lambda digits: F.concat(_spread(digits, entity), _beyond(digits, entity)))).when(type_ == "iban", _grouped(new, entity)).otherwise(new)
 
 
 def _grouped(new: Column, form: Column) -> Column:
@@ -184,7 +206,7 @@ def replace(entity: Column, key: str, attempts: Column) -> Column:
         title = F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0)
         named = F.concat(title, F.array_join(F.transform(ps, lambda x: F.initcap(draw(x))), " "))
         person = F.startswith(first["type"], F.lit("given_")) | (first["type"] == "surname")
-        return F.when(person, named).otherwise(_written(entity, draw(first), first["type"]))
+        return F.when(person, named).otherwise(let(draw(first), lambda new: _written(entity, new, first["type"])))
 
     return let(parts(entity), written)
 
@@ -213,7 +235,7 @@ def clashes(names: DataFrame, key: str) -> DataFrame:
             return state.filter("attempt > 0").select("type", "canon", "attempt")
         state = state.join(bad.withColumn("bad", F.lit(1)), ["type", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0)))
         state = cut(state.select("type", "canon", "attempt", F.when(F.col("bad").isNull(), F.col("s")).otherwise(surrogate(key, F.col("type"), F.col("canon"), F.col("attempt"))).alias("s")))
-    raise RuntimeError("surrogates still clash; too many entities of one short format")
+    raise RuntimeError("surrogates still clash; a large part of all numbers of a fixed format (ip, ssn, card, iban) are entities")
 
 
 def _rewrite(docs: DataFrame, key: str) -> DataFrame:
