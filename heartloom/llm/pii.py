@@ -30,10 +30,11 @@ TITLES = {
 }
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 
-#: Types in the order in which they are tried. All parts are linear for the texts they meet.
+#: Types in the order in which they are tried. All parts are linear for the texts they meet: open-ended ones are possessive
+#: and begin only where a run begins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|key)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,512}(?=[\"'])|(?<![0-9A-Za-z])(?:[0-9a-f]{32,512}|[0-9A-F]{32,512})(?![0-9A-Za-z])",
+    "email": r"(?:(?<![A-Za-z0-9])(?<=(?<![A-Za-z0-9._%+-])[._%+-]{0,32})[A-Za-z0-9][A-Za-z0-9._%+-]*+|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
+    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|key)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}+(?=[\"'])|(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
@@ -112,10 +113,10 @@ def _hexed(value: Column, draw: Column) -> Column:
     """A hexadecimal value of the same length and case, its digits drawn; letters and digits are not kept apart."""
 
     def one(c: Column, i: Column) -> Column:
-        new = F.substring(F.lit("0123456789abcdef"), _at(draw, i, 16) + 1, F.lit(1))
-        return F.when(F.regexp_like(value, F.lit("[A-F]")), F.upper(new)).otherwise(new)
+        return F.substring(F.lit(HEX), _at(draw, i, 16) + 1, F.lit(1))
 
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda x: x != ""), one), "")
+    new = F.array_join(F.transform(F.filter(F.split(value, ""), lambda x: x != ""), one), "")
+    return F.when(F.regexp_like(value, F.lit("[A-F]")), F.upper(new)).otherwise(new)
 
 
 def _luhn(digits: Column) -> Column:

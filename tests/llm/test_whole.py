@@ -56,3 +56,15 @@ def test_dense_names_and_phones_are_solved(spark):
     drawn = df.join(again, ["type", "canon"], "left").select("type", "canon", pii.surrogate("k", F.col("type"), F.col("canon"), F.coalesce("attempt", F.lit(0))).alias("s")).collect()
     new = {(r.type, r.s) for r in drawn}
     assert len(new) == len(drawn) == 10_026 and not new & {(r.type, r.canon) for r in drawn}
+
+
+def test_long_secrets_and_local_parts_are_replaced_whole(spark):
+    jwt, digits, local = "eyJ" + "aB3-xY_9." * 600, "0123456789abcdef" * 300, "first.last" * 20
+    texts = [f'token = "{jwt}" end', f"sum {digits} end", f"sum {digits.upper()} end", f"mail {local}@mail.example.com end", f"mail ..{local}@mail.example.com end", "a.b-" * 50_000 + " " + "ab01" * 50_000 + "g end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(docs, "k").collect()}
+    for i in range(5):
+        assert got[i].n_entities == 1 and len(got[i].text) == len(texts[i]) and got[i].text.endswith(" end")
+    assert got[0].types == got[1].types == got[2].types == "secret" and got[3].types == got[4].types == "email"
+    assert not any(x in got[i].text for i, x in ((0, jwt[:40]), (0, jwt[-40:]), (1, digits[:32]), (1, digits[-32:]), (2, digits.upper()[:32]), (3, "first"), (4, "first")))
+    assert got[3].text.endswith(".example.com end") and got[5].n_entities == 0 and got[5].text == texts[5]
