@@ -25,8 +25,11 @@ RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
-MAIN = {"article", "main"}
+#: Boilerplate in which an article is a teaser.
+ASIDE = BOILER - {"form"}
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Names that say what a page has or lacks, not what the element is.
+_MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[_-][^\s]*", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story)(?:$|[\s_-])", re.I)
 
 #: Labelled blocks: words and link density before, here and after; in main (1), in boilerplate (-1) or neither (0);
@@ -118,12 +121,16 @@ def blocks(page: str) -> list[Block]:
                         break
         elif tag not in ("p", "li", "html", "body") or _CLASS.search(found[2] or ""):
             stack.append((tag, place))
-            names = " ".join(a or b or c for a, b, c in _CLASS.findall(found[2] or ""))
-            if tag in BOILER and not (tag == "header" and place == 1) or names and _BAD_NAME.search(names):
+            root = tag == "html" or tag == "body"
+            names = _MODIFIER.sub("", " ".join(a or b or c for a, b, c in _CLASS.findall(found[2] or "")))
+            bad = bool(names and not root and _BAD_NAME.search(names))
+            if tag in BOILER and not (tag == "header" and place == 1) or bad:
                 place = -1
-            elif place != -1 and (tag in MAIN or names and _GOOD_NAME.search(names)):
+            elif tag == "main" or tag == "article" and not any(t in ASIDE for t, _ in stack):  # whatever names and forms are around it
                 place = 1
-            elif tag == "html" or tag == "body":
+            elif place != -1 and names and _GOOD_NAME.search(names):
+                place = 1
+            elif root:
                 place = 0
     flush()
     return out

@@ -5,7 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from heartloom.llm import minhash, pii
+from heartloom.llm import html_text, minhash, pii
 
 
 def five_word_kept(rows):
@@ -68,3 +68,20 @@ def test_long_secrets_and_local_parts_are_replaced_whole(spark):
     assert got[0].types == got[1].types == got[2].types == "secret" and got[3].types == got[4].types == "email"
     assert not any(x in got[i].text for i, x in ((0, jwt[:40]), (0, jwt[-40:]), (1, digits[:32]), (1, digits[-32:]), (2, digits.upper()[:32]), (3, "first"), (4, "first")))
     assert got[3].text.endswith(".example.com end") and got[5].n_entities == 0 and got[5].text == texts[5]
+
+
+def test_article_survives_names_and_forms_around_it():
+    prose = "This is a sentence of the article that has a dozen words and more in it. " * 3
+    article = f"<article><h1>Heading</h1><p>{prose}</p></article>"
+    pages = [
+        f'<html class="no-sidebar"><body class="page has-sidebar">{article}</body></html>', f'<body class="page-header modal">{article}</body>', f'<body><div class="wrap with-header">{article}</div></body>',
+        f'<body><div class="widget social">{article}</div></body>', f'<body><form action="/x">{article}</form></body>', f'<body><form><div class="sidebar"><main><p>Heading</p><p>{prose}</p></main></div></form></body>',
+    ]
+    tree = html_text.train()
+    nav = '<nav><a href="/">Home</a></nav><div class="sidebar"><p>Related things are here</p></div>'
+    for page in pages:
+        assert html_text.main_text(page.replace("<body", f"{nav}<body", 1), tree) == f"Heading\n{prose.strip()}", page
+    assert html_text.main_text(f'<body><div class="has-sidebar"><p>{prose}</p></div></body>', tree) == prose.strip()
+    inner = f'<article><p>{prose}</p><div class="share-bar"><p>Share this</p></div></article>'
+    assert html_text.main_text(inner, tree) == prose.strip()
+    assert html_text.main_text(f'<body><article><p>{prose}</p></article><aside><article><p>{prose}</p></article></aside></body>', tree) == prose.strip()
