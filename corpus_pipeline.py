@@ -29,8 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced."""
-    return pii.pseudonymise(docs)
+    """All documents, personal data replaced under the key in spark.heartloom.pii.key (a public one if it is unset, for tests)."""
+    return pii.pseudonymise(docs, spark.conf.get("spark.heartloom.pii.key", "a key for tests"))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
