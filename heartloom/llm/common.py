@@ -18,20 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder the session names in spark.checkpoint.dir.
 
-    A folder of our own is set only where the session has none, as in local tests.
+    A folder of our own is set only where a local session has none, as in tests; a cluster without one is an error, for
+    a folder of one machine would be lost with it. Set spark.cleaner.referenceTracking.cleanCheckpoints on long-lived
+    sessions, so that checkpoints go with the tables that used them.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heartloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="heartloom-"))
     return df.checkpoint()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a cut or cheap narrow table if it has at most this many rows; else leave the shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def keep_only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (one column doc_id), with docs' own columns."""
-    return docs.join(small(ids), "doc_id", "left_semi").select(*docs.columns)

@@ -1,20 +1,26 @@
 """Personal data: detection and keyed, type-consistent surrogates, in native expressions only.
 
-An entity's surrogate is a function of a secret key, its type and its canonical form, so the same entity gets the same
-surrogate wherever it occurs. Letters become letters of the same script and case, digits become digits, separators
-stay; a card number keeps its issuer digit and whether its check digit is right, a phone number its country code, an
-address its bytes' range, an e-mail its registered domain, a person the title, and given names an ending usual for the
-title's gender.
-
-Two entities could still be given one surrogate, or one that is a real entity of the corpus. All distinct entities are
-therefore checked against each other on Spark, and those that clash are drawn again until none does. A form that is too
-short for the entities that have it is widened: a longer local part or name, more digits, a secret of other
-characters.
+A surrogate is drawn once for each distinct entity of the corpus, from a secret key, the entity's type and its canonical
+form; documents then look their entities up, so an entity has one surrogate wherever it occurs. Letters become letters
+of the same script and case, digits become digits, separators stay. A card number keeps its issuer digit, an IBAN its
+country, and both whether their check digits are right; a phone number keeps its country code or leading zero, an
+e-mail its registered domain, an IPv6 address its first digit, a person the title, particles, hyphens and apostrophes.
+A given name gets an ending usual for its gender: that of the titles it is seen with anywhere in the corpus (the more
+frequent one), else the one it usually has.
+
+Persons are found after a title, or by a common given name before a capitalised name. Names that stand alone without
+either are not found.
+
+No surrogate is shared by two entities of a type or equals a real one: all drawn surrogates are checked against each
+other and against all entities on Spark, and those that clash are drawn again. A form that stays too dense after
+``OWN_FORM`` draws is widened by letters or digits, so this ends even where all values of a form are entities (a
+widened ip or ssn is longer than a valid one). Initials are rotated in their alphabet, which keeps them distinct.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import hashlib
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,36 +30,71 @@ from heartloom.llm.quality_rules import let
 
 #: Titles and the gender that they tell. Fixed values.
 TITLES = {
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Господин", "Κύριος"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Lady", "Госпожа", "Κυρία"),
-    "n": ("Dr", "Prof"),
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Господин", "Κύριος", "MR", "HERR"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Lady", "Госпожа", "Κυρία", "MRS", "MS", "FRAU", "MME"),
+    "n": ("Dr", "Prof", "DR", "PROF"),
+}
+#: Common given names that are hardly other words, and their usual gender. Fixed values.
+GIVEN = {
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jeffrey Jacob Nicholas Eric Jonathan Stephen Benjamin Samuel Peter Paul Hans Klaus Jürgen Wolfgang Stefan Andreas Jean Pierre Jacques François Antoine Olivier Laurent José Juan Carlos Luis Javier Miguel Pedro Pablo Diego Fernando Giovanni Giuseppe Marco Ivan Sergei Dmitri Иван Сергей Дмитрий Алексей Γιώργος Γιάννης Δημήτρης Mohammed Ahmed Ali Omar".split(),
+    "f": "Mary Maria Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Cynthia Anna Anne Ursula Monika Petra Sabine Claudia Katrin Marie Sophie Camille Isabelle Nathalie Carmen Ana Lucía Elena Isabel Teresa Giulia Francesca Chiara Olga Natalia Svetlana Анна Мария Ольга Елена Μαρία Ελένη Κατερίνα Fatima Aisha".split(),
 }
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
-
+_LETTER = r"\p{L}\p{M}"
+#: A capitalised word of a name: John, JOHN, McDonald, Jean-Luc, O'Neil, J.
+_WORD = rf"\p{{Lu}}[{_LETTER}]*+(?:-[{_LETTER}]++|['’]\p{{Lu}}[{_LETTER}]*+){{0,9}}+"
+_GAP = rf"(?:(?<=(?<![{_LETTER}])\p{{Lu}})\.)?[ \x{{A0}}]{{1,2}}"
+#: Particles that stand between the words of a name. Fixed values.
+_PARTICLE = r"(?:(?:de|del|della|di|da|dos|das|du|des|la|le|los|van|von|vom|der|den|ter|ten|zu|zum|zur|bin|ibn|al|el|af|av)[ \x{A0}]|[dl]['’])"
+_MORE = rf"(?:{_GAP}{_PARTICLE}{{0,3}}+(?!(?:{_TITLE})\b){_WORD})"
+
+
+def _first_letters(names: list[str]) -> str:
+    """An alternation of names that branches by first letter."""
+    by = defaultdict(list)
+    for x in names:
+        by[x[0]].append(x[1:])
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by.items())
+
+
+_COMMON = rf"(?=\p{{Lu}})(?iu:{_first_letters(GIVEN['m'] + GIVEN['f'])})(?:-\p{{Lu}}[{_LETTER}]++)?(?![{_LETTER}'’])"
+
+_L = r"A-Za-z0-9\x{C0}-\x{1FFF}\x{2C00}-\x{D7FF}"  # letters and digits of addresses; general punctuation is none
+_HEAD = rf"(?<![{_L}])"
+_V4 = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)"
+_V6 = r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]{0,39}+\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{1,4}:){0,7}:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:])"
+_QUOTED = r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey|key)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}+(?=[\"'])"
+_HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
 #: Types in the order in which they are tried. All parts are linear for the texts they meet: open-ended ones are possessive
 #: and begin only where a run begins.
 PATTERNS = {
-    "email": r"(?:(?<![A-Za-z0-9])(?<=(?<![A-Za-z0-9._%+-])[._%+-]{0,32})[A-Za-z0-9][A-Za-z0-9._%+-]*+|[A-Za-z0-9][A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "secret": r"(?<=(?i:token|secret|password|passwd|api_key|apikey|key)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}+(?=[\"'])|(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])",
+    "email": rf"(?<=(?<![{_L}._%+'-])[._%+'-]{{0,32}})[{_L}][{_L}._%+'-]*+@[{_L}-]{{1,63}}+(?:\.[{_L}-]{{1,63}}){{0,126}}\.(?:[A-Za-z]{{2,24}}|xn--[a-z0-9-]{{2,59}}|[\x{{C0}}-\x{{1FFF}}\x{{2C00}}-\x{{D7FF}}]{{2,24}})",
+    "secret": rf"{_QUOTED}|{_HEX}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)",
+    "ip": rf"{_V4}|{_V6}",
     "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])",
-    "person": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
+    r"|(?<![\d.,:/+-])(?<!\d )(?=(?:[ ()/-]{0,2}\d){9,13}(?![ /-]?\d))(?:\(0[1-9]\d{0,4}\)|0[1-9]\d{0,4})(?:[ /-]{1,2}\d{2,8}){1,4}(?!\d)",
+    "person": rf"(?<![{_LETTER}])(?:(?:{_TITLE})\.?\s{{1,2}}{_PARTICLE}{{0,3}}+{_WORD}{_MORE}{{0,2}}+|{_COMMON}{_MORE}{{1,2}}+)",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-
-#: Alphabets by script; a letter of one becomes another of it.
-ALPHABETS = ("abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
+# At most places a look at one or two characters rules all types out.
+_DIGITS = rf"(?=[0-9+(])(?:{_V4}|{PATTERNS['card']}|{PATTERNS['ssn']}|{PATTERNS['phone']})"
+_OTHERS = rf"{_QUOTED}|(?=[0-9A-Fa-f])(?:{_HEX})|(?=[A-Z]{{2}}\d)(?:{PATTERNS['iban']})|{_V6}|{_DIGITS}|(?=\p{{Lu}})(?:{PATTERNS['person']})"
+ANY = rf"{_HEAD}(?:{PATTERNS['email']})|{_OTHERS}"
+
+#: Alphabets by script; a letter of one becomes another of it, other letters become Latin ones.
+ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
+_ALL = "".join(ALPHABETS)
 #: Endings of given names by gender and script, and syllables that names are made of. Fixed values.
 ENDINGS = {"m": (("an", "er", "us", "o"), ("ος", "ης", "ας"), ("ан", "ей", "ил")), "f": (("a", "ia", "ina", "elle"), ("α", "η", "ια"), ("а", "ия", "ина")), "n": (("en", "is", "el", "ar"), ("ω", "ις", "ι"), ("ий", "ь", "ель"))}
 CONSONANTS = ("bdfgklmnprstvz", "βγδκλμνπρσ", "бвдгклмнпрст")
 VOWELS = ("aeiou", "αεηιο", "аеиоу")
+#: Country codes of one and two digits; all others have three. Fixed values.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 HEX = "0123456789abcdef"
-
-ROUNDS = 30
+ROUNDS = 60
 #: Draws of an entity's own form; beyond them the form of its surrogate is widened, by more with each draw.
 OWN_FORM = 6
 
@@ -68,20 +109,34 @@ def kind(entity: Column) -> Column:
     return out.otherwise(F.lit("secret"))
 
 
-def gender(entity: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^({_TITLE})\.? ", 1)
-    return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
+def _bare_name(entity: Column) -> Column:
+    return F.regexp_replace(entity, rf"^(?:{_TITLE})\.?\s{{1,2}}", "")
+
+
+def gender(entity: Column, word: Column) -> Column:
+    """m, f or n: what the title tells, else what a common given name usually has."""
+    title = F.regexp_extract(entity, rf"^({_TITLE})\.?\s", 1)
+    first = F.substring_index(word, "-", 1)
+    usual = F.when(first.isin(*(x.lower() for x in GIVEN["m"])), "m").when(first.isin(*(x.lower() for x in GIVEN["f"])), "f").otherwise("n")
+    return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise(usual)
+
+
+def parts(entity: Column, type_: Column) -> Column:
+    """The separately kept entities of a match: (type, canon, gender). A person's last name is a surname, or a given
+    name if it stands alone and is a common one; single letters are initials; the others are given names."""
+    struct = lambda a, b, g: F.struct(a.alias("type"), b.alias("canon"), g.alias("gender"))
+    common = F.lit([x.lower() for x in GIVEN["m"] + GIVEN["f"]])
 
+    def person(ws: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            low = F.lower(w)
+            t = F.when(F.length(w) == 1, "initial").when((i < F.size(ws) - 1) | (F.size(ws) == 1) & F.array_contains(common, low), "given").otherwise("surname")
+            return struct(t, low, F.when(t == "given", gender(entity, low)).otherwise("n"))
 
-def parts(entity: Column) -> Column:
-    """The separately kept entities of a match: (type, canonical). A person is a given name, if two, and a surname."""
-    t = kind(entity)
-    names = F.split(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), " ")
-    one = lambda a, b: F.struct(a.alias("type"), b.alias("canon"))
-    person = F.when(F.size(names) > 1, F.array(one(F.concat(F.lit("given_"), gender(entity)), F.lower(F.element_at(names, 1))), one(F.lit("surname"), F.lower(F.element_at(names, 2)))))
-    person = person.otherwise(F.array(one(F.lit("surname"), F.lower(F.element_at(names, 1)))))
-    bare = F.when(t.isin("card", "phone", "ssn"), F.regexp_replace(entity, r"[^0-9+]", "")).when(t == "iban", F.regexp_replace(entity, " ", "")).when(t == "email", F.lower(entity)).otherwise(entity)
-    return F.when(t == "person", person).otherwise(F.array(one(t, bare)))
+        return F.transform(ws, one)
+
+    bare = F.when(type_.isin("card", "phone", "ssn"), F.regexp_replace(entity, r"[^0-9+]", "")).when(type_ == "iban", F.regexp_replace(entity, " ", "")).when(type_.isin("email", "ip"), F.lower(entity)).otherwise(entity)
+    return F.when(type_ == "person", let(F.regexp_extract_all(_bare_name(entity), F.lit(_WORD), F.lit(0)), person)).otherwise(F.array(struct(type_, bare, F.lit("n"))))
 
 
 def _draw(key: str, type_: Column, canon: Column, attempt: Column) -> Column:
@@ -95,185 +150,238 @@ def _at(draw: Column, i: Column, n: int | Column) -> Column:
     return F.pmod(F.conv(F.substring(draw, F.pmod(i * 4, F.lit(252)) + 1, F.lit(4)), 16, 10).cast("int") + F.floor(i / 63).cast("int") * 7, n if isinstance(n, Column) else F.lit(n)).cast("int")
 
 
-def _masked(value: Column, draw: Column, keep: Column) -> Column:
-    """value with each letter and digit replaced by one of its own kind, but for the first ``keep`` characters."""
+def _chars(value: Column) -> Column:
+    return F.filter(F.split(value, ""), lambda x: x != "")
 
-    def one(c: Column, i: Column) -> Column:
-        low = F.lower(c)
-        out = F.when(i < keep, c).when(F.regexp_like(c, F.lit("^[0-9]$")), _at(draw, i, 10).cast("string"))
-        for letters in ALPHABETS:
-            new = F.substring(F.lit(letters), _at(draw, i, len(letters)) + 1, F.lit(1))
-            out = out.when(F.instr(F.lit(letters), low) > 0, F.when(c == low, new).otherwise(F.upper(new)))
-        return out.otherwise(c)
-
-    return F.array_join(F.transform(F.filter(F.split(value, ""), lambda x: x != ""), one), "")
 
+def _masked(value: Column, draw: Column, keep: Column, hexadecimal: Column) -> Column:
+    """value with each letter and digit replaced by one of its own kind, but for the first ``keep`` characters."""
+    ends = [sum(map(len, ALPHABETS[: k + 1])) for k in range(len(ALPHABETS))]
 
-def _hexed(value: Column, draw: Column) -> Column:
-    """A hexadecimal value of the same length and case, its digits drawn; letters and digits are not kept apart."""
+    def pick(p: Column, i: Column) -> Column:
+        """A character of the alphabet in which place p of _ALL lies."""
+        size = F.lit(len(ALPHABETS[-1]))
+        start = F.lit(ends[-2])
+        for k in range(len(ends) - 2, -1, -1):
+            start, size = F.when(p <= ends[k], ends[k - 1] if k else 0).otherwise(start), F.when(p <= ends[k], len(ALPHABETS[k])).otherwise(size)
+        return F.substring(F.lit(_ALL), start + _at(draw, i, size) + 1, F.lit(1))
 
     def one(c: Column, i: Column) -> Column:
-        return F.substring(F.lit(HEX), _at(draw, i, 16) + 1, F.lit(1))
+        low = F.lower(c)
+        new = lambda p: F.when(hexadecimal, F.substring(F.lit(HEX), _at(draw, i, 16) + 1, F.lit(1))).otherwise(pick(p, i))
+        place = F.when(F.instr(F.lit(_ALL), low) > 0, F.instr(F.lit(_ALL), low)).when(F.regexp_like(c, F.lit(r"\p{L}")), 11).otherwise(0)
+        cased = lambda x: F.when(c == low, x).otherwise(F.upper(x))
+        return let(place, lambda p: F.when((i < keep) | (p == 0), c).otherwise(let(new(p), cased)))
 
-    new = F.array_join(F.transform(F.filter(F.split(value, ""), lambda x: x != ""), one), "")
-    return F.when(F.regexp_like(value, F.lit("[A-F]")), F.upper(new)).otherwise(new)
+    return F.array_join(F.transform(_chars(value), one), "")
 
 
 def _luhn(digits: Column) -> Column:
     """The sum modulo 10 that is 0 if the last digit is right."""
     step = lambda s, x: s + x
     double = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-    ds = F.reverse(F.filter(F.split(digits, ""), lambda x: x != ""))
+    ds = F.reverse(_chars(digits))
     return F.pmod(F.aggregate(F.transform(ds, lambda x, i: F.when(i % 2 == 1, double(x.cast("int"))).otherwise(x.cast("int"))), F.lit(0), step), F.lit(10))
 
 
-def _spread(digits: Column, form: Column) -> Column:
-    """digits set into the places of form's digits."""
-    cs = F.filter(F.split(form, ""), lambda x: x != "")
-    isd = lambda x: F.regexp_like(x, F.lit("^[0-9]$"))
-    return F.array_join(F.transform(cs, lambda c, i: F.when(isd(c), F.substring(digits, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), isd)), F.lit(1))).otherwise(c)), "")
+def _mod97(iban: Column) -> Column:
+    """An IBAN's remainder, which is 1 if its check digits are right."""
+    turned = F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, F.lit(1), F.lit(4)))
+    value = lambda c: F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+    return F.aggregate(_chars(turned), F.lit(0), lambda s, c: F.pmod(s * F.when(value(c) > 9, 100).otherwise(10) + value(c), F.lit(97)).cast("int"))
 
 
-def _beyond(digits: Column, form: Column) -> Column:
-    """The digits for which form has no place."""
-    return F.substring(digits, F.length(F.regexp_replace(form, "[^0-9]", "")) + 1, F.length(digits))
+def _checked(new: Column, canon: Column, type_: Column) -> Column:
+    """Check digits that are right if those of the entity are."""
+    body = F.substring(new, F.lit(1), F.length(new) - 1)
+    card = lambda: F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
+    country, account = F.substring(new, 1, 2), F.substring(new, F.lit(5), F.length(new))
+    iban = lambda: F.concat(country, F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0"), account)
+    return F.when((type_ == "card") & (_luhn(canon) == 0), card()).when((type_ == "iban") & (_mod97(canon) == 1), iban()).otherwise(new)
 
 
-def _name(draw: Column, word: Column, type_: Column) -> Column:
-    """A made-up name of word's script with a capital first letter; given names end as usual for their gender."""
+def _name(draw: Column, word: Column, type_: Column, sex: Column) -> Column:
+    """A made-up name of word's script, in lower case; given names end as usual for their gender. Hyphens, apostrophes
+    and single letters before them stay."""
 
-    def of(script: int) -> Column:
-        pick = lambda letters, i: F.substring(F.lit(letters), _at(draw, F.lit(i), len(letters)) + 1, F.lit(1))
-        syllable = lambda i: F.concat(pick(CONSONANTS[script], i), pick(VOWELS[script], i + 1))
-        end = lambda g: F.element_at(F.array(*map(F.lit, ENDINGS[g][script])), _at(draw, F.lit(9), len(ENDINGS[g][script])) + 1)
-        tail = F.when(type_ == "given_m", end("m")).when(type_ == "given_f", end("f")).when(type_ == "given_n", end("n")).otherwise(F.concat(syllable(4), pick(CONSONANTS[script], 6)))
-        return F.initcap(F.concat(syllable(0), syllable(2), pick(CONSONANTS[script], 8), tail))
+    def of(script: Column) -> Column:
+        consonants, vowels = (F.get(F.lit(list(x)), script) for x in (CONSONANTS, VOWELS))
+        ending = F.when(sex == "m", F.get(F.lit(["|".join(x) for x in ENDINGS["m"]]), script)).when(sex == "f", F.get(F.lit(["|".join(x) for x in ENDINGS["f"]]), script)).otherwise(F.get(F.lit(["|".join(x) for x in ENDINGS["n"]]), script))
+        pick = lambda letters, i: F.substring(letters, _at(draw, i, F.length(letters)) + 1, F.lit(1))
 
-    return F.when(F.regexp_like(word, F.lit(r"\p{IsGreek}")), of(1)).when(F.regexp_like(word, F.lit(r"\p{IsCyrillic}")), of(2)).otherwise(of(0))
+        def segment(w: Column, j: Column) -> Column:
+            at = lambda i: j * 10 + i
+            stem = F.array_join(F.transform(F.lit(list(range(7))), lambda i: F.when(i % 2 == 0, pick(consonants, at(i))).otherwise(pick(vowels, at(i)))), "")
+            end = let(F.split(ending, r"\|"), lambda x: F.get(x, _at(draw, at(F.lit(8)), F.size(x))))
+            tail = F.when(type_ == "given", end).otherwise(F.concat(pick(vowels, at(F.lit(8))), pick(consonants, at(F.lit(9)))))
+            return F.when(F.length(w) == 1, w).otherwise(F.concat(stem, tail))
 
+        marks = F.regexp_extract_all(word, F.lit("[-'’]"), F.lit(0))
+        return F.array_join(F.zip_with(F.transform(F.split(word, "[-'’]"), segment), marks, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
 
-def _widened(out: Column, draw: Column, type_: Column, canon: Column, attempt: Column) -> Column:
-    """A surrogate whose own form was drawn often enough, with letters or digits more; a secret is drawn as a whole."""
-    n = F.least((attempt - OWN_FORM + 1) * 2, F.lit(50))
-    more = F.substring(draw, F.lit(205), n)  # digits of the draw that no short form takes
-    letters = F.when(F.regexp_like(canon, F.lit(r"\p{IsGreek}")), F.translate(more, HEX, "αβγδεζηικλμνορστ")).when(F.regexp_like(canon, F.lit(r"\p{IsCyrillic}")), F.translate(more, HEX, "абвгдеиклмнопрст"))
-    letters = letters.otherwise(F.translate(more, HEX, "abdefgiklmnorstu"))
-    wide = F.when(type_ == "phone", F.concat(out, F.translate(more, "abcdef", "012345"))).when(type_ == "secret", F.substring(draw, F.lit(1), F.length(canon) + n))
-    wide = wide.when((type_ == "email") | (type_ == "surname") | F.startswith(type_, F.lit("given_")), F.concat(letters, out)).otherwise(out)
-    return F.when(attempt < OWN_FORM, out).otherwise(wide)
+    script = F.when(F.regexp_like(word, F.lit(r"\p{IsGreek}")), 1).when(F.regexp_like(word, F.lit(r"\p{IsCyrillic}")), 2).otherwise(0)
+    return let(script, of)
 
 
-def surrogate(key: str, type_: Column, canon: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical form, itself canonical."""
+def _more(draw: Column, canon: Column, n: Column, letters: bool) -> Column:
+    """n digits, or letters of canon's script, from the end of a draw, which no short form takes."""
+    more = F.substring(draw, F.lit(205), n)
+    if not letters:
+        return F.translate(more, "abcdef", "012345")
+    greek, cyrillic = (F.regexp_like(canon, F.lit(rf"\p{{Is{x}}}")) for x in ("Greek", "Cyrillic"))
+    return F.when(greek, F.translate(more, HEX, "αβγδεζηικλμνορστ")).when(cyrillic, F.translate(more, HEX, "абвгдеиклмнопрст")).otherwise(F.translate(more, HEX, "abdefgiklmnorstu"))
+
+
+def _rotated(key: str, canon: Column) -> Column:
+    """A letter a keyed distance on in its alphabet."""
+    n = int(hashlib.sha256(key.encode()).hexdigest(), 16)
+    turn = lambda x: x[1 + n % (len(x) - 1) :] + x[: 1 + n % (len(x) - 1)]
+    return F.translate(canon, _ALL, "".join(map(turn, ALPHABETS)))
+
+
+def surrogate(key: str, type_: Column, canon: Column, attempt: Column | int, sex: Column | None = None) -> Column:
+    """The surrogate of a canonical form, itself canonical. A fixed attempt makes a shorter plan than a column does."""
+    tries = F.lit(attempt) if isinstance(attempt, int) else attempt
+    name = type_.isin("given", "surname")
 
     def of(draw: Column) -> Column:
         # the registered domain is kept; what stands before it, the local part included, is not
-        host = F.regexp_extract(canon, r"(?:@|\.)([^.@]+\.[^.@]+)$", 1)
-        email = F.concat(_masked(F.substring(canon, F.lit(1), F.length(canon) - F.length(host)), draw, F.lit(0)), host)
+        host = F.when(type_ == "email", F.regexp_extract(canon, r"(?:@|\.)([^.@]+\.[^.@]+)$", 1)).otherwise("")
+        keep = F.when(type_ == "card", 1).when(type_ == "iban", 2).when(type_ == "phone", F.when(F.startswith(canon, F.lit("+")), F.length(F.regexp_extract(canon, COUNTRY, 0))).when(F.startswith(canon, F.lit("0")), 1).otherwise(0))
+        keep = keep.when((type_ == "ip") & (F.length(canon) > 6), 1).otherwise(0)
+        hexadecimal = (type_ == "ip") | (type_ == "secret") & F.regexp_like(canon, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$"))
+        masked = _masked(F.substring(canon, F.lit(1), F.length(canon) - F.length(host)), draw, keep, hexadecimal)
+        masked = F.when(hexadecimal & (type_ == "secret") & F.regexp_like(canon, F.lit("[A-F]")), F.upper(masked)).otherwise(masked)
         octets = F.array_join(F.transform(F.split(canon, r"\."), lambda x, i: (1 + _at(draw, i, 254)).cast("string")), ".")
-        masked = _masked(canon, draw, F.lit(1))
-        body = F.substring(masked, F.lit(1), F.length(masked) - 1)
-        right = F.concat(body, F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string"))
-        card = F.when(_luhn(canon) == 0, right).otherwise(masked)
-        phone = _masked(canon, draw, F.when(F.startswith(canon, F.lit("+")), F.lit(2)).otherwise(F.lit(0)))
-        secret = F.when(F.regexp_like(canon, F.lit("^(?:[0-9a-f]+|[0-9A-F]+)$")), _hexed(canon, draw)).otherwise(_masked(canon, draw, F.lit(0)))
-        out = F.when(type_ == "email", email).when(type_ == "ip", octets).when(type_ == "card", card).when(type_ == "phone", phone)
-        out = out.when(type_ == "ssn", _masked(canon, draw, F.lit(0))).when(type_ == "iban", _masked(canon, draw, F.lit(2))).when(type_ == "secret", secret)
-        return let(out.otherwise(F.lower(_name(draw, canon, type_))), lambda own: _widened(own, draw, type_, canon, attempt))
+        own = F.when(name, _name(draw, canon, type_, sex if sex is not None else F.lit("n"))).when((type_ == "ip") & ~F.contains(canon, F.lit(":")), octets).otherwise(masked)
+        if isinstance(attempt, Column) or attempt >= OWN_FORM:
+            n = F.least((tries - OWN_FORM + 1) * 2, F.lit(50))
+            wide = F.when(name | (type_ == "email"), F.concat(_more(draw, canon, n, True), own)).when(type_ == "secret", F.substring(draw, F.lit(1), F.length(canon) + n))
+            own = F.when(tries < OWN_FORM, own).otherwise(wide.otherwise(F.concat(own, _more(draw, canon, n, False))))
+        return let(own, lambda x: F.concat(_checked(x, canon, type_), host))
 
-    return let(_draw(key, type_, canon, attempt), of)
+    return F.when(type_ == "initial", _rotated(key, canon)).otherwise(let(_draw(key, type_, canon, tries), of))
 
 
-def _written(entity: Column, new: Column, type_: Column) -> Column:
-    """A canonical surrogate set in the form of the entity that it replaces."""
-    cased = F.when(F.regexp_like(entity, F.lit("^[^a-z]*$")), F.upper(new)).otherwise(new)
-    return F.when(type_ == "email", cased).when(type_.isin("card", "ssn"), _spread(new, entity)).when(type_ == "phone", let(F.regexp_replace(new, r"\+", ""), lambda digits: F.concat(_spread(digits, entity), _beyond(digits, entity)))).when(type_ == "iban", _grouped(new, entity)).otherwise(new)
+def _spread(new: Column, form: Column) -> Column:
+    """new's letters and digits set into the places of form's; those for which form has no place follow."""
+    ismark = lambda x: F.regexp_like(x, F.lit("^[0-9A-Za-z]$"))
 
+    def of(cs: Column) -> Column:
+        placed = F.transform(cs, lambda c, i: F.when(ismark(c), F.substring(new, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), ismark)), F.lit(1))).otherwise(c))
+        return F.concat(F.array_join(placed, ""), F.substring(new, F.size(F.filter(cs, ismark)) + 1, F.length(new)))
 
-def _grouped(new: Column, form: Column) -> Column:
-    cs = F.filter(F.split(form, ""), lambda x: x != "")
-    return F.array_join(F.transform(cs, lambda c, i: F.when(c == " ", c).otherwise(F.substring(new, F.size(F.filter(F.slice(cs, F.lit(1), i + 1), lambda x: x != " ")), F.lit(1)))), "")
+    return let(_chars(form), of)
 
 
-def replace(entity: Column, key: str, attempts: Column) -> Column:
-    """The text that takes an entity's place; attempts maps type:canonical to how often it was drawn again."""
+def _written(entity: Column, type_: Column, new: Column) -> Column:
+    """The text that takes an entity's place, of the canonical surrogates of its parts in order."""
+    rest = _bare_name(entity)
 
-    def draw(part: Column) -> Column:
-        again = F.coalesce(F.element_at(attempts, F.concat(part["type"], F.lit(":"), part["canon"])), F.lit(0))
-        return surrogate(key, part["type"], part["canon"], again)
+    def cased(s: Column, w: Column) -> Column:
+        segments = F.transform(F.split(s, "(?<=[-'’])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x))))
+        return F.when((F.length(w) > 1) & (w == F.upper(w)) | (F.length(w) == 1), F.upper(s)).otherwise(F.array_join(segments, ""))
 
-    def written(ps: Column) -> Column:
-        first = F.element_at(ps, 1)
-        title = F.regexp_extract(entity, rf"^(?:{_TITLE})\.? ", 0)
-        named = F.concat(title, F.array_join(F.transform(ps, lambda x: F.initcap(draw(x))), " "))
-        person = F.startswith(first["type"], F.lit("given_")) | (first["type"] == "surname")
-        return F.when(person, named).otherwise(let(draw(first), lambda new: _written(entity, new, first["type"])))
+    def person() -> Column:
+        words = F.zip_with(new, F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), cased)
+        title = F.substring(entity, F.lit(1), F.length(entity) - F.length(rest))
+        return F.concat(title, F.array_join(F.zip_with(F.split(rest, _WORD, -1), words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), ""))
 
-    return let(parts(entity), written)
+    first = F.element_at(new, 1)
+    shouted = F.regexp_like(entity, F.lit("^[^a-z]*[A-Z][^a-z]*$"))
+    plain = F.when(type_.isin("email", "ip") & shouted, F.upper(first)).when(type_.isin("card", "ssn", "phone", "iban"), _spread(F.regexp_replace(first, r"\+", ""), entity)).otherwise(first)
+    return F.when(type_ == "person", person()).otherwise(plain)
 
 
 def entities(text: Column) -> Column:
-    """All matches in order. Texts that cannot hold one are passed over by plain searches."""
-    may = reduce(lambda a, b: a | b, (F.contains(text, F.lit(f"{t}{end}")) for ts in TITLES.values() for t in ts for end in (" ", ". ")))
-    return F.when(F.regexp_like(text, F.lit("[0-9@\"']")) | may, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """All matches of ANY in order; none for null. Texts without @ need not be searched for addresses."""
+    found = F.when(F.contains(text, F.lit("@")), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(_OTHERS), F.lit(0)))
+    return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def clashes(names: DataFrame, key: str) -> DataFrame:
-    """(type, canon, attempt) of the entities in names (type, canon) whose first draw clashes, with a draw that does not.
+def draws(names: DataFrame, key: str) -> DataFrame:
+    """(type, canon, s, attempt): a surrogate for each distinct entity of names (type, canon, and maybe gender).
 
     A clash is a surrogate shared by two entities of a type, or equal to any entity of that type. Of entities that
-    share one, the smallest keeps it. The counts are grouped with map-side partials, so no group is gathered.
+    share one, the smallest keeps it; the others are drawn again. Later rounds touch the few open entities only, and
+    counts are grouped with map-side partials, so no group is gathered.
     """
-    names = cut(names.filter("canon is not null").distinct())
-    state = cut(names.withColumn("attempt", F.lit(0)).withColumn("s", surrogate(key, F.col("type"), F.col("canon"), F.col("attempt"))))
-    moved = None
-    for _ in range(ROUNDS):
-        keep = state.groupBy("type", "s").agg(F.min_by("canon", F.struct(-F.col("attempt"), "canon")).alias("first"), F.count("*").alias("c")).filter("c > 1")
-        shared = state.join(keep.select("type", "s", "first"), ["type", "s"]).filter("canon <> first").select("type", "canon")
-        real = state.join(names.select("type", F.col("canon").alias("s")), ["type", "s"], "left_semi").select("type", "canon")
-        bad = cut(shared.unionAll(real).distinct())
-        if bad.isEmpty():
-            return state.filter("attempt > 0").select("type", "canon", "attempt")
-        state = state.join(bad.withColumn("bad", F.lit(1)), ["type", "canon"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("bad", F.lit(0)))
-        state = cut(state.select("type", "canon", "attempt", F.when(F.col("bad").isNull(), F.col("s")).otherwise(surrogate(key, F.col("type"), F.col("canon"), F.col("attempt"))).alias("s")))
-    raise RuntimeError("surrogates still clash; a large part of all numbers of a fixed format (ip, ssn, card, iban) are entities")
+    names = names if "gender" in names.columns else names.withColumn("gender", F.lit("n"))
+    names = cut(names.filter("canon is not null").dropDuplicates(["type", "canon"]))
+    free = names.filter("type = 'initial'").select("type", "canon", surrogate(key, F.col("type"), F.col("canon"), 0).alias("s"), F.lit(0).alias("attempt"))
+    left, done = names.filter("type <> 'initial'"), free
+    real = names.select("type", F.col("canon").alias("s"))
+    for attempt in range(ROUNDS):
+        drawn = left.select("type", "canon", surrogate(key, F.col("type"), F.col("canon"), attempt, F.col("gender")).alias("s"))
+        first = cut(drawn.groupBy("type", "s").agg(F.min("canon").alias("canon")))
+        few = small(first.select("type", "s"))
+        taken = real.unionAll(done.select("type", "s")).join(few, ["type", "s"], "left_semi").distinct()
+        new = cut(first.join(taken, ["type", "s"], "left_anti").select("type", "canon", "s", F.lit(attempt).alias("attempt")))
+        done = done.unionAll(new)
+        left = cut(left.join(new.select("type", "canon"), ["type", "canon"], "left_anti"))
+        if left.isEmpty():
+            return done
+    raise RuntimeError(f"surrogates still clash after {ROUNDS} draws")
+
+
+def clashes(names: DataFrame, key: str) -> DataFrame:
+    """(type, canon, attempt) of the entities whose first draw clashes, with a draw that does not."""
+    return draws(names, key).filter("attempt > 0").select("type", "canon", "attempt")
 
 
 def _rewrite(docs: DataFrame, key: str) -> DataFrame:
-    """docs with a column __new: the replaced text, the number of entities and their types, from one search of a text."""
+    """row (docs' columns as a struct), text, and new: the replaced text, the number of entities and their types; null
+    where there is no entity.
+
+    Texts are searched for their entities once; distinct entities get their surrogates; only documents that have any
+    are rewritten, by a lookup. Documents meet their lookup by a hash of id and text; a hash shared by two documents
+    does no harm, for a lookup may hold more than is asked.
+    """
     text = F.col("text").cast("string")
-    found = docs.select(F.col("doc_id").alias("__id"), F.xxhash64(text).alias("__h"), F.explode(entities(text)).alias("e")).select("__id", "__h", F.explode(parts(F.col("e"))).alias("p"))
-    again = cut(clashes(found.select("p.type", "p.canon"), key))
-    empty = F.create_map().cast("map<string,int>")
-    if again.isEmpty():
-        held = docs.withColumn("__again", empty)
-    else:
-        mine = found.select("__id", "__h", F.col("p.type").alias("type"), F.col("p.canon").alias("canon")).distinct().join(small(again), ["type", "canon"])
-        mine = cut(mine.groupBy("__id", "__h").agg(F.map_from_entries(F.collect_list(F.struct(F.concat("type", F.lit(":"), "canon"), "attempt"))).alias("__again")))
-        held = docs.withColumn("__h", F.xxhash64(text)).join(small(mine.withColumnRenamed("__h", "__g")), F.col("__h").eqNullSafe(F.col("__g")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").withColumn("__again", F.coalesce("__again", empty))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("k"))
+    found = cut(held.select("k", F.explode(F.array_distinct(entities(F.col("text")))).alias("e")))
+    each = found.select("e").distinct().withColumn("kind", kind(F.col("e")))
+    each = cut(each.select("e", "kind", F.posexplode(parts(F.col("e"), F.col("kind"))).alias("i", "p")).select("e", "kind", "i", "p.*"))
+    votes = each.groupBy("type", "canon").agg(F.count_if(F.col("gender") == "m").alias("m"), F.count_if(F.col("gender") == "f").alias("f"))
+    new = draws(votes.select("type", "canon", F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n").alias("gender")), key)
+    subs = each.join(new.select("type", "canon", "s"), ["type", "canon"]).groupBy("e", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("ps"))
+    subs = cut(subs.select("e", "kind", _written(F.col("e"), F.col("kind"), F.col("ps.s")).alias("new")))
+    maps = found.join(small(subs), "e").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("e", F.struct("new", "kind")))).alias("map"))
 
     def rebuilt(es: Column) -> Column:
-        gaps = F.split(text, ANY, -1)
-        new = F.transform(es, lambda e: replace(e, key, F.col("__again")))
-        whole = F.when(F.size(es) == 0, text).otherwise(F.array_join(F.zip_with(gaps, new, lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), ""))
-        types = F.array_join(F.array_sort(F.array_distinct(F.transform(es, kind))), ",")
-        return F.struct(whole.alias("text"), F.size(es).cast("long").alias("n"), types.alias("types"))
+        subs = F.transform(es, lambda e: F.element_at(F.col("map"), e))
+        whole = F.array_join(F.zip_with(F.split(F.col("text"), ANY, -1), subs["new"], lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+        return F.struct(whole.alias("text"), F.size(es).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(subs["kind"])), ",").alias("types"))
 
-    return held.withColumn("__new", F.when(text.isNotNull(), let(entities(text), rebuilt)))
+    done = held.join(maps.hint("shuffle_hash"), "k", "left")
+    return done.select("row", "text", F.when(F.col("map").isNotNull(), let(entities(F.col("text")), rebuilt)).alias("new"))
 
 
-def pseudonymise(docs: DataFrame, key: str = "rotate-me") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """docs with every detected entity replaced; text and, where there is one, n_chars change, other columns stay.
 
-    Null texts stay null and texts without entities stay as they are. Repeated rows get equal results; a null doc_id is
-    no obstacle; extra columns are kept; an empty table gives an empty table. Replacing twice with one key gives
-    surrogates of surrogates, not the entities.
+    Null texts stay null; empty texts and those without entities stay as they are. Very long texts are searched whole,
+    in time linear in their length. Repeated rows and equal entities get equal results; a null doc_id is no obstacle;
+    extra columns are kept, whatever their names; an empty table gives an empty table. Replacing twice with one key
+    gives surrogates of surrogates, not the entities.
     """
-    done = _rewrite(docs, key).select(*(F.col("__new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
-    return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+    text = F.coalesce("new.text", "text")
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return text.alias(c)
+        if c == "n_chars":
+            return F.when(F.col("new").isNull(), F.col("row").getField(c)).otherwise(F.length(text).cast(docs.schema[c].dataType)).alias(c)
+        return F.col("row").getField(c).alias(c)
 
+    return _rewrite(docs, key).select(*map(column, docs.columns))
 
-def report(docs: DataFrame, key: str = "rotate-me") -> DataFrame:
-    """One row per row of docs: doc_id, n_entities, types (distinct, sorted, comma-joined), and the replaced text."""
+
+def report(docs: DataFrame, key: str) -> DataFrame:
+    """One row per row of docs: doc_id, n_entities, types (distinct, sorted, comma-joined), and the replaced text.
+
+    A null text stays null and has no entities; empty and very long texts, ties, repeated rows, null ids, extra columns
+    and empty tables are as in ``pseudonymise``.
+    """
     done = _rewrite(docs.select("doc_id", F.col("text").cast("string").alias("text")), key)
-    return done.select("doc_id", F.col("__new.text").alias("text"), F.coalesce("__new.n", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("__new.types", F.lit("")).alias("types"))
+    return done.select("row.doc_id", F.coalesce("new.text", "text").alias("text"), F.coalesce("new.n", F.lit(0)).cast("long").alias("n_entities"), F.coalesce("new.types", F.lit("")).alias("types"))

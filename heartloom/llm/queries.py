@@ -10,8 +10,16 @@ from heartloom.llm import byte_bpe, html_text, license_scan, matroska, minhash,
 from heartloom.llm.common import table
 
 
+#: Key of the surrogates where none is set in spark.heartloom.pii.key; for tests and checks only, as it is public.
+TEST_KEY = "a key for tests"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.heartloom.pii.key", TEST_KEY)
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.report(table(spark, sf_dir, "documents"))
+    return pii.report(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ def model(spark):
 
 def run(name, df, model):
     ops = {
-        "pii": pii.report, "rules": quality_rules.judge, "license": license_scan.scan, "bpe": byte_bpe.digests, "gam": lambda d: quality_gam.classify(d, model),
+        "pii": lambda d: pii.report(d, "k"), "rules": quality_rules.judge, "license": license_scan.scan, "bpe": byte_bpe.digests, "gam": lambda d: quality_gam.classify(d, model),
         "near": minhash.near_groups, "matroska": matroska.round_trip, "packing": packing.pack,
     }
     return ops[name](df)
@@ -62,7 +62,7 @@ def test_empty_tables_give_empty_tables(docs, model, name):
 
 
 def test_filters_keep_columns(docs, model):
-    for kept in (quality_rules.keep_passing(docs), quality_gam.keep_good(docs, model), minhash.keep_first(docs), pii.pseudonymise(docs)):
+    for kept in (quality_rules.keep_passing(docs), quality_gam.keep_good(docs, model), minhash.keep_first(docs), pii.pseudonymise(docs, "k")):
         assert kept.columns == docs.columns
     assert quality_rules.keep_passing(docs.limit(0)).count() == 0 and minhash.keep_first(docs.limit(0)).count() == 0
 
