@@ -1,62 +1,106 @@
 """Main text of web pages by shallow text features.
 
 A page is cut into flat text blocks. Each block has its own and its neighbours' word counts and link densities and the
-kind of element it stands in; a decision tree, grown on a small labelled table, tells content from boilerplate.
+kind of place it stands in (main, boilerplate by element or name, or neither); a decision tree, grown on a small
+labelled table of pages, tells content from boilerplate.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import product
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_CLASS = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_VALUE = r"(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>\"'][^\s>]*+)"
+#: An attribute as HTML reads it: quotes matter only where a value begins.
+_ATTRIBUTE = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?)?"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_NAMES = re.compile(r"(?:^|[\s/\"'])(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is never text of the page. Fixed values.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select", "title", "xmp"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "object", "select", "title", "annotation", "annotation-xml"}
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
+MATH = {"math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot", "mover", "munder", "munderover", "mfenced", "mpadded", "mphantom", "mtable", "mtr", "mtd"}
 BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"}
 #: Boilerplate in which an article is a teaser.
 ASIDE = BOILER - {"form"}
+#: Elements whose names tell what they hold.
+NAMED = {"div", "section", "aside", "nav", "header", "footer", "ul", "ol", "dl", "form", "table", "details", "fieldset", "p"}
 _BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Inside a main element or article only names that are one of these, or one and a general word, are boilerplate.
+_BAD_INSIDE = re.compile(
+    r"(?:^|\s)(?:(?:post|entry|article|page|site|user|reader)[_-])?(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|masthead|menu|modal|nav|navigation|newsletter|notice|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+    r"(?:[_-](?:area|bar|block|box|buttons?|container|form|icons?|inner|items?|links?|list|media|articles|pages|posts|section|signup|slot|stories|thread|unit|wrap|wrapper))*(?:$|\s)", re.I,
+)
 #: Names that say what a page has or lacks, not what the element is.
 _MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[_-][^\s]*", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story)(?:$|[\s_-])", re.I)
+#: Names of the main text itself, which undo a boilerplate name (not an element) around them.
+_MAIN_NAME = re.compile(r"(?:^|\s)(?:(?:article|entry|post|story)[_-](?:body|content|text)|main[_-](?:content|text))(?:$|\s)", re.I)
+_MAIN_ID = re.compile(r"(?:main|content|main[_-]?content)$", re.I)
+
+
+def _sample(rng: np.random.Generator, least: int, most: int) -> str:
+    return " ".join(f"word{n}" for n in rng.integers(0, 999, rng.integers(least, most + 1)))
 
-#: Labelled blocks: words and link density before, here and after; in main (1), in boilerplate (-1) or neither (0);
-#: content or not.
-LABELLED = (
-    # in the main element, short or long, whatever stands beside it
-    (0, 0.0, 60, 0.0, 40, 0.0, 1, 1), (6, 1.0, 12, 0.0, 80, 0.0, 1, 1), (80, 0.0, 1, 0.0, 90, 0.0, 1, 1), (90, 0.0, 2, 0.0, 8, 0.2, 1, 1),
-    (10, 0.0, 35, 0.1, 5, 0.0, 1, 1), (120, 0.0, 15, 0.4, 70, 0.0, 1, 1), (3, 0.0, 4, 0.0, 3, 0.0, 1, 1), (50, 0.0, 3, 1.0, 60, 0.0, 1, 1),
-    # in boilerplate elements, even where it reads like prose
-    (0, 0.0, 1, 1.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 1, 1.0, -1, 0), (1, 1.0, 1, 1.0, 8, 0.0, -1, 0), (1, 1.0, 9, 0.0, 14, 0.0, -1, 0),
-    (60, 0.0, 12, 0.0, 0, 0.0, -1, 0), (80, 0.0, 45, 0.0, 50, 0.0, -1, 0), (5, 0.0, 30, 0.2, 2, 1.0, -1, 0), (40, 0.0, 60, 0.0, 0, 0.0, -1, 0),
-    (90, 0.0, 20, 0.0, 0, 0.0, -1, 0), (150, 0.0, 30, 0.0, 0, 0.0, -1, 0), (70, 0.0, 25, 0.0, 30, 0.0, -1, 0), (2, 0.0, 75, 0.0, 80, 0.0, -1, 0),
-    (30, 0.0, 50, 0.05, 60, 0.0, -1, 0), (75, 0.0, 6, 0.0, 75, 0.0, -1, 0), (100, 0.0, 100, 0.0, 2, 0.0, -1, 0), (25, 0.0, 22, 0.0, 40, 0.0, -1, 0),
-)
 
+def labelled_pages(n: int = 72, seed: int = 1) -> list[tuple[str, list[str]]]:
+    """The labelled table: pages of six layouts with invented words, and the texts of their content blocks.
 
-def labelled() -> list[tuple]:
-    """LABELLED, and blocks of pages without such elements, which follow a rule: content is prose of few links, at
-    least a dozen words of it or between two long blocks."""
-    out = list(LABELLED)
-    for before, here, after in product((0, 3, 25, 70), (1, 4, 8, 14, 30, 80), (0, 3, 25, 70)):
-        for density in (0.0, 0.2, 0.5, 1.0):
-            good = density < 0.34 and (here >= 12 or density == 0 and min(before, after) >= 20)
-            out.append((before, float(0 < before < 10), here, density, after, float(0 < after < 10), 0, int(good)))
+    Layouts: sectioning elements; named divs; divs without names; a layout table; a blog theme whose wrapper is named
+    after its sidebar; and one with a form around everything. Nameless pages have a title that counts as a header.
+    """
+    rng, out = np.random.default_rng(seed), []
+    for k in range(n):
+        words = lambda a, b: _sample(rng, a, b)
+        link = lambda a, b: f'<a href="/{rng.integers(99)}">{words(a, b)}</a>'
+        nav = "".join(f"<li>{link(1, 3)}</li>" for _ in range(rng.integers(2, 7)))
+        teasers = "".join(f"<div>{link(3, 9)}</div>" for _ in range(rng.integers(2, 6)))
+        foot = f"<p>{words(3, 9)}</p>"
+        title, body = words(2, 9), []
+        for i in range(rng.integers(3, 9)):
+            kind = rng.random() if 0 < i else 1.0
+            body.append(f"<p>{words(2, 8)}</p>" if kind < 0.2 else f"<h2>{words(1, 6)}</h2>" if kind < 0.4 else f"<p>{words(14, 40)} {link(1, 4)} {words(5, 60)}</p>" if kind < 0.6 else f"<p>{words(20, 120)}</p>")
+        body.append(f"<p>{words(25, 90)}</p>")
+        notes = "".join(f"<p>{words(4, 60)}</p>" for _ in range(rng.integers(1, 5)))
+        text, main = "".join(body), f"<h1>{title}</h1>" + "".join(body)
+        layout = k % 6
+        if layout == 0:
+            page = f"<header><h1>{words(1, 3)}</h1></header><nav><ul>{nav}</ul></nav><main><article>{main}</article></main><aside>{notes}{teasers}</aside><footer>{foot}</footer>"
+        elif layout == 1:
+            page = f'<div class="site-header">{words(1, 4)}</div><ul class="menu">{nav}</ul><div id="content" class="post">{main}</div><div class="comments">{notes}</div><div class="sidebar">{teasers}</div><div id="footer">{foot}</div>'
+        elif layout == 2:
+            page = f"<div>{nav}</div><h1>{title}</h1><div>{text}</div><div>{teasers}</div><div>{link(1, 3)} {link(1, 3)}</div>"
+        elif layout == 3:
+            page = f"<table><tr><td>{nav}</td><td>{text}</td></tr><tr><td>{link(1, 4)}</td></tr></table>"
+        elif layout == 4:
+            page = f'<body class="single right-sidebar"><div id="page" class="has-sidebar"><ul>{nav}</ul><article><header class="entry-header"><h1>{title}</h1></header>{text}</article><div class="comment-list">{notes}</div></div></body>'
+        else:
+            page = f"<form action=/x><div class=navbar>{nav}</div><main>{main}</main></form><div class='cookie-notice'>{words(8, 40)}</div><footer>{foot}</footer>"
+        kept = text if layout in (2, 3) else main
+        out.append((page, [_SPACE.sub(" ", re.sub(r"<[^>]*>", "", x)).strip() for x in re.findall(r"<(?:p|h1|h2)>(.*?)</(?:p|h1|h2)>", kept)]))
     return out
 
 
+def labelled(pages: list[tuple[str, list[str]]] | None = None) -> list[tuple]:
+    """A row of each block of labelled pages: its features, and 1 for content."""
+    rows = []
+    for page, content in pages or labelled_pages():
+        bs, good = blocks(page), set(content)
+        rows += [(*x, int(b.text in good)) for x, b in zip(table_of(bs).tolist(), bs, strict=True)]
+    return rows
+
+
 @dataclass
 class Block:
     text: str
@@ -69,13 +113,39 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
+def _place(tag: str, attributes: str, place: int, named: bool, aside: int) -> tuple[int, bool]:
+    """The place of an element's content, and whether a name (not an element) made it boilerplate."""
+    root = tag == "html" or tag == "body"
+    found = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attributes)] if attributes else []
+    names = _MODIFIER.sub("", " ".join(v for _, v in found))
+    inside = place == 1
+    bad = bool(names and tag in NAMED and not (inside and tag == "header") and (_BAD_INSIDE if inside else _BAD_NAME).search(names))
+    if tag in BOILER and not (tag == "header" and inside):
+        return -1, False
+    if tag == "main" or tag == "article" and not aside:  # whatever names and forms are around it
+        return 1, False
+    if place == -1:
+        main = named and tag in NAMED and (_MAIN_NAME.search(names) or any(k == "id" and _MAIN_ID.match(v.strip()) for k, v in found))
+        return (1, False) if main else (place, named)
+    if bad and not (_MAIN_NAME.search(names) or any(k == "id" and _MAIN_ID.match(v.strip()) for k, v in found)):
+        return -1, True
+    if names and tag in NAMED and _GOOD_NAME.search(names):
+        return 1, False
+    return (0, False) if root else (place, named)
+
+
 def blocks(page: str) -> list[Block]:
-    """The page's text blocks in order, character references decoded, white space turned into one space."""
+    """The page's text blocks in order, character references decoded, white space turned into one space.
+
+    Time is linear in the page: open elements are counted by name, so an end tag without a start is passed over at once.
+    """
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, int]] = []
-    place, in_link, at, n = 0, 0, 0, len(page)
+    stack: list[tuple[str, int, bool]] = []
+    opened: Counter[str] = Counter()
+    endless: set[str] = set()
+    place, named, aside, link_at, at, n = 0, False, 0, -1, 0, len(page)
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -85,12 +155,19 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         links.clear()
 
+    def pop() -> str:
+        nonlocal place, named, aside
+        name, place, named = stack.pop()
+        opened[name] -= 1
+        aside -= name in ASIDE
+        return name
+
     while at < n:
         found = _TOKEN.search(page, at)
         text = page[at : found.start() if found else n]
         if text:
             parts.append(text)
-            if in_link:
+            if link_at >= 0:
                 links.append(text)
         if not found:
             break
@@ -98,40 +175,42 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         closing = found[0].startswith("</")
-        if tag in RAW and not closing and not found[0].endswith("/>"):
-            end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+        if tag in RAW:
+            if not closing and not found[0].endswith("/>") and tag not in endless:
+                end = _RAW_END[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    break
+                else:  # its end is missing: only the tag is dropped
+                    endless.add(tag)
             continue
         if tag == "br":
             parts.append(" ")
             continue
         if tag == "a":
-            in_link = 0 if closing else 1
-        if tag in INLINE:
+            link_at = -1 if closing else len(stack)
+        if tag in INLINE or tag in MATH:
             continue
         flush()
-        in_link = 0
+        if tag in ("p", "li") or len(stack) < link_at:
+            link_at = -1
         if tag in VOID:
             continue
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    name, place = stack.pop()
-                    if name == tag:
-                        break
-        elif tag not in ("p", "li", "html", "body") or _CLASS.search(found[2] or ""):
-            stack.append((tag, place))
-            root = tag == "html" or tag == "body"
-            names = _MODIFIER.sub("", " ".join(a or b or c for a, b, c in _CLASS.findall(found[2] or "")))
-            bad = bool(names and not root and _BAD_NAME.search(names))
-            if tag in BOILER and not (tag == "header" and place == 1) or bad:
-                place = -1
-            elif tag == "main" or tag == "article" and not any(t in ASIDE for t, _ in stack):  # whatever names and forms are around it
-                place = 1
-            elif place != -1 and names and _GOOD_NAME.search(names):
-                place = 1
-            elif root:
-                place = 0
+            if opened[tag]:
+                while pop() != tag:
+                    pass
+                if len(stack) < link_at:
+                    link_at = -1
+            continue
+        if stack and (stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li"):  # a paragraph ends where a block begins
+            pop()
+        stack.append((tag, place, named))
+        opened[tag] += 1
+        inner = aside
+        aside += tag in ASIDE
+        place, named = _place(tag, found[2] or "", place, named, inner)
     flush()
     return out
 
@@ -168,8 +247,16 @@ def judge(tree: tuple, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= t, judge(a, x), judge(b, x)) if len(x) else np.zeros(0, bool)
 
 
+@lru_cache(1)
+def _own() -> tuple:
+    return train(labelled())
+
+
 def train(rows: list[tuple] | None = None) -> tuple:
-    data = np.array(rows or labelled(), float)
+    """The tree of labelled rows; by default that of the labelled pages."""
+    if rows is None:
+        return _own()
+    data = np.array(rows, float)
     return grow(data[:, :-1], data[:, -1])
 
 
@@ -181,8 +268,9 @@ def main_text(page: str | None, tree: tuple) -> str:
 def extract(pages: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    A null or empty page, and one without content, has an empty text. Broken markup and cut pages are read as far as
-    they go. Repeated rows give equal rows; null ids and urls stay null; extra columns are ignored.
+    A null or empty page, and one without content, has an empty text; an empty table gives an empty table. Broken markup
+    and cut pages are read as far as they go, very long ones whole and in linear time. Repeated rows give equal rows;
+    null ids and urls stay null; extra columns are ignored, whatever their names.
     """
     tree = train(rows)
 
