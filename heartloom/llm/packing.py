@@ -9,6 +9,7 @@ within their class on Spark, are then dealt to the patterns' slots.
 
 from __future__ import annotations
 
+import logging
 import os
 import zlib
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,13 +27,14 @@ from heartloom.llm.common import cut
 
 @dataclass(frozen=True)
 class PackParams:
-    """capacity: tokens of a sequence; unit: width of a length class; end: the id put after each document."""
+    """capacity: tokens of a sequence; unit: width of a length class; end: the id put after each document; memo: words
+    that a worker remembers."""
 
     capacity: int = 2048
     unit: int = 8
     end: int = 1
     tokenizer: str | None = None
-    memo: int = 600_000
+    memo: int = 800_000
 
     @property
     def vocabulary(self) -> str:
@@ -41,51 +45,126 @@ class PackParams:
         return public_tokenizers.path("word_bpe_49k.json")
 
 
-_held: dict[str, tuple] = {}
+_held: dict[str, Encoder] = {}
 
+#: What the tokenizer takes as one piece, in lower case. Fixed value.
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of old and stable characters that lower-casing and composition leave alone but for case (not the capital
+#: sigma, which ends words in another form): cut here, not there. Neither are words that may hold a special token.
+_PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u017f\u0388-\u03a2\u03a4-\u0482\u048a-\u04ff]+")
+#: Bytes of text that are held as ids at once.
+_BLOCK = 8 << 20
 
-def encoder(p: PackParams):  # noqa: ANN201
-    """A function from a text's bytes to its ids as little-endian 32-bit numbers.
 
-    The tokenizer drops white space and never joins across it, so words are encoded once each and kept in a memo of
-    bounded size that lasts as long as the worker.
+class Encoder:
+    """Ids of many texts at once, with a bounded memo of words.
+
+    The tokenizer drops white space and never joins across it, lower-cases, and cuts a word into pieces each of which
+    ends in one token that says so. A block's distinct words are therefore cut and encoded once, all new pieces in few
+    calls, and the ids of all words are gathered from a pool.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark places the tasks; a task is one thread
-    from tokenizers import Tokenizer
 
+    def __init__(self, p: PackParams) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark places the tasks; a task is one thread
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.limit = Tokenizer.from_file(p.vocabulary), p.memo
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.memo: dict[str, int] = {"": 0}
+        self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        first = len(self.lengths)
+        self.memo.update(zip(words, range(first, first + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def gather(self, slots: np.ndarray) -> np.ndarray:
+        """The ids of the words at these slots, one after another."""
+        n = self.lengths[slots]
+        return self.pool[np.repeat(self.starts[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def _learn(self, words: list[str]) -> None:
+        """Take new words into the memo."""
+        plain, odd = [], []
+        for w in words:
+            (plain if (w.isascii() and w.isprintable() or _PLAIN.fullmatch(w)) and "<|" not in w else odd).append(w)
+        cut = [(w.lower(),) if w.isalpha() else _PIECE.findall(w.lower()) for w in plain]
+        pieces = [x for x in dict.fromkeys(x for parts in cut for x in parts) if x not in self.memo]
+        for at in range(0, len(pieces), 1 << 15):
+            some = pieces[at : at + (1 << 15)]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(some):
+                raise ValueError("the tokenizer cuts words in another way")
+            self._add(some, ids, np.diff(last, prepend=-1))
+        many = [(w, parts) for w, parts in zip(plain, cut, strict=True) if w not in self.memo]
+        slots = np.array([self.memo[x] for _, parts in many for x in parts], np.int64)
+        if many:
+            each = np.add.reduceat(np.append(self.lengths[slots], 0), np.cumsum([0, *(len(parts) for _, parts in many[:-1])]))
+            self._add([w for w, _ in many], self.gather(slots), each)
+        if odd:
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+            self._add(odd, np.concatenate(found), np.array([len(x) for x in found]))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, and where each text's ids end."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        kinds = words.dictionary.to_pylist()
+        new = [w for w in kinds if w not in self.memo]
+        if len(self.memo) + len(new) > self.limit:
+            self._clear()
+            new = kinds
+        self._learn(new)
+        slot_of = np.fromiter(map(self.memo.__getitem__, kinds), np.int64, len(kinds))
+        slots = slot_of[words.indices.to_numpy(zero_copy_only=False)] if len(kinds) else np.empty(0, np.int64)
+        upto = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+        total = np.append(0, np.cumsum(self.lengths[slots]))[upto] + np.arange(1, len(upto) + 1)
+        ids = np.full(int(total[-1]) if len(total) else 0, end, "<u4")
+        inner = np.ones(len(ids), bool)
+        inner[total - 1] = False
+        ids[inner] = self.gather(slots)
+        return ids, total
+
+
+def encoder(p: PackParams) -> Encoder:
+    """The worker's encoder, made once."""
     if p.vocabulary not in _held:
-        _held[p.vocabulary] = (Tokenizer.from_file(p.vocabulary), {})
-    tokenizer, memo = _held[p.vocabulary]
+        _held[p.vocabulary] = Encoder(p)
+    return _held[p.vocabulary]
 
-    def encode(text: bytes) -> bytes:
-        ws = text.split()
-        new = [w for w in set(ws) if w not in memo]
-        if new:
-            if len(memo) + len(new) > p.memo:
-                memo.clear()
-                new = list(set(ws))
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    memo[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, ws))
 
-    return encode
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about _BLOCK bytes of text, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(sizes) // _BLOCK
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
 
 
 def pieces(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids and the end id, cut at full sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(p), np.array([p.end], "<u4").tobytes()
+        held = encoder(p)
         for batch in batches:
-            out: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                ids = encode(text or b"") + end
-                n = len(ids) // 4
-                out += ((doc, at, min(p.capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + p.capacity)]), n) for at in range(0, n, p.capacity))
-            cols = list(zip(*out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for part in _blocks(batch):
+                ids, ends = held.encode(part.column("text"), p.end)
+                data, out, first = memoryview(ids).cast("B"), [], 0
+                for doc, last in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
+                    n = last - first
+                    out += ((doc, at, min(p.capacity, n - at), zlib.crc32(data[4 * (first + at) : 4 * (first + min(at + p.capacity, n))]), n) for at in range(0, n, p.capacity))
+                    first = last
+                cols = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     held = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     return held.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
@@ -115,8 +194,9 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, n
 def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns (counts by size) and how often each is used, so that every demand is met.
 
-    The linear program starts from one pattern for each size and takes in priced columns until none improves it, or
-    after ``steps`` columns; what is left by rounding down is filled largest first.
+    The linear program starts from one pattern for each size and takes in priced columns until none improves it. After
+    ``steps`` columns it stops where it is, which is logged and costs padding only; what is left by rounding down is
+    filled largest first.
     """
     m = len(sizes)
     left = demand.astype(np.int64).copy()
@@ -148,6 +228,8 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, room: int, steps: int = 4000
             row = inverse[out] / move[out]
             inverse -= np.outer(move, row)
             inverse[out] = row
+        else:
+            logging.getLogger(__name__).warning("the linear program was stopped after %d columns", steps)
         for k in range(m):
             n = int(x[k] + 1e-6)
             if cost[k] and n:
@@ -183,8 +265,10 @@ def slots(demand: dict[int, int], room: int) -> np.ndarray:
 def pack(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is the end id alone. Repeated rows are packed once each; a null doc_id stays null; extra
-    columns are ignored; an empty table gives an empty table. A sequence's pieces stand gapless from 0.
+    A null or empty text is the end id alone; a very long one is cut into as many full sequences as it needs. Repeated
+    rows are packed once each, in any order among themselves; pieces of equal length are dealt by doc_id and start; a
+    null doc_id stays null; extra columns are ignored, whatever their names; an empty table gives an empty table. A
+    sequence's pieces stand gapless from 0.
     """
     order = ["doc_id", "start", "length", "ids_crc32"]
     held = cut(pieces(docs, p).withColumn("size", F.ceil(F.col("length") / p.unit).cast("long")))
