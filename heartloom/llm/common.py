@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a wider table that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Rows of narrow (id, id) pairs that may be broadcast; a hashed relation of them stays under about 32 MB.
 BROADCAST_ROWS = 500_000
 
@@ -35,3 +37,9 @@ def cut(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a cut or cheap narrow table if it has at most this many rows; else leave the shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def light(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of a cut table whose rows' sizes (a column of bytes) add up to this at most."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df

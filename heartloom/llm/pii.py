@@ -25,7 +25,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heartloom.llm.common import cut, small
+from heartloom.llm.common import cut, light, small
 from heartloom.llm.quality_rules import let
 
 #: Titles and the gender that they tell. Fixed values.
@@ -346,7 +346,7 @@ def _rewrite(docs: DataFrame, key: str) -> DataFrame:
     new = draws(votes.select("type", "canon", F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n").alias("gender")), key)
     subs = each.join(new.select("type", "canon", "s"), ["type", "canon"]).groupBy("e", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("ps"))
     subs = cut(subs.select("e", "kind", _written(F.col("e"), F.col("kind"), F.col("ps.s")).alias("new")))
-    maps = found.join(small(subs), "e").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("e", F.struct("new", "kind")))).alias("map"))
+    maps = found.join(light(subs, F.length("e") + F.length("new") + 48), "e").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("e", F.struct("new", "kind")))).alias("map"))
 
     def rebuilt(es: Column) -> Column:
         subs = F.transform(es, lambda e: F.element_at(F.col("map"), e))
