@@ -23,18 +23,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heartloom.llm.common import cut
+from heartloom.llm.wordhash import hashes_of, mix
 
 
 @dataclass(frozen=True)
 class PackParams:
-    """capacity: tokens of a sequence; unit: width of a length class; end: the id put after each document; memo: words
-    that a worker remembers."""
+    """capacity: tokens of a sequence; unit: width of a length class; end: the id put after each document; memo: pieces
+    of words that a worker remembers."""
 
     capacity: int = 2048
     unit: int = 8
     end: int = 1
     tokenizer: str | None = None
-    memo: int = 800_000
+    memo: int = 1_500_000
 
     @property
     def vocabulary(self) -> str:
@@ -47,21 +48,61 @@ class PackParams:
 
 _held: dict[str, Encoder] = {}
 
-#: What the tokenizer takes as one piece, in lower case. Fixed value.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words of old and stable characters that lower-casing and composition leave alone but for case (not the capital
-#: sigma, which ends words in another form): cut here, not there. Neither are words that may hold a special token.
-_PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u017f\u0388-\u03a2\u03a4-\u0482\u048a-\u04ff]+")
-#: Bytes of text that are held as ids at once.
-_BLOCK = 8 << 20
+#: Characters of text that are held as ids at once.
+_BLOCK = 1 << 20
+#: Old and stable characters that composition leaves alone and lower-casing maps one to one: words of them are cut into
+#: pieces here (spaces, letters, single digits, other characters), other words by the tokenizer. The apostrophe begins
+#: pieces of its own and is left to it too, as are special tokens.
+_KNOWN = 0x500
+_PLAIN = regex.compile(r"[\x09-\x0d\x20-\x26\x28-\x7e\xa1-\u012f\u0131-\u017f\u0388-\u03a2\u03a4-\u0482\u048a-\u04ff]")
+_TABLE = [chr(i) for i in range(_KNOWN)]
+_ODD = np.array([not _PLAIN.match(c) for c in _TABLE])
+_LOWER = np.array([ord(c if odd else c.lower()) for c, odd in zip(_TABLE, _ODD, strict=True)], np.uint32)
+_SPACE, _LETTER, _DIGIT, _OTHER = range(4)
+_CLASS = np.array([_SPACE if c in " \t\n\v\f\r" else _LETTER if regex.match(r"\p{L}", c) else _DIGIT if regex.match(r"\p{N}", c) else _OTHER for c in _TABLE], np.uint8)
+_VALUES = np.random.default_rng(77).integers(1, 1 << 63, (2, _KNOWN), dtype=np.uint64)
+
+
+class Memo:
+    """Slots of 64-bit keys in a table of open addresses, all keys of a call at once."""
+
+    def __init__(self, limit: int) -> None:
+        self.limit, bits = limit, max(10, (2 * limit).bit_length())
+        self.keys, self.slots, self.mask, self.n = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), np.uint64((1 << bits) - 1), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each key, -1 where it is new."""
+        out = np.full(len(keys), -1, np.int32)
+        at, left = keys & self.mask, None
+        while True:
+            there = self.keys[at]
+            wanted = keys if left is None else keys[left]
+            hit, more = there == wanted, (there != wanted) & (there != 0)
+            out[hit.nonzero()[0] if left is None else left[hit]] = self.slots[at[hit]]
+            left = more.nonzero()[0] if left is None else left[more]
+            if not len(left):
+                return out
+            at = (at[more] + np.uint64(1)) & self.mask
+
+    def add(self, keys: np.ndarray, slots: np.ndarray) -> None:
+        """Put in distinct new keys."""
+        self.n += len(keys)
+        at = keys & self.mask
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = keys[free]
+            won = free & (self.keys[at] == keys)
+            self.slots[at[won]] = slots[won]
+            keys, slots, at = keys[~won], slots[~won], (at[~won] + np.uint64(1)) & self.mask
 
 
 class Encoder:
-    """Ids of many texts at once, with a bounded memo of words.
+    """Ids of many texts at once, with a bounded memo of word pieces.
 
     The tokenizer drops white space and never joins across it, lower-cases, and cuts a word into pieces each of which
-    ends in one token that says so. A block's distinct words are therefore cut and encoded once, all new pieces in few
-    calls, and the ids of all words are gathered from a pool.
+    ends in one token that says so. A block's texts are cut into pieces by arrays of character classes; pieces are
+    known by two 64-bit hashes; those not in the memo are encoded once, all in few calls; and the ids of all pieces are
+    gathered from a pool.
     """
 
     def __init__(self, p: PackParams) -> None:
@@ -70,69 +111,109 @@ class Encoder:
 
         self.tokenizer, self.limit = Tokenizer.from_file(p.vocabulary), p.memo
         vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.memo: dict[str, int] = {"": 0}
-        self.pool, self.starts, self.lengths = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.memo, self.pool = Memo(self.limit), np.empty(0, np.uint32)
+        self.starts, self.lengths, self.checks = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
 
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        first = len(self.lengths)
-        self.memo.update(zip(words, range(first, first + len(words)), strict=True))
+    def _add(self, ids: np.ndarray, lengths: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        slots = np.arange(len(self.lengths), len(self.lengths) + len(lengths), dtype=np.int32)
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, ids])
-
-    def gather(self, slots: np.ndarray) -> np.ndarray:
-        """The ids of the words at these slots, one after another."""
-        n = self.lengths[slots]
-        return self.pool[np.repeat(self.starts[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-
-    def _learn(self, words: list[str]) -> None:
-        """Take new words into the memo."""
-        plain, odd = [], []
-        for w in words:
-            (plain if (w.isascii() and w.isprintable() or _PLAIN.fullmatch(w)) and "<|" not in w else odd).append(w)
-        cut = [(w.lower(),) if w.isalpha() else _PIECE.findall(w.lower()) for w in plain]
-        pieces = [x for x in dict.fromkeys(x for parts in cut for x in parts) if x not in self.memo]
-        for at in range(0, len(pieces), 1 << 15):
-            some = pieces[at : at + (1 << 15)]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) != len(some):
-                raise ValueError("the tokenizer cuts words in another way")
-            self._add(some, ids, np.diff(last, prepend=-1))
-        many = [(w, parts) for w, parts in zip(plain, cut, strict=True) if w not in self.memo]
-        slots = np.array([self.memo[x] for _, parts in many for x in parts], np.int64)
-        if many:
-            each = np.add.reduceat(np.append(self.lengths[slots], 0), np.cumsum([0, *(len(parts) for _, parts in many[:-1])]))
-            self._add([w for w, _ in many], self.gather(slots), each)
-        if odd:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
-            self._add(odd, np.concatenate(found), np.array([len(x) for x in found]))
-
-    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        self.lengths, self.checks = np.concatenate([self.lengths, lengths]), np.concatenate([self.checks, checks])
+        self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+        self.memo.add(keys, slots)
+
+    def _learn(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        """Take new pieces and odd words into the memo."""
+        for some in np.array_split((~odd).nonzero()[0], max(1, len(odd) >> 15)):
+            if len(some):
+                joined, _ = ragged(codes, starts[some], ends[some] - starts[some], " ")
+                ids = np.array(self.tokenizer.encode_batch_fast([joined.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, np.uint32)
+                last = self.last[ids].nonzero()[0]
+                if len(last) != len(some):
+                    raise ValueError("the tokenizer cuts words in another way")
+                self._add(ids, np.diff(last, prepend=-1), keys[some], checks[some])
+        some = odd.nonzero()[0]
+        if len(some):
+            words = [codes[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[some], ends[some], strict=True)]
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            self._add(np.concatenate(found), np.array([len(x) for x in found]), keys[some], checks[some])
+
+    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, and where each text's ids end."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        words = split.flatten().dictionary_encode()
-        kinds = words.dictionary.to_pylist()
-        new = [w for w in kinds if w not in self.memo]
-        if len(self.memo) + len(new) > self.limit:
-            self._clear()
-            new = kinds
-        self._learn(new)
-        slot_of = np.fromiter(map(self.memo.__getitem__, kinds), np.int64, len(kinds))
-        slots = slot_of[words.indices.to_numpy(zero_copy_only=False)] if len(kinds) else np.empty(0, np.int64)
-        upto = np.cumsum(split.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-        total = np.append(0, np.cumsum(self.lengths[slots]))[upto] + np.arange(1, len(upto) + 1)
-        ids = np.full(int(total[-1]) if len(total) else 0, end, "<u4")
+        held = [x or "" for x in texts]
+        codes = np.frombuffer(("\n".join(held) + "\n").encode("utf-32-le"), np.uint32)
+        codes, starts, ends, odd = units(codes)
+        values = np.minimum(codes, _KNOWN - 1)
+        keys, checks = (self._hashed(codes, values, k, starts, ends) for k in (0, 1))
+        slots = self.memo.find(keys)
+        if (slots < 0).any():
+            new = np.unique(keys[slots < 0])
+            if self.memo.n + len(new) > self.limit:
+                self._clear()
+                slots[:] = -1
+            new, first = np.unique(keys[slots < 0], return_index=True)
+            first = (slots < 0).nonzero()[0][first]
+            if len(new) > self.limit:
+                self.memo = Memo(len(new))
+            self._learn(codes, starts[first], ends[first], odd[first], new, checks[first])
+            slots = self.memo.find(keys)
+        if (self.checks[slots] != checks).any():
+            raise ValueError("two pieces have one hash")
+        upto = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in held]))
+        total = np.append(0, np.cumsum(self.lengths[slots]))[upto] + np.arange(1, len(held) + 1)
+        ids = np.full(int(total[-1]) if held else 0, end, "<u4")
         inner = np.ones(len(ids), bool)
         inner[total - 1] = False
-        ids[inner] = self.gather(slots)
+        ids[inner] = ragged(self.pool, self.starts[slots], self.lengths[slots])[0]
         return ids, total
 
+    @staticmethod
+    def _hashed(codes: np.ndarray, values: np.ndarray, k: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        rare = (codes >= _KNOWN).nonzero()[0]
+        values = _VALUES[k][values]
+        values[rare] = mix(codes[rare].astype(np.uint64) + np.uint64(k << 40))
+        return np.maximum(hashes_of(values, starts, ends), np.uint64(1))
+
+
+def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, after: str = "") -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values from starts, one after another, each followed by a character; and where each begins."""
+    wide = lengths + len(after)
+    first = np.cumsum(wide) - wide
+    at = np.repeat(starts - first, wide) + np.arange(wide.sum())
+    if not after:
+        return values[at], first
+    out = values[np.minimum(at, len(values) - 1)]
+    out[first + lengths] = ord(after)
+    return out, first
+
+
+def units(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Code points with plain words lower-cased; starts and ends of pieces and of odd words; whether a unit is odd."""
+    known = np.minimum(codes, _KNOWN - 1)
+    kind = _CLASS[known]
+    odd = _ODD[known] | (codes >= _KNOWN)
+    kind[codes >= _KNOWN] = _OTHER
+    odd[:-1] |= (codes[:-1] == ord("<")) & (codes[1:] == ord("|"))
+    inside = kind != _SPACE
+    before = np.append(np.uint8(_SPACE), kind[:-1])
+    starting = inside & (before == _SPACE)
+    words = starting.nonzero()[0]
+    if not len(words):
+        return codes, words, words, np.empty(0, bool)
+    strange = np.logical_or.reduceat(odd & inside, words)
+    whole = np.zeros(len(codes), bool)
+    if strange.any():
+        whole = strange[np.maximum(np.cumsum(starting) - 1, 0)]
+    starting |= inside & ~whole & ((kind != before) | (kind == _DIGIT))
+    ending = inside.copy()
+    ending[:-1] &= ~inside[1:] | starting[1:]
+    starts, ends = starting.nonzero()[0], ending.nonzero()[0] + 1
+    return np.where(whole, codes, _LOWER[known]), starts, ends, whole[starts]
+
 
 def encoder(p: PackParams) -> Encoder:
     """The worker's encoder, made once."""
@@ -157,7 +238,7 @@ def pieces(docs: DataFrame, p: PackParams = PackParams()) -> DataFrame:
         held = encoder(p)
         for batch in batches:
             for part in _blocks(batch):
-                ids, ends = held.encode(part.column("text"), p.end)
+                ids, ends = held.encode(part.column("text").to_pylist(), p.end)
                 data, out, first = memoryview(ids).cast("B"), [], 0
                 for doc, last in zip(part.column("doc_id").to_pylist(), ends.tolist(), strict=True):
                     n = last - first

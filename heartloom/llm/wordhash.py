@@ -48,12 +48,17 @@ def spans(data: np.ndarray, separators: np.ndarray = SPACES) -> tuple[np.ndarray
     return edges[0::2], edges[1::2]
 
 
+def hashes_of(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of characters, of which values has a random number each."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power("up", _BASE, len(values)), out=total[1:])
+    down = _power("down", _INVERSE, len(values) + 1)
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTES) -> np.ndarray:
     """A 64-bit hash of each span, equal for equal bytes wherever they stand."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(values[data] * _power("up", _BASE, len(data)), out=total[1:])
-    down = _power("down", _INVERSE, len(data) + 1)
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return hashes_of(values[data], starts, ends)
 
 
 def shingles(text: bytes, k: int = 2, fold: bool = True) -> np.ndarray:
