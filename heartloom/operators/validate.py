@@ -24,7 +24,7 @@ def _differ(a: F.Column, b: F.Column, rtol: float = 0.0, atol: float = 1e-9) ->
 
 def reference_mismatches(references: DataFrame, candidates: DataFrame) -> DataFrame:
     known = references.select("subject", "window_id", F.col("reference_hr_bpm").alias("hr"), F.col("reference_valid").alias("valid"))
-    both = candidates.join(F.broadcast(known), ["subject", "window_id"])
+    both = candidates.join(known, ["subject", "window_id"])
     return both.filter(_differ(fin("reference_hr_bpm"), fin("hr")) | ~F.col("reference_valid").eqNullSafe(F.col("valid")))
 
 
