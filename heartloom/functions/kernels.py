@@ -9,32 +9,58 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from heartloom.functions import dsp
-
+from heartloom.schemas import BAND_HZ
 
 
 def _doubles(*names: str) -> StructType:
     return StructType([StructField(n, DoubleType()) for n in names])
 
 
+#: Windows whose signals are filtered together.
+BATCH = 64
 RATE = _doubles("rppg_hr_bpm", "spectral_peak_fraction", "spectral_entropy", "rppg_signal_std")
+BOTH = _doubles(*(f"{m}_{c}" for m in ("pos", "chrom") for c in RATE.names))
 CONTACT = _doubles("time_hr_bpm", "frequency_hr_bpm")
 _NONE = (None,) * 4
 
 
-def _estimate(times: np.ndarray, rgb: np.ndarray, fs: float, method: str) -> tuple:
-    good = np.isfinite(rgb).all(axis=1)
-    filled = np.column_stack([np.interp(times, times[good], rgb[good, c]) for c in range(3)])
-    return dsp.spectral_features(dsp.pulse(filled, fs, method), fs)
+#: Rates must be above this for the band to lie below half the rate.
+LEAST_RATE = 2 * BAND_HZ[1]
+
+
+def _estimates(status: pd.Series, fs: pd.Series, t: pd.Series, colours: tuple[pd.Series, ...], methods: tuple[str, ...]) -> list[list[tuple]]:
+    """For each method a row for each window; windows of one length and inner window are worked through together.
+
+    No estimate for windows that aren't ok, and for those of too low a rate for the band.
+    """
+    out = [[_NONE] * len(status) for _ in methods]
+    groups: dict[tuple[int, int], list[int]] = {}
+    filled: dict[int, np.ndarray] = {}
+    for i, (s, rate, times) in enumerate(zip(status, fs, t, strict=True)):
+        if s != "ok" or not rate > LEAST_RATE:
+            continue
+        times, rgb = np.asarray(times, float), np.column_stack([np.asarray(c.iloc[i], float) for c in colours])
+        good = np.isfinite(rgb).all(axis=1)
+        filled[i] = rgb if good.all() else np.column_stack([np.interp(times, times[good], rgb[good, c]) for c in range(3)])
+        groups.setdefault((len(times), dsp.subwindow(rate)), []).append(i)
+    for rows in groups.values():
+        for at in range(0, len(rows), BATCH):
+            some = rows[at : at + BATCH]
+            rgb, rates = np.stack([filled[i] for i in some]), fs.iloc[some].to_numpy(float)
+            for found, method in zip(out, methods, strict=True):
+                for i, x, rate in zip(some, dsp.pulse(rgb, rates, method), rates.tolist(), strict=True):
+                    found[i] = dsp.spectral_features(x, rate)
+    return out
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=RATE.names, dtype=float)
 
 
 def _udf(method: str):  # noqa: ANN202
     @pandas_udf(RATE)
     def rate(status: pd.Series, fs: pd.Series, t: pd.Series, r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [
-            _estimate(np.asarray(x[2], float), np.column_stack([np.asarray(c, float) for c in x[3:]]), x[1], method) if x[0] == "ok" else _NONE
-            for x in zip(status, fs, t, r, g, b, strict=True)
-        ]
-        return pd.DataFrame(rows, columns=RATE.names, dtype=float)
+        return _frame(_estimates(status, fs, t, (r, g, b), (method,))[0])
 
     return rate
 
@@ -42,6 +68,13 @@ def _udf(method: str):  # noqa: ANN202
 pos_rate, chrom_rate = _udf("POS"), _udf("CHROM")
 
 
+@pandas_udf(BOTH)
+def both_rates(status: pd.Series, fs: pd.Series, t: pd.Series, r: pd.Series, g: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Both methods' estimates from one transfer of the samples."""
+    pos, chrom = map(_frame, _estimates(status, fs, t, (r, g, b), ("POS", "CHROM")))
+    return pd.concat([pos.add_prefix("pos_"), chrom.add_prefix("chrom_")], axis=1)
+
+
 @pandas_udf(CONTACT)
 def contact_rate(t: pd.Series, ppg: pd.Series) -> pd.DataFrame:
     rows = [dsp.contact_rate(np.asarray(a, float), np.asarray(b, float)) if a is not None else (None, None) for a, b in zip(t, ppg, strict=True)]
@@ -50,5 +83,5 @@ def contact_rate(t: pd.Series, ppg: pd.Series) -> pd.DataFrame:
 
 def register(spark: SparkSession) -> None:
     """Make the kernels usable from SQL."""
-    for name, f in (("pos_rate", pos_rate), ("chrom_rate", chrom_rate), ("contact_rate", contact_rate)):
+    for name, f in (("pos_rate", pos_rate), ("chrom_rate", chrom_rate), ("both_rates", both_rates), ("contact_rate", contact_rate)):
         spark.udf.register(name, f)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heartloom.functions import kernels
 from heartloom.missing import fin, ratio
 from heartloom.operators.windows import effective_rate, in_windows, sensor_corrected, tumbling_windows, window_quality
-from heartloom.schemas import AUDIT_KEY, CANDIDATES, REFERENCE_WINDOWS, condition_dim, roi_dim
+from heartloom.schemas import AUDIT_KEY, CANDIDATES, METHODS, REFERENCE_WINDOWS, condition_dim, roi_dim
 
 
 def _ordered(df: DataFrame, schema: str) -> DataFrame:
@@ -42,7 +42,7 @@ def candidates(references: DataFrame, frames: DataFrame, conditions: list[str] |
     """Candidates (schema CANDIDATES): a row for each reference window, condition, region and method.
 
     frames: long traces with condition and sel_seq. Windows without frames keep their rows. The kernels run once for
-    each window and region that passes the quality gates.
+    each window and region that passes the quality gates; one whose rate is too low for the band has no estimate.
     """
     spark = references.sparkSession
     conds = condition_dim(spark).select("condition")
@@ -51,9 +51,9 @@ def candidates(references: DataFrame, frames: DataFrame, conditions: list[str] |
     grid = grid.join(F.broadcast(conds.join(roi_dim(spark).select("roi"), F.lit(True))), F.lit(True))
     q = window_quality(grid, frames, ["subject", "condition", "roi"])
     args = [F.col(c) for c in ("window_status", "sample_rate_hz", "samples.time_sec", "samples.r", "samples.g", "samples.b")]
-    q = q.withColumns({"pos": kernels.pos_rate(*args), "chrom": kernels.chrom_rate(*args)}).drop("samples")
-    named = lambda m, c: F.struct(F.lit(m).alias("method"), F.col(c).alias("k"))
-    out = q.withColumn("x", F.explode(F.array(named("POS", "pos"), named("CHROM", "chrom")))).select("*", "x.method", "x.k.*")
+    q = q.withColumn("rates", kernels.both_rates(*args)).drop("samples")
+    named = lambda m: F.struct(F.lit(m).alias("method"), *(F.col(f"rates.{m.lower()}_{c}").alias(c) for c in kernels.RATE.names))
+    out = q.withColumn("x", F.explode(F.array(*map(named, METHODS)))).select("*", "x.*")
     error = fin("rppg_hr_bpm") - F.col("reference_hr_bpm")
     out = out.withColumns({"signed_error_bpm": error, "absolute_error_bpm": F.abs(error)})
     return _ordered(method_agreement(out), CANDIDATES)
