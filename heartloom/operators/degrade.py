@@ -23,7 +23,9 @@ def pick_frames(times: Column, start: Column, end: Column, fps: Column) -> Colum
     def step(s: Column, k: Column) -> Column:
         tick = start + k / fps
         best = F.array_min(F.transform(s["left"], lambda x: F.struct(F.abs(x["t"] - tick).alias("d"), x["i"].alias("i"))))["i"]
-        return F.when(F.size(s["left"]) == 0, s).otherwise(F.struct(F.array_append(s["taken"], best).alias("taken"), F.filter(s["left"], lambda x: x["i"] != best).alias("left")))
+        # the best is bound to a variable, or the filter would find it anew for each frame
+        took = lambda b: F.struct(F.array_append(s["taken"], b).alias("taken"), F.filter(s["left"], lambda x: x["i"] != b).alias("left"))
+        return F.when(F.size(s["left"]) == 0, s).otherwise(F.element_at(F.transform(F.array(best), took), 1))
 
     return F.when(ticks > 0, F.aggregate(F.sequence(F.lit(0), ticks - 1), state, step, lambda s: s["taken"])).otherwise(F.array().cast("array<int>"))
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heartloom import adapters
-from heartloom.adapters import DUCK_MICROS, FEATURES, TRACE
-from heartloom.functions import kernels
+from heartloom.adapters import DUCK_MICROS, FEATURES, RECORDING, TRACE
 from heartloom.operators import bootstrap, candidates, degrade, ranking, reliability, validate, windows
 from heartloom.schemas import QUALITY
 
@@ -54,8 +54,8 @@ def method_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(candidates.method_agreement(held).select("subject", "condition", "window_id", "roi", "method", "pos_chrom_diff_bpm"))
 
 
-PAIRED = f"""{C}, q AS (SELECT d.condition, d.subject, d.window_id, d.roi, d.method, o.reference_valid AS v, o.window_status AS so, d.window_status AS sd, o.rppg_hr_bpm AS ro, d.rppg_hr_bpm AS rd, o.signed_error_bpm AS eo, d.signed_error_bpm AS ed
-FROM c d JOIN c o ON o.condition = 'original' AND d.condition <> 'original' AND o.subject = d.subject AND o.window_id = d.window_id AND o.roi = d.roi AND o.method = d.method)"""
+PAIRED = f"""{C}, o AS MATERIALIZED (SELECT subject, window_id, roi, method, reference_valid AS v, window_status AS so, rppg_hr_bpm AS ro, signed_error_bpm AS eo FROM c WHERE condition = 'original'),
+q AS (SELECT d.condition, subject, window_id, roi, method, v, so, d.window_status AS sd, ro, d.rppg_hr_bpm AS rd, eo, d.signed_error_bpm AS ed FROM c d JOIN o USING (subject, window_id, roi, method) WHERE d.condition <> 'original')"""
 
 
 @query(PAIRED + " SELECT condition, subject, window_id, roi, method, so AS window_status_original, sd AS window_status_degraded, round(eo, 6) AS signed_error_bpm_original, round(ed, 6) AS signed_error_bpm_degraded FROM q")
@@ -92,22 +92,21 @@ def observed_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.observed(bootstrap.subject_statistics(adapters.candidates(spark, sf_dir), check=False)))
 
 
-SMALL_B = 40
+def _weight_digits() -> str:
+    """The protocol's weights, a word for each replicate with a character for each of the 42 subjects."""
+    return " ".join("".join(chr(48 + w) for w in row) for row in bootstrap.weight_matrix(42).tolist())
 
 
-def _weight_rows() -> str:
-    import numpy as np
+MEASURES = ("paired_n", "reference_n", *(f"{s}_{k}" for s in ("original", "degraded") for k in ("abs_sum", "square_sum", "error_sum", "within_5", "available")))
 
-    drawn = np.random.default_rng(bootstrap.SEED).multinomial(42, np.full(42, 1 / 42), size=SMALL_B)
-    return ", ".join(f"({i}, {j}, {w})" for i, row in enumerate(drawn.tolist()) for j, w in enumerate(row) if w)
 
-
-@query(f"""{STATS}, n AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS j FROM (SELECT DISTINCT subject FROM s)), w(rep, j, w) AS (VALUES {_weight_rows()}),
-u AS (SELECT condition, roi, method, rep, {", ".join(f"sum({c} * w)::DOUBLE AS {c}" for c in ("paired_n", "reference_n", *(f"{s}_{k}" for s in ("original", "degraded") for k in ("abs_sum", "square_sum", "error_sum", "within_5", "available"))))} FROM s JOIN n USING (subject) JOIN w USING (j) GROUP BY ALL),
+@query(f"""{STATS}, n AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS j FROM (SELECT DISTINCT subject FROM s)), k AS (SELECT * FROM s JOIN n USING (subject)),
+r AS MATERIALIZED (SELECT unnest(string_split('{_weight_digits()}', ' ')) AS ws, unnest(range({bootstrap.REPLICATES})) AS rep), w AS MATERIALIZED (SELECT rep, j, ascii(substr(ws, j::INT + 1, 1)) - 48 AS w FROM r, range(42) AS x(j)),
+u AS (SELECT condition, roi, method, rep, {", ".join(f"sum({c} * w)::DOUBLE AS {c}" for c in MEASURES)} FROM k JOIN w USING (j) WHERE w > 0 GROUP BY ALL),
 m AS ({_metric_sql('u', 'condition, roi, method, rep')})
 SELECT condition, roi, method, metric, round(quantile_cont(degraded_value - original_value, 0.025), 6) AS ci_lower, round(quantile_cont(degraded_value - original_value, 0.975), 6) AS ci_upper FROM m GROUP BY ALL""")
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = bootstrap.degradation_bootstrap(adapters.candidates(spark, sf_dir), SMALL_B, check=False)
+    out = bootstrap.degradation_bootstrap(adapters.candidates(spark, sf_dir), check=False)
     return rounded(out.select("condition", "roi", "method", "metric", "ci_lower", "ci_upper"))
 
 
@@ -241,7 +240,7 @@ def fit_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def reliability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(reliability.reliability(adapters.candidates(spark, sf_dir), 10)[2], 4)
+    return rounded(reliability.reliability(adapters.candidates(spark, sf_dir))[2], 4)
 
 
 @query(f"{C} SELECT window_status, count(*)::BIGINT AS n FROM c GROUP BY ALL")
@@ -249,26 +248,66 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.status_counts(adapters.candidates(spark, sf_dir))
 
 
-@query(f"{C} SELECT 'status' AS contract, count(*)::BIGINT AS violations FROM c WHERE (window_status = 'ok') <> (rppg_hr_bpm IS NOT NULL) UNION ALL SELECT 'error', count(*) FROM c WHERE abs(signed_error_bpm - (rppg_hr_bpm - reference_hr_bpm)) > 1e-6 UNION ALL SELECT 'grid', (SELECT count(*) FROM orders) * 30 - count(*) FROM c")
+BROKEN = "(window_id * 7 + length(condition) + length(roi)) % 1000"
+
+
+@query(f"""{C}, b AS (SELECT *, {BROKEN} AS k FROM c), n AS (SELECT count(*) FILTER (k = 1 OR k = 2 AND window_status = 'ok' OR k IN (3, 4) AND window_status <> 'ok')::BIGINT AS status, count(*) FILTER (k = 4)::BIGINT AS error, count(*) FILTER (k = 5)::BIGINT AS grid, count(*) FILTER (k = 6)::BIGINT AS reference FROM b)
+SELECT 'status' AS contract, status AS violations FROM n UNION ALL SELECT 'error', error + (SELECT count(*) FROM b WHERE (k = 2 AND window_status = 'ok') OR (k = 3 AND window_status <> 'ok')) FROM n UNION ALL SELECT 'grid', grid FROM n UNION ALL SELECT 'reference', reference FROM n""")
 def contract_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = adapters.candidates(spark, sf_dir)
-    refs = held.select("subject", "window_id").distinct()
+    """Violations of each contract in candidates of which some are broken on purpose: an unknown status, an estimate gone or
+    made up, a wrong error, a row gone, a reference that is not the canonical one."""
+    whole = adapters.candidates(spark, sf_dir).persist()
+    refs = whole.select("subject", "window_id", "reference_hr_bpm", "reference_valid").distinct()
+    k = F.expr(BROKEN)
+    hr = F.when((k == 2) & (F.col("window_status") == "ok"), F.lit(None)).when((k == 3) & (F.col("window_status") != "ok"), 61.5).otherwise(F.col("rppg_hr_bpm"))
+    held = whole.filter(k != 5).withColumns({
+        "rppg_hr_bpm": hr, "window_status": F.when(k == 1, "unknown").otherwise(F.col("window_status")),
+        "signed_error_bpm": F.when(k == 4, F.coalesce("signed_error_bpm", F.lit(0.0)) + 1.0).otherwise(F.col("signed_error_bpm")),
+    })
+    moved = whole.withColumn("reference_hr_bpm", F.col("reference_hr_bpm") + F.when(k == 6, 1.0).otherwise(0.0))
     n = lambda name, df: df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("contract"), "violations")
     lost = validate.grid(refs, True).join(held, ["subject", "condition", "window_id", "roi", "method"], "left_anti")
-    return n("status", validate.status_violations(held)).unionByName(n("error", validate.error_violations(held))).unionByName(n("grid", lost))
+    found = (n("status", validate.status_violations(held)), n("error", validate.error_violations(held)), n("grid", lost), n("reference", validate.reference_mismatches(refs, moved)))
+    return reduce(DataFrame.unionByName, found)
+
+
+RECORDED = f"WITH e AS ({RECORDING}), n AS (SELECT subject, max(bpm) AS bpm, max(frame_idx) + 1 AS frames FROM e GROUP BY subject), w AS (SELECT subject, bpm, unnest(range(1, (frames // 300)::BIGINT + 1)) AS window_id FROM n WHERE frames >= 3)"
+
+
+@query(f"{RECORDED} SELECT subject, window_id::BIGINT AS window_id, 300::BIGINT AS n_samples, bpm AS sensor_hr_bpm, bpm AS time_hr_to_4, bpm AS frequency_hr_to_4, true AS reference_valid FROM w")
+def reference_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heart rates of the contact signal, to the nearest 4 beats, where the recordings have their own."""
+    out = candidates.reference_windows(adapters.contact_samples(spark, sf_dir))
+    near = lambda c: (F.round(F.col(c) / 4) * 4).alias(c.replace("_bpm", "_to_4"))
+    return rounded(out.select("subject", "window_id", "n_samples", "sensor_hr_bpm", near("time_hr_bpm"), near("frequency_hr_bpm"), "reference_valid"))
+
+
+def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.reference_windows(adapters.contact_samples(spark, sf_dir)).persist()
+
+
+GRID = f"""{RECORDED}, g AS (SELECT w.*, c.condition, c.frames, c.fps, c.shift, r.roi FROM w, (VALUES ('original', 300, NULL, 0.0::DOUBLE), ('fps15', 150, 15.0::DOUBLE, 0.0), ('fps10', 100, 10.0, 0.0), ('roi_shift_3', 300, NULL, 0.03), ('roi_shift_5', 300, NULL, 0.05)) AS c(condition, frames, fps, shift),
+(VALUES ('full_face_inner'), ('forehead'), ('cheeks_mean')) AS r(roi))"""
 
 
-def _rgb(spark: SparkSession) -> DataFrame:
-    """Synthetic colour traces, 24 subjects of 10 s at 30 frames a second, each with its own rate."""
-    rows = spark.range(24 * 300).select((F.col("id") / 300).cast("int").alias("s"), (F.col("id") % 300 / 30.0).alias("time_sec"))
-    p, m = F.sin(2 * 3.141592653589793 * (F.col("s") * 4 + 60) / 60.0 * F.col("time_sec")), F.sin(2 * 3.141592653589793 * 0.15 * F.col("time_sec")) * 0.004
-    return rows.select("s", "time_sec", *((k * (1 + a * p + m)).alias(c) for c, k, a in (("r", 180.0, 0.003), ("g", 140.0, 0.010), ("b", 120.0, 0.005))))
+def _conditions(spark: SparkSession, sf_dir: str, refs: DataFrame) -> DataFrame:
+    shifted = [adapters.colour_traces(spark, sf_dir, f).withColumn("condition", F.lit(f"roi_shift_{round(f * 100)}")) for f in (0.03, 0.05)]
+    return degrade.condition_traces(refs, adapters.colour_traces(spark, sf_dir), shifted[0].unionByName(shifted[1]))
 
 
-@query("SELECT s::BIGINT AS s, (s * 4 + 60)::DOUBLE AS bpm, true AS pos_close, true AS chrom_close FROM range(24) AS x(s)")
+@query(f"{GRID} SELECT subject, condition, window_id::BIGINT AS window_id, roi, m.method, 'ok' AS window_status, frames::BIGINT AS n_frames, bpm AS rppg_hr_to_4, bpm AS reference_hr_to_4, true AS close FROM g, (VALUES ('POS'), ('CHROM')) AS m(method)")
 def pulse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _rgb(spark).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("time_sec", "r", "g", "b"))).alias("x"))
-    args = [F.lit("ok"), F.lit(30.0), *(F.col(f"x.{c}") for c in ("time_sec", "r", "g", "b"))]
-    out = each.select("s", (F.col("s") * 4.0 + 60).alias("bpm"), kernels.pos_rate(*args).alias("p"), kernels.chrom_rate(*args).alias("c"))
-    close = lambda c: F.abs(F.col(f"{c}.rppg_hr_bpm") - F.col("bpm")) <= 1.0
-    return rounded(out.select("s", "bpm", close("p").alias("pos_close"), close("c").alias("chrom_close")))
+    """Estimates of both methods in every condition and region, to the nearest 4 beats, where the recordings have their own."""
+    refs = _references(spark, sf_dir)
+    out = candidates.candidates(refs, _conditions(spark, sf_dir, refs))
+    near = lambda c: (F.round(F.col(c) / 4) * 4).alias(c.replace("_bpm", "_to_4"))
+    return rounded(out.select("subject", "condition", "window_id", "roi", "method", "window_status", "n_frames", near("rppg_hr_bpm"), near("reference_hr_bpm"), (F.col("absolute_error_bpm") <= 1.0).alias("close")))
+
+
+@query(f"""{GRID} SELECT subject, condition, window_id::BIGINT AS window_id, roi, fps AS target_fps, 300::BIGINT AS source_frame_count, frames::BIGINT AS retained_frame_count, frames::BIGINT AS auditable_frame_count, shift AS roi_shift_fraction,
+round(shift, 2) AS max_roi_shift_fraction, round(1 - shift, 6) AS mean_roi_retention_ratio, round(1 - shift, 6) AS min_roi_retention_ratio FROM g""")
+def condition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = _references(spark, sf_dir)
+    out = candidates.condition_audit(refs, _conditions(spark, sf_dir, refs))
+    kept = ("subject", "condition", "window_id", "roi", "target_fps", "source_frame_count", "retained_frame_count", "auditable_frame_count", "roi_shift_fraction", "mean_roi_retention_ratio", "min_roi_retention_ratio")
+    return rounded(out.select(*kept, F.round("max_roi_shift_fraction", 2).alias("max_roi_shift_fraction")))
