@@ -201,7 +201,8 @@ def scan(docs: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
     known = templates(p)
     names = F.broadcast(docs.sparkSession.createDataFrame([(i, x.label, x.base) for i, x in enumerate(known)], "template int, label string, base boolean"))
     held = keyed(docs)
-    found = cut(spans(votes(held, p), p)).join(names, "template")
+    # hits are read twice, for phrases and for notices; texts only once
+    found = cut(spans(cut(votes(held, p)), p)).join(names, "template")
     base = F.col("base")
     got = found.groupBy(*ROW).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
