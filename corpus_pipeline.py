@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the
 columns of documents.
+
+Every stage keeps extra columns whatever their names, and repeated rows as the operators do; an empty table goes through
+as an empty one. Null, empty and blank texts fail the quality rules, so they go in the first stage; very long texts are
+worked on whole. Ties among near copies go to the smallest doc_id; rows without doc_id are never copies of others.
 """
 
 from __future__ import annotations
@@ -45,6 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over documents; each one's rows are written before the next reads them."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
