@@ -171,7 +171,11 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> ByteBpe:
 
 
 def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every row of docs; null and empty texts have no ids."""
+    """doc_id and ids (array of int) of every row of docs; null and empty texts have no ids.
+
+    Very long texts and pre-tokens are encoded whole; merges of equal rank go from the left. Repeated rows give equal
+    rows; a null doc_id stays null; extra columns are ignored; an empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -183,7 +187,11 @@ def encode_texts(docs: DataFrame, path: str | None = None, pattern: str | None =
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id and the bytes of every row's ids."""
+    """doc_id and the bytes of every row's ids.
+
+    Null and empty ids give no bytes; bytes need not be whole characters. Repeated rows give equal rows; a null doc_id
+    stays null; extra columns are ignored; an empty table gives an empty table. An id outside the vocabulary is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
@@ -197,7 +205,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids_sha256, decoded_sha256; encoded, and decoded from the ids.
 
-    Null and empty texts have no tokens. Repeated rows give equal rows; a null doc_id stays null; extra columns are
+    Null and empty texts have no tokens; very long ones are encoded whole. Repeated rows give equal rows; a null doc_id stays null; extra columns are
     ignored; an empty table gives an empty table.
     """
 

@@ -245,7 +245,8 @@ def _lace(frames: list[bytes], lacing: str) -> tuple[int, bytes]:
 
 
 def mux(samples: bytes, rate: int = 8000, frame: int = 512, laced: int = 8, blocks: int = 7, lacing: str = "auto") -> bytes:
-    """A file with one PCM track of 8-bit samples; a tick is one sample, so times are exact."""
+    """A file with one PCM track of 8-bit samples. A tick is one sample of 10**9 // rate nanoseconds, so times are exact
+    where the rate divides 10**9; at other rates a tick is short by less than a nanosecond."""
     head = b"".join((_number(0x4286, 1), _number(0x42F7, 1), _number(0x42F2, 4), _number(0x42F3, 8), _element(DOCTYPE, b"matroska"), _number(0x4287, 4), _number(0x4285, 2)))
     info = _number(SCALE, 1_000_000_000 // rate) + _element(DURATION, struct.pack(">d", float(len(samples)))) + _element(0x4D80, b"pcm8") + _element(0x5741, b"pcm8")
     audio = _element(RATE, struct.pack(">d", float(rate))) + _number(CHANNELS, 1) + _number(DEPTH, 8)
@@ -272,8 +273,10 @@ PACKETS = "track long, timestamp_ns long, keyframe boolean, offset long, size lo
 def packets(files: DataFrame, key: str, media: str) -> DataFrame:
     """One row per packet of each file: the key, the packet's columns, and error.
 
-    A file that cannot be parsed, or a null one, gives one row with only the key and the error. Packets are emitted in
-    slices, so a long file does not become one large batch.
+    A file that cannot be parsed, or a null or empty one, gives one row with only the key and the error; one without
+    packets a row with the key alone. Packets are emitted in slices, so a long file does not become one large batch.
+    Repeated rows and equal files give equal rows, each of them; null keys stay null; extra columns are ignored, and the
+    key may have any name but a packet column's; an empty table gives an empty table.
     """
     names = [x.split()[0] for x in PACKETS.split(", ")]
     types = {"long": pa.int64(), "boolean": pa.bool_()}
@@ -306,8 +309,9 @@ def feature(m: Media, samples: bytes) -> str:
 def round_trip(docs: DataFrame) -> DataFrame:
     """One row per row of docs: the text's padded bytes stored as 8-bit samples, read back by the packets' byte ranges.
 
-    A null or empty text is 64 zero bytes. Equal texts give equal values; a null doc_id stays null; extra columns are
-    ignored; an empty table gives an empty table.
+    A null or empty text is 64 zero bytes; very long texts are stored whole. Equal texts give equal values, repeated rows
+    equal rows; a null doc_id stays null; extra columns are ignored, whatever their names; an empty table gives an empty
+    table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

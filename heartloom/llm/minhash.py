@@ -248,7 +248,11 @@ def _apart(met: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, p: NearParams = NearParams()) -> DataFrame:
-    """docs without the rows whose group has a smaller doc_id; columns unchanged. Rows without doc_id stay."""
+    """docs without the rows whose group has a smaller doc_id; columns unchanged.
+
+    Rows without doc_id, and null, empty and blank texts stay; of repeated rows of one doc_id all stay or none; extra
+    columns are kept; an empty table gives an empty table.
+    """
     gone = cut(near_groups(docs, p).filter("not kept").select("doc_id"))
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
 

@@ -215,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, p: GamParams = GamParams()) -> Gam
 def classify(docs: DataFrame, model: Gam, p: GamParams = GamParams()) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= the threshold).
 
-    Null and empty texts are scored as texts without words. A null doc_id stays null and isn't held out. Repeated rows
+    Null and empty texts are scored as texts without words, very long ones whole. Equal texts tie. A null doc_id stays null and isn't held out. Repeated rows
     are scored alone; extra columns are ignored; an empty table gives an empty table.
     """
 
@@ -229,7 +229,11 @@ def classify(docs: DataFrame, model: Gam, p: GamParams = GamParams()) -> DataFra
 
 
 def keep_good(docs: DataFrame, model: Gam, p: GamParams = GamParams()) -> DataFrame:
-    """docs without the rows that are predicted 0; columns unchanged."""
+    """docs without the rows that are predicted 0; columns unchanged.
+
+    Null and empty texts are scored as texts without words, very long ones whole; equal texts share a fate; null doc_ids,
+    repeated rows and extra columns are kept as they are; an empty table gives an empty table.
+    """
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
