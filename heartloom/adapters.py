@@ -92,3 +92,8 @@ def colour_traces(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataF
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, TRACE.replace("{micros}", SPARK_MICROS), _views(spark, sf_dir, "events"))
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+    """A query over driver tables."""
+    return _sql(spark, text, _views(spark, sf_dir, *names))

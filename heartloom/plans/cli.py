@@ -1,4 +1,4 @@
-"""Command line: python -m heartloom.plans.cli statistics|reliability --candidates PATH --output PATH."""
+"""Command line: python -m heartloom.plans.cli formal|formal-folders|statistics|reliability --output PATH ..."""
 
 from __future__ import annotations
 
@@ -14,7 +14,10 @@ from heartloom.sources import tables
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=("formal", "statistics", "reliability"))
+    parser.add_argument("job", choices=("formal", "formal-folders", "statistics", "reliability"))
+    parser.add_argument("--dataset", help="folder of recordings, for the job formal-folders")
+    parser.add_argument("--model", help="face model file, for the job formal-folders")
+    parser.add_argument("--baseline", help="output of a baseline run, for the job formal-folders")
     parser.add_argument("--candidates")
     parser.add_argument("--references")
     parser.add_argument("--traces", help="long traces of the original recordings, Parquet")
@@ -26,6 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName(f"heartloom-{a.job}").getOrCreate()
     if a.job == "formal":
         out = jobs.formal_run(spark, tables.read_references(spark, a.references), spark.read.parquet(a.traces), spark.read.parquet(a.shifted), a.output)
+    elif a.job == "formal-folders":
+        out = jobs.formal_run_from_folders(spark, a.dataset, a.model, a.baseline, a.shifted, a.output)
     else:
         job = jobs.statistics if a.job == "statistics" else jobs.reliability_model
         out = job(spark, a.candidates, a.output, a.replicates, a.seed)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import platform
 import time
+from collections.abc import Callable
 from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heartloom.missing import ContractError
+from heartloom.missing import ContractError, require_none, require_same_keys, require_unique
 from heartloom.operators import bootstrap, candidates, degrade, reliability, validate
 from heartloom.schemas import CONDITIONS, METHODS, REPLICATES, ROIS, SEED
-from heartloom.sources import sinks, tables
+from heartloom.sources import provenance, sinks, tables
 
 FORMAL_SUBJECTS, FORMAL_WINDOWS = 42, 248
 
@@ -30,7 +30,7 @@ def baseline(samples: DataFrame, original: DataFrame, output: str, subjects: lis
     sinks.write_csv(refs.orderBy("subject", "window_id"), f"{output}/reference_windows.csv")
     sinks.write_table(original, f"{output}/traces.parquet")
     sinks.write_csv(found, f"{output}/original_candidates.csv")
-    sinks.write_csv(candidates.metrics(found), f"{output}/original_metrics.csv")
+    sinks.write_report(candidates.metrics(found), f"{output}/original_metrics.csv")
     return {"subjects": refs.select("subject").distinct().count(), "reference_windows": refs.count(), "candidates": found.count()}
 
 
@@ -40,30 +40,78 @@ def degradation(references: DataFrame, original: DataFrame, shifted: DataFrame |
     return candidates.candidates(references, frames), candidates.condition_audit(references, frames)
 
 
+Tables = tuple[DataFrame, DataFrame, DataFrame]
+
+
 def formal_run(spark: SparkSession, references: DataFrame, original: DataFrame, shifted: DataFrame, output: str, subjects: int = FORMAL_SUBJECTS, windows: int = FORMAL_WINDOWS, inputs: dict[str, Any] | None = None) -> dict[str, Any]:
-    """The formal run: contracts on inputs, degradation, validation, outputs, and a manifest on success and failure.
+    """The formal run over tables; see ``_formal``."""
+    return _formal(spark, lambda facts: (references, original, shifted), output, subjects, windows, inputs or {})
+
+
+def formal_run_from_folders(spark: SparkSession, dataset: str, model: str, baseline: str, shifted: str, output: str, subjects: int = FORMAL_SUBJECTS, windows: int = FORMAL_WINDOWS) -> dict[str, Any]:
+    """The formal run from a folder of recordings, the face model, a baseline run's output, and long traces of the shifted
+    regions (Parquet). What is there is counted and hashed for the manifest, and checked against the protocol."""
+
+    def load(facts: dict[str, Any]) -> Tables:
+        facts |= {"dataset": {"root": dataset, "readable": False, "subject_count": 0}, "model": {"path": model, "size_bytes": None, "sha256": None}, "baseline": {"path": baseline, "reference_window_count": 0, "reference_sha256": None}, "shifted": {"path": shifted}}
+        if not sinks.exists(spark, dataset, folder=True):
+            raise ContractError("dataset root is not readable")
+        facts["dataset"]["readable"] = True
+        found = tables.discover_subjects(spark, dataset)
+        facts["dataset"]["subject_count"] = found.count()
+        if facts["dataset"]["subject_count"] != subjects:
+            raise ContractError(f"dataset has {facts['dataset']['subject_count']} subjects, the protocol {subjects}")
+        if not sinks.exists(spark, model):
+            raise ContractError("face model does not exist")
+        facts["model"] |= tables.file_facts(spark, model)
+        path = f"{baseline}/reference_windows.csv"
+        if not sinks.exists(spark, path) and not sinks.exists(spark, path, folder=True):
+            raise ContractError("baseline reference table does not exist")
+        references = tables.read_references(spark, path)
+        facts["baseline"] |= {"reference_window_count": references.count(), "reference_sha256": tables.file_facts(spark, path)["sha256"]}
+        if facts["baseline"]["reference_window_count"] != windows:
+            raise ContractError(f"baseline has {facts['baseline']['reference_window_count']} windows, the protocol {windows}")
+        require_unique(references, ["subject", "window_id"], "baseline references")
+        require_same_keys(references, found, ["subject"], "baseline subjects")
+        traced = tables.trace_files(spark, f"{baseline}/traces")
+        require_none(found.join(traced, "subject", "left_anti"), "baseline trace is missing")
+        wide = tables.read_traces(spark, f"{baseline}/traces/*.csv")
+        return references, tables.trace_long(wide).withColumn("sel_seq", F.col("frame_idx")), spark.read.parquet(shifted)
+
+    return _formal(spark, load, output, subjects, windows, {})
+
+
+def _formal(spark: SparkSession, load: Callable[[dict[str, Any]], Tables], output: str, subjects: int, windows: int, facts: dict[str, Any]) -> dict[str, Any]:
+    """Contracts on inputs, degradation, validation, outputs, and a manifest on success and failure.
 
     The output folder must be empty. Tables are written after validation only; an error is recorded, then raised.
     """
     sinks.require_empty(spark, output)
     began, clock = datetime.now(timezone.utc), time.monotonic()
-    manifest: dict[str, Any] = {"status": "failed", "started_at": began.isoformat(), "inputs": inputs or {}, "environment": {"python": platform.python_version(), "spark": spark.version}, "protocol": {"conditions": [c[0] for c in CONDITIONS], "rois": ROIS, "methods": METHODS, "subjects": subjects, "windows": windows}}
+    protocol = {"conditions": [c[0] for c in CONDITIONS], "rois": ROIS, "methods": METHODS, "subjects": subjects, "windows": windows}
+    manifest: dict[str, Any] = {"schema_version": "degradation_run_v1", "status": "failed", "started_at": began.isoformat(), "inputs": facts, "environment": provenance.environment(spark), "code": provenance.code(), "protocol": protocol, "output": output, "output_files": {}}
+    kept: list[DataFrame] = []
     try:
+        references, original, shifted = load(facts)
         n = references.agg(F.countDistinct("subject").alias("s"), F.count("*").alias("w")).first()
         if (n.s, n.w) != (subjects, windows):
             raise ContractError(f"protocol has {subjects} subjects and {windows} windows, found {n.s} and {n.w}")
         missing = references.select("subject").distinct().join(original.select("subject").distinct(), "subject", "left_anti").limit(1).collect()
         if missing:
             raise ContractError(f"no trace for {missing[0].subject}")
-        found, audit = (d.persist() for d in degradation(references, original, shifted))
+        kept = [d.persist() for d in degradation(references, original, shifted)]
+        found, audit = kept
         manifest["summary"] = validate.validate(references, found, audit)
         sinks.write_table(found, f"{output}/degradation_candidates.parquet")
         sinks.write_csv(audit, f"{output}/condition_audit.csv")
+        manifest["output_files"] = {name: tables.file_facts(spark, f"{output}/{name}") for name in ("degradation_candidates.parquet", "condition_audit.csv")}
         manifest["status"] = "completed"
     except Exception as e:
         manifest["error"] = {"type": type(e).__name__, "message": str(e)}
         raise
     finally:
+        for d in kept:
+            d.unpersist()
         manifest |= {"finished_at": datetime.now(timezone.utc).isoformat(), "duration_sec": time.monotonic() - clock}
         sinks.write_json(spark, f"{output}/run_manifest.json", manifest)
     return manifest
@@ -76,8 +124,8 @@ def statistics(spark: SparkSession, path: str, output: str, replicates: int = RE
     for table, n, what in ((metrics, metric_rows, "degradation metrics"), (boot, bootstrap_rows, "degradation bootstrap")):
         if n is not None:
             validate.require_count(table, n, what)
-    sinks.write_csv(metrics, f"{output}/degradation_metrics.csv")
-    sinks.write_csv(boot, f"{output}/degradation_bootstrap.csv")
+    sinks.write_report(metrics, f"{output}/degradation_metrics.csv")
+    sinks.write_report(boot, f"{output}/degradation_bootstrap.csv")
     return {"metrics": metrics.count(), "bootstrap": boot.count()}
 
 
@@ -85,5 +133,5 @@ def reliability_model(spark: SparkSession, path: str, output: str, replicates: i
     """Predictions and report of the reliability model of a candidates table."""
     route, predicted, report = reliability.reliability(tables.read_candidates(spark, path).persist(), replicates, seed)
     sinks.write_table(predicted, f"{output}/reliability_predictions.parquet")
-    sinks.write_csv(report, f"{output}/reliability_metrics.csv")
+    sinks.write_report(report, f"{output}/reliability_metrics.csv")
     return {"route": route, "predictions": predicted.count()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from heartloom import adapters
 from heartloom.adapters import DUCK_MICROS, FEATURES, RECORDING, TRACE
-from heartloom.operators import bootstrap, candidates, degrade, ranking, reliability, validate, windows
+from heartloom.operators import bootstrap, candidates, degrade, faces, ranking, reliability, validate, windows
 from heartloom.schemas import QUALITY
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,3 +311,31 @@ def condition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = candidates.condition_audit(refs, _conditions(spark, sf_dir, refs))
     kept = ("subject", "condition", "window_id", "roi", "target_fps", "source_frame_count", "retained_frame_count", "auditable_frame_count", "roi_shift_fraction", "mean_roi_retention_ratio", "min_roi_retention_ratio")
     return rounded(out.select(*kept, F.round("max_roi_shift_fraction", 2).alias("max_roi_shift_fraction")))
+
+
+FACE = """SELECT 'subject' || CAST(l_suppkey % 3 AS STRING) AS subject, CAST(l_orderkey % 500 AS BIGINT) AS frame_idx, {n} AS x, {m} AS y, l_quantity, l_extendedprice, l_discount FROM lineitem"""
+MARKS = FACE.format(n="l_quantity / 50e0", m="l_discount * 10e0")
+PIXELS = f"SELECT subject, frame_idx, x, y, max(l_quantity * 5e0) AS r, max(floor(l_extendedprice / 300e0)) AS g, max(l_discount * 2500e0) AS b FROM ({FACE.format(n='l_partkey % 24', m='(l_orderkey + l_linenumber) % 20')}) z GROUP BY subject, frame_idx, x, y"
+
+
+@query(f"""WITH m AS ({MARKS}), b AS (SELECT subject, frame_idx, min(x) * 100 AS x0, max(x) * 100 AS x1, min(y) * 80 AS y0, max(y) * 80 AS y1 FROM m GROUP BY ALL),
+g AS (SELECT *, (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, x1 - x0 AS w, (x1 - x0) * (y1 - y0) / 8181.0::DOUBLE AS a FROM b), p AS (SELECT *, lag(cx) OVER o AS px, lag(cy) OVER o AS py, lag(a) OVER o AS pa FROM g WINDOW o AS (PARTITION BY subject ORDER BY frame_idx))
+SELECT subject, frame_idx, round(w, 6) AS face_width_px, round(a, 6) AS face_area_ratio, CASE WHEN px IS NULL THEN 0.0::DOUBLE WHEN w <> 0 THEN round(sqrt((cx - px) ** 2 + (cy - py) ** 2) / w, 6) END AS face_center_shift,
+CASE WHEN px IS NULL THEN 0.0::DOUBLE WHEN pa <> 0 THEN round(abs(a - pa) / pa, 6) END AS face_area_change FROM p""")
+def face_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = adapters.sql(spark, sf_dir, MARKS, "lineitem")
+    frames = marks.select("subject", "frame_idx").distinct().withColumns({"time_sec": F.col("frame_idx") / 30.0, "width": F.lit(101), "height": F.lit(81)})
+    return rounded(faces.face_geometry(frames, marks).select("subject", "frame_idx", "face_width_px", "face_area_ratio", "face_center_shift", "face_area_change"))
+
+
+@query(f"""WITH p AS ({PIXELS}), k AS (SELECT *, CASE WHEN x < 12 THEN 'forehead' ELSE 'cheeks_mean' END AS roi FROM p), s AS (SELECT subject, frame_idx, roi, x + 2 AS x, y - 1 AS y FROM k WHERE x + 2 < 24 AND y - 1 >= 0),
+c AS (SELECT s.subject, s.frame_idx, s.roi, count(*) AS n, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b) AS l, avg((greatest(r, g, b) >= 250)::INT::DOUBLE) AS o FROM s JOIN p USING (subject, frame_idx, x, y) GROUP BY ALL),
+t AS (SELECT k.subject, k.frame_idx, k.roi, round(count(s.x) / count(*)::DOUBLE, 6) AS retention_ratio FROM k LEFT JOIN s USING (subject, frame_idx, roi, x, y) GROUP BY ALL)
+SELECT subject, frame_idx, roi, n::BIGINT AS n_pixels, n >= 50 AS valid, retention_ratio, {", ".join(f"CASE WHEN n >= 50 THEN round({a}, 6) END AS {b}" for a, b in (("r", "r"), ("g", "g"), ("b", "b"), ("l", "brightness"), ("o", "overexposure_ratio")))} FROM c JOIN t USING (subject, frame_idx, roi)""")
+def shifted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours of regions that moved by 2.4 and -1.4 pixels in frames of 24 x 20, and what they keep."""
+    pixels = adapters.sql(spark, sf_dir, PIXELS, "lineitem")
+    masks = pixels.select("subject", "frame_idx", F.when(F.col("x") < 12, "forehead").otherwise("cheeks_mean").alias("roi"), "x", "y")
+    moved = faces.shifted(masks, F.lit(2.4), F.lit(-1.4), F.lit(24), F.lit(20))
+    keys = ["subject", "frame_idx", "roi"]
+    return rounded(faces.region_colours(moved, pixels, keys).join(faces.retention(masks, moved, keys), keys))

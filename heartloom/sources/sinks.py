@@ -15,6 +15,12 @@ def path_of(spark: SparkSession, path: str):  # noqa: ANN202
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str, folder: bool = False) -> bool:
+    """There is a file (or a folder) of that path in the session's file system."""
+    p, fs = path_of(spark, path)
+    return fs.exists(p) and bool(fs.getFileStatus(p).isDirectory()) == folder
+
+
 def require_empty(spark: SparkSession, path: str) -> None:
     """The folder doesn't exist or has nothing in it."""
     p, fs = path_of(spark, path)
@@ -23,9 +29,14 @@ def require_empty(spark: SparkSession, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A report as one CSV file with a header; booleans as True and False, missing as empty. For bounded tables."""
+    """CSV files with a header, one for each task; booleans as True and False, missing as empty."""
     cols = [F.initcap(F.col(c).cast("string")).alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]
-    df.select(*cols).coalesce(1).write.option("header", True).csv(path)
+    df.select(*cols).write.option("header", True).csv(path)
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """The same as one file; for reports whose number of rows the protocol fixes."""
+    write_csv(df.coalesce(1), path)
 
 
 def write_table(df: DataFrame, path: str, *partition: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +83,19 @@ def trace_wide(long: DataFrame) -> DataFrame:
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
     """(path, sha256) of every file's bytes."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def file_facts(spark: SparkSession, path: str) -> dict[str, object]:
+    """Size and SHA-256 of a file; of a folder the sum of sizes and the hash of its files' names and hashes, in order."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha")).filter(~F.col("name").rlike(r"^[._]"))
+    rows = sorted(found.collect())
+    sha = rows[0].sha if len(rows) == 1 else hashlib.sha256("\n".join(f"{r.name} {r.sha}" for r in rows).encode()).hexdigest()
+    return {"size_bytes": sum(r.length for r in rows), "sha256": sha}
+
+
+def trace_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(subject) of each trace file or folder <subject>.csv; only names are listed."""
+    place, fs = path_of(spark, folder)
+    listed = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place, "*.csv")) or []
+    return spark.createDataFrame([(x.getPath().getName()[: -len(".csv")],) for x in listed], "subject string")
