@@ -27,11 +27,15 @@ def baseline(samples: DataFrame, original: DataFrame, output: str, subjects: lis
         samples, original = (d.filter(F.col("subject").isin(subjects)) for d in (samples, original))
     refs = candidates.reference_windows(samples).persist()
     found = candidates.candidates(refs, original.withColumn("condition", F.lit("original")), ["original"]).persist()
-    sinks.write_csv(refs.orderBy("subject", "window_id"), f"{output}/reference_windows.csv")
-    sinks.write_table(original, f"{output}/traces.parquet")
-    sinks.write_csv(found, f"{output}/original_candidates.csv")
-    sinks.write_report(candidates.metrics(found), f"{output}/original_metrics.csv")
-    return {"subjects": refs.select("subject").distinct().count(), "reference_windows": refs.count(), "candidates": found.count()}
+    try:
+        sinks.write_csv(refs.orderBy("subject", "window_id"), f"{output}/reference_windows.csv")
+        sinks.write_table(original, f"{output}/traces.parquet")
+        sinks.write_csv(found, f"{output}/original_candidates.csv")
+        sinks.write_report(candidates.metrics(found), f"{output}/original_metrics.csv")
+        return {"subjects": refs.select("subject").distinct().count(), "reference_windows": refs.count(), "candidates": found.count()}
+    finally:
+        refs.unpersist()
+        found.unpersist()
 
 
 def degradation(references: DataFrame, original: DataFrame, shifted: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -121,17 +125,25 @@ def statistics(spark: SparkSession, path: str, output: str, replicates: int = RE
     """Metrics and bootstrap of a candidates table; nothing is written unless both have their number of rows."""
     df = tables.read_candidates(spark, path).persist()
     metrics, boot = candidates.metrics(df).persist(), bootstrap.degradation_bootstrap(df, replicates, seed).persist()
-    for table, n, what in ((metrics, metric_rows, "degradation metrics"), (boot, bootstrap_rows, "degradation bootstrap")):
-        if n is not None:
-            validate.require_count(table, n, what)
-    sinks.write_report(metrics, f"{output}/degradation_metrics.csv")
-    sinks.write_report(boot, f"{output}/degradation_bootstrap.csv")
-    return {"metrics": metrics.count(), "bootstrap": boot.count()}
+    try:
+        for table, n, what in ((metrics, metric_rows, "degradation metrics"), (boot, bootstrap_rows, "degradation bootstrap")):
+            if n is not None:
+                validate.require_count(table, n, what)
+        sinks.write_report(metrics, f"{output}/degradation_metrics.csv")
+        sinks.write_report(boot, f"{output}/degradation_bootstrap.csv")
+        return {"metrics": metrics.count(), "bootstrap": boot.count()}
+    finally:
+        for d in (df, metrics, boot):
+            d.unpersist()
 
 
 def reliability_model(spark: SparkSession, path: str, output: str, replicates: int = REPLICATES, seed: int = SEED) -> dict[str, Any]:
     """Predictions and report of the reliability model of a candidates table."""
-    route, predicted, report = reliability.reliability(tables.read_candidates(spark, path).persist(), replicates, seed)
-    sinks.write_table(predicted, f"{output}/reliability_predictions.parquet")
-    sinks.write_report(report, f"{output}/reliability_metrics.csv")
-    return {"route": route, "predictions": predicted.count()}
+    df = tables.read_candidates(spark, path).persist()
+    try:
+        route, predicted, report = reliability.reliability(df, replicates, seed)
+        sinks.write_table(predicted, f"{output}/reliability_predictions.parquet")
+        sinks.write_report(report, f"{output}/reliability_metrics.csv")
+        return {"route": route, "predictions": predicted.count()}
+    finally:
+        df.unpersist()

@@ -171,7 +171,13 @@ def sensor_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(adapters.trace(spark, sf_dir).groupBy("subject").agg(F.percentile(windows.sensor_corrected(F.col("value")), 0.5).alias("sensor_hr_bpm")))
 
 
-@query()
+PICKS = WINDOWS.replace("WITH t", "WITH RECURSIVE t", 1) + """, g AS MATERIALIZED (SELECT w.subject, w.window_id, any_value(w.start_time_sec) AS s, list({'f': t.frame_idx, 't': t.time_sec} ORDER BY t.frame_idx) AS fs FROM w JOIN t ON t.subject = w.subject AND t.time_sec >= w.start_time_sec AND t.time_sec < w.end_time_sec GROUP BY ALL),
+z AS (SELECT subject, window_id, s, fs, 0 AS k, []::BIGINT[] AS taken, NULL::BIGINT AS f FROM g
+UNION ALL SELECT subject, window_id, s, fs, k + 1, list_append(taken, b), b FROM (SELECT *, list_sort(list_transform(list_filter(fs, lambda x: NOT list_contains(taken, x.f)), lambda x: {'d': abs(x.t - (s + k / 2.0::DOUBLE)), 'f': x.f}))[1].f AS b FROM z WHERE k < 20 AND len(taken) < len(fs)) q)
+SELECT z.subject, z.window_id::BIGINT AS window_id, z.f AS frame_idx, round(t.time_sec, 6) AS time_sec, (z.k - 1)::BIGINT AS sel_seq FROM z JOIN t ON t.subject = z.subject AND t.frame_idx = z.f"""
+
+
+@query(PICKS)
 def downsample_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = windows.tumbling_windows(_samples(spark, sf_dir))
     return rounded(degrade.downsample(held, adapters.trace(spark, sf_dir), 2.0))
