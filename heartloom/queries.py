@@ -235,7 +235,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(GROUPS + " SELECT method, round(sum(positive * (bt - bp + (total - positive) * 0.5::DOUBLE)) / max(p * (w - p)), 6) AS roc_auc, round(sum(positive / p * ((p - bp) / (w - bt))), 6) AS aucpr, " + ", ".join(f"round(sum(least(greatest(greatest(1, floor(w * {c}::DOUBLE)) - bt, 0), total) * positive / total / greatest(1, floor(w * {c}::DOUBLE))), 6) AS error_{round(c * 100)}" for c in ranking.COVERAGES) + " FROM r GROUP BY method")
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ranking.rank_metrics(_ranked(spark, sf_dir), ["method"]))
+    return rounded(ranking.rank_metrics(_ranked(spark, sf_dir).persist(), ["method"]))  # read once for cuts, totals and ranges
 
 
 @query(f"{E_} SELECT method, round(avg((reference_hr_bpm / 100 - unreliable::INT) * (reference_hr_bpm / 100 - unreliable::INT)), 6) AS brier_score, round(avg(abs(reference_hr_bpm / 100 - unreliable::INT)), 6) AS mae_bpm, round(sqrt(avg((reference_hr_bpm / 100 - unreliable::INT) * (reference_hr_bpm / 100 - unreliable::INT))), 6) AS rmse_bpm FROM f GROUP BY method")
