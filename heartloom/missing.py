@@ -10,11 +10,16 @@ class ContractError(ValueError):
     """A table breaks its contract."""
 
 
+def finite(c: Column | str) -> Column:
+    """Whether the value is there and finite. It is named once, so long expressions don't grow."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(c.cast("double") * 0.0 == 0.0, F.lit(False))
+
+
 def fin(c: Column | str) -> Column:
     """The value if it is finite, else NULL."""
-    c = F.col(c) if isinstance(c, str) else c
-    c = c.cast("double")
-    return F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), c)
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    return F.when(c * 0.0 == 0.0, c)
 
 
 def normalise(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heartloom.functions import kernels
-from heartloom.missing import fin, ratio
+from heartloom.missing import fin, finite, ratio
 from heartloom.operators.windows import effective_rate, in_windows, sensor_corrected, tumbling_windows, window_quality
 from heartloom.schemas import AUDIT_KEY, CANDIDATES, METHODS, REFERENCE_WINDOWS, condition_dim, roi_dim
 
@@ -84,7 +84,7 @@ def condition_audit(references: DataFrame, frames: DataFrame, conditions: list[s
 
 
 def available() -> F.Column:
-    return F.coalesce((F.col("window_status") == "ok") & fin("rppg_hr_bpm").isNotNull(), F.lit(False))
+    return F.coalesce((F.col("window_status") == "ok") & finite("rppg_hr_bpm"), F.lit(False))
 
 
 def metrics(df: DataFrame) -> DataFrame:
