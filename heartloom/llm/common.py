@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the folder the session names in spark.checkpoint.dir.
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, which the driver and all executors share.
 
     A folder of our own is set only where a local session has none, as in tests; a cluster without one is an error, for
-    a folder of one machine would be lost with it. Set spark.cleaner.referenceTracking.cleanCheckpoints on long-lived
-    sessions, so that checkpoints go with the tables that used them.
+    a folder of one machine would be lost with it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="heartloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_place(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody uses yet."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder.
+
+    Set spark.cleaner.referenceTracking.cleanCheckpoints on long-lived sessions, so that checkpoints go with the tables
+    that used them.
+    """
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -43,3 +57,29 @@ def light(df: DataFrame, size: Column, most: int = BROADCAST_BYTES) -> DataFrame
     """Hint a broadcast of a cut table whose rows' sizes (a column of bytes) add up to this at most."""
     total = df.agg(F.sum(size)).first()[0] or 0
     return F.broadcast(df) if total <= most else df
+
+
+#: Column that spreads the rows of a hot key over several tasks.
+SALT = "__salt"
+
+
+def hot_keys(counts: DataFrame, key: str, rows: int, parts: int = 1000) -> DataFrame:
+    """(key, __splits) of the keys that have more than 1/parts of all rows, of counts (key, n).
+
+    There are fewer of them than parts, whatever the data, so they are broadcast. A key is split into as many pieces as
+    leave each about 1/parts of the rows. Null keys are never among them, as they join nothing.
+    """
+    each = max(1, rows // parts)
+    return F.broadcast(cut(counts.filter(F.col(key).isNotNull() & (F.col("n") > each)).select(key, F.ceil(F.col("n") / each).cast("int").alias("__splits"))))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: str, *by: str) -> DataFrame:
+    """rows with a salt: 0 for most keys, one of its pieces for a row of a hot key, drawn by hash of the columns by."""
+    out = rows.join(hot, key, "left")
+    return out.withColumn(SALT, F.coalesce(F.pmod(F.xxhash64(*by), F.col("__splits").cast("long")).cast("int"), F.lit(0))).drop("__splits")
+
+
+def spread(groups: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """groups (a row for each key) with a copy for each piece of a hot key, to be joined to dealt rows on key and salt."""
+    out = groups.join(hot, key, "left")
+    return out.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.coalesce("__splits", F.lit(1)) - 1))).drop("__splits")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heartloom.llm import byte_bpe, html_text, license_scan, matroska, minhash, packing, pii, quality_gam, quality_rules, url_rules
+from heartloom.llm import byte_bpe, fill_middle, html_text, license_scan, matroska, minhash, packing, pii, quality_gam, quality_rules, url_rules, vector_codes, warc
 from heartloom.llm.common import table
 
 
@@ -59,10 +59,28 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_pii_surrogates, op2_quality_rules, op3_license_scan, op4_byte_bpe, op5_quality_classifier, op6_minhash_near_dedup, op7_matroska, op8_html_text, op9_packing, op10_url_rules)
+    ops = (
+        op1_pii_surrogates, op2_quality_rules, op3_license_scan, op4_byte_bpe, op5_quality_classifier, op6_minhash_near_dedup, op7_matroska, op8_html_text, op9_packing, op10_url_rules,
+        op11_warc_archive, op12_fill_middle, op13_vector_codes,
+    )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op6_minhash_near_dedup": minhash.ORACLE}
+    return {
+        "op2_quality_rules": quality_rules.ORACLE, "op6_minhash_near_dedup": minhash.ORACLE, "op11_warc_archive": warc.ORACLE, "op12_fill_middle": fill_middle.ORACLE,
+        "op13_vector_codes": vector_codes.ORACLE,
+    }
