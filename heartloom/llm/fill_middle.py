@@ -60,8 +60,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(digest, text): each distinct text once; copies meet in their own task before they are shuffled."""
-    held = _keyed(docs).withColumns({"size": F.octet_length("text"), "check": F.xxhash64("text")})
+    """(digest, text): each distinct text once; copies meet in their own task before they are shuffled.
+
+    No digest is null; that is said as a filter, which later joins would add on some ways to this table and not on
+    others, so that all of them read one shuffle.
+    """
+    held = _keyed(docs).filter("digest is not null").withColumns({"size": F.octet_length("text"), "check": F.xxhash64("text")})
     one = held.groupBy("digest").agg(F.first("text").alias("text"), F.min("size").alias("s0"), F.max("size").alias("s1"), F.min("check").alias("c0"), F.max("check").alias("c1"))
     sure = F.when((F.col("s0") == F.col("s1")) & (F.col("c0") == F.col("c1")), F.col("text")).otherwise(F.raise_error(F.lit("two texts have one digest")).cast("binary"))
     return one.select("digest", sure.alias("text"))
@@ -89,10 +93,10 @@ CUTS = "doc_id long, digest binary, n long, form string, prefix_chars long, midd
 
 
 def cuts(ids: DataFrame, found: DataFrame, hot: DataFrame, seed: str = "1") -> DataFrame:
-    """Each document's form and cuts, in code points and as byte offsets, of ids (doc_id, digest) and an index."""
+    """Each document's form and cuts, in code points and as byte offsets, of ids (doc_id, digest) and a spread index."""
     h1, h2, h3, h4 = seeds(F.col("doc_id"), seed)
     drawn = ids.withColumns({"h1": h1, "h2": h2, "h3": h3, "h4": h4})
-    met = dealt(drawn, hot, "digest", "doc_id").join(spread(found, hot, "digest"), ["digest", SALT])
+    met = dealt(drawn, hot, "digest", "doc_id").join(found, ["digest", SALT])
     plain = (F.col("n") == 0) | F.col("marked") | (F.col("h3") % 100 >= CUT)
     met = met.withColumn("form", F.when(plain, "plain").when(F.col("h4") % 100 < SPM, "spm").otherwise("psm"))
     x, y = (F.when(F.col("form") != "plain", F.pmod(c, F.col("n") + 1)) for c in ("h1", "h2"))
@@ -113,11 +117,10 @@ def _joined(docs: DataFrame, seed: str) -> DataFrame:
     ids = _keyed(docs).select("doc_id", "digest")
     hot = hot_keys(ids.groupBy("digest").agg(F.count("*").alias("n")), "digest", docs.count())
     texts = distinct_texts(docs)
-    made = cuts(ids, index(texts), hot, seed)
-    marked = made.join(hot, "digest", "left")
-    cold = texts.join(marked.filter("__splits is null").drop("__splits"), "digest")
+    found = spread(index(texts), hot, "digest").repartition("digest", SALT)  # one shuffle that both ways below read
+    cold = texts.join(cuts(ids.join(hot, "digest", "left_anti"), found, hot, seed), "digest")
     few = spread(texts.join(hot.select("digest"), "digest", "left_semi"), hot, "digest")
-    many = dealt(marked.filter("__splits is not null").drop("__splits"), hot, "digest", "doc_id")
+    many = dealt(cuts(ids.join(hot.select("digest"), "digest", "left_semi"), found, hot, seed), hot, "digest", "doc_id")
     return cold.unionByName(few.join(many, ["digest", SALT]).drop(SALT))
 
 
