@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +100,27 @@ def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
     """A query over driver tables."""
     return _sql(spark, text, _views(spark, sf_dir, *names))
+
+
+def rasters(pixels: DataFrame, width: int, height: int) -> DataFrame:
+    """(subject, frame_idx, width, height, raster, present) of frames given as rows of pixels (subject, frame_idx, x, y, r, g, b).
+
+    Pixels without a row are not present. A frame's pixels meet in one row, and the raster is made of doubles.
+    """
+    each = pixels.groupBy("subject", "frame_idx").agg(*(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))), lambda p, c=c: p[c].cast("double")).alias(c) for c in ("x", "y", "r", "g", "b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, there = [], []
+            for row in zip(*(batch.column(c) for c in ("x", "y", "r", "g", "b")), strict=True):
+                x, y, *rgb = (v.values.to_numpy() for v in row)
+                x, y = x.astype(int), y.astype(int)
+                full = np.zeros((height, width, 3))
+                full[y, x] = np.stack(rgb, 1)
+                out.append(full.tobytes())
+                there.append(np.stack((y, x, x + 1), 1).ravel())
+            n = batch.num_rows
+            cols = [batch.column("subject"), batch.column("frame_idx"), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array(out, pa.binary()), pa.array(there, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(cols, ["subject", "frame_idx", "width", "height", "raster", "present"])
+
+    return each.mapInArrow(run, "subject string, frame_idx long, width int, height int, raster binary, present array<int>")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heartloom.functions import kernels
 from heartloom.missing import fin, finite, ratio
-from heartloom.operators.windows import effective_rate, in_windows, sensor_corrected, tumbling_windows, window_quality
+from heartloom.operators.windows import effective_rate, sensor_corrected, tumbling_windows, window_quality, window_rows
 from heartloom.schemas import AUDIT_KEY, CANDIDATES, METHODS, REFERENCE_WINDOWS, condition_dim, roi_dim
 
 
@@ -18,7 +18,7 @@ def _ordered(df: DataFrame, schema: str) -> DataFrame:
 def reference_windows(samples: DataFrame) -> DataFrame:
     """Contact-sensor windows (schema REFERENCE_WINDOWS) from samples (subject, i, time_sec, ppg, sensor_hr)."""
     windows = tumbling_windows(samples)
-    each = in_windows(windows, samples, ["subject"]).groupBy(*windows.columns).agg(
+    each = window_rows(windows, samples, ["subject"]).groupBy(*windows.columns).agg(
         F.count("time_sec").alias("n_samples"), F.percentile(sensor_corrected(F.col("sensor_hr")), 0.5).alias("sensor_hr_bpm"),
         F.array_sort(F.collect_list(F.when(F.col("time_sec").isNotNull(), F.struct("i", "time_sec", "ppg")))).alias("s"),
     )
@@ -65,7 +65,7 @@ def condition_audit(references: DataFrame, frames: DataFrame, conditions: list[s
     conds = condition_dim(spark)
     conds = conds.filter(F.col("condition").isin(conditions)) if conditions else conds
     grid = references.select("subject", "window_id", "start_time_sec", "end_time_sec").join(F.broadcast(conds.join(roi_dim(spark), F.lit(True))), F.lit(True))
-    joined = in_windows(grid, frames, ["subject", "condition", "roi"])
+    joined = window_rows(grid, frames, ["subject", "condition", "roi"])
     here = F.col("time_sec").isNotNull()
     shift = fin(ratio(F.hypot("roi_shift_x_px", "roi_shift_y_px"), F.col("face_width_px")))
     keep = fin("retention_ratio")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heartloom.operators.windows import in_windows
+from heartloom.operators.windows import window_rows
 
 
 def pick_frames(times: Column, start: Column, end: Column, fps: Column) -> Column:
@@ -35,12 +35,18 @@ def downsample(windows: DataFrame, frames: DataFrame, fps: float) -> DataFrame:
 
     A frame's place within its window is fixed by time, then frame_idx; the choice starts anew in each window.
     """
+    return downsample_all(windows, frames, {"": fps}).drop("condition")
+
+
+def downsample_all(windows: DataFrame, frames: DataFrame, rates: dict[str, float]) -> DataFrame:
+    """The same for several conditions and their rates (column condition), from one list of each window's frames."""
     held = windows.select("subject", "window_id", "start_time_sec", "end_time_sec")
-    inside = in_windows(held, frames.select("subject", "frame_idx", "time_sec"), ["subject"]).filter("time_sec is not null")
-    each = inside.groupBy(*held.columns).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "time_sec"))).alias("fs"))
-    picked = pick_frames(F.col("fs.time_sec"), F.col("start_time_sec"), F.col("end_time_sec"), F.lit(float(fps)))
-    rows = each.select("subject", "window_id", "fs", F.posexplode(picked).alias("sel_seq", "k"))
-    return rows.select("subject", "window_id", F.get("fs", F.col("k"))["frame_idx"].alias("frame_idx"), F.get("fs", F.col("k"))["time_sec"].alias("time_sec"), F.col("sel_seq").cast("bigint").alias("sel_seq"))
+    here = F.when(F.col("time_sec").isNotNull(), F.struct("frame_idx", "time_sec"))
+    each = window_rows(held, frames.select("subject", "frame_idx", "time_sec"), ["subject"]).groupBy(*held.columns).agg(F.array_sort(F.collect_list(here)).alias("fs"))
+    picked = lambda fps: pick_frames(F.col("fs.time_sec"), F.col("start_time_sec"), F.col("end_time_sec"), F.lit(float(fps)))
+    every = F.explode(F.array(*(F.struct(F.lit(name).alias("condition"), picked(fps).alias("ks")) for name, fps in rates.items())))
+    rows = each.select("subject", "window_id", "fs", every.alias("c")).select("subject", "window_id", "fs", "c.condition", F.posexplode("c.ks").alias("sel_seq", "k"))
+    return rows.select("subject", "window_id", F.get("fs", F.col("k"))["frame_idx"].alias("frame_idx"), F.get("fs", F.col("k"))["time_sec"].alias("time_sec"), F.col("sel_seq").cast("bigint").alias("sel_seq"), "condition")
 
 
 def drift(time: Column, width: Column, fraction: Column | float) -> tuple[Column, Column]:
@@ -58,9 +64,10 @@ def condition_traces(windows: DataFrame, original: DataFrame, shifted: DataFrame
     """
     plain = original.drop("sel_seq").withColumns({"roi_shift_fraction": F.lit(0.0), "roi_shift_x_px": F.lit(0.0), "roi_shift_y_px": F.lit(0.0), "retention_ratio": F.lit(1.0)})
     order = F.col("frame_idx").cast("bigint")
-    out = plain.withColumn("condition", F.lit("original")).withColumn("sel_seq", order)
-    once = plain.select("subject", "frame_idx", "time_sec").distinct()
-    for name, fps in (("fps15", 15.0), ("fps10", 10.0)):
-        kept = downsample(windows, once, fps).select("subject", "frame_idx", (F.col("window_id") * 1_000_000 + F.col("sel_seq")).alias("sel_seq"))
-        out = out.unionByName(plain.join(kept, ["subject", "frame_idx"]).withColumn("condition", F.lit(name)))
+    kept = downsample_all(windows, plain.select("subject", "frame_idx", "time_sec").distinct(), {"fps15": 15.0, "fps10": 10.0})
+    place = F.struct("condition", (F.col("window_id") * 1_000_000 + F.col("sel_seq")).alias("sel_seq"))
+    uses = kept.groupBy("subject", "frame_idx").agg(F.collect_list(place).alias("uses"))  # as many as the rates and the windows a frame is in
+    own = F.array(F.struct(F.lit("original").alias("condition"), order.alias("sel_seq")))
+    each = plain.join(uses, ["subject", "frame_idx"], "left").withColumn("use", F.explode(F.concat(own, F.coalesce("uses", F.array().cast("array<struct<condition:string,sel_seq:bigint>>")))))
+    out = each.select(*plain.columns, "use.condition", "use.sel_seq")
     return out if shifted is None else out.unionByName(shifted.withColumn("sel_seq", order).select(*out.columns))

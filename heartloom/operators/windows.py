@@ -25,24 +25,29 @@ def tumbling_windows(samples: DataFrame, length: float = WINDOW_SEC) -> DataFram
     return rows.select("subject", (F.col("k") + 1).cast("bigint").alias("window_id"), start.alias("start_time_sec"), (start + length).alias("end_time_sec"), ratio(F.lit(1.0), F.col("dt")).alias("sample_rate_hz"))
 
 
-def in_windows(windows: DataFrame, rows: DataFrame, keys: list[str], length: float = WINDOW_SEC) -> DataFrame:
-    """windows left-joined to the rows whose time is in [start, end) of the same keys; empty windows stay.
+def window_rows(windows: DataFrame, rows: DataFrame, keys: list[str], length: float = WINDOW_SEC) -> DataFrame:
+    """windows left-joined to the rows whose time is in [start, end) of the same keys, in one join.
 
     Time buckets of a window's length make an equi-key, so the range condition is tested on neighbours only and a
-    long recording is spread over tasks. The exact bounds decide.
+    long recording is spread over tasks. The exact bounds decide. A window has a row without time for each of its
+    buckets that has nothing for it, so empty windows are there, and others may have such a row beside their own:
+    aggregates that ignore missing values need no second look. ``in_windows`` leaves those rows out.
     """
     spread = windows.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_time_sec") / length), F.floor(F.col("end_time_sec") / length))))
     w, r = spread.alias("w"), rows.withColumn("__b", F.floor(F.col("time_sec") / length)).alias("r")
-    same = [F.col(f"w.{k}") == F.col(f"r.{k}") for k in (*keys, "__b")]
-    inside = (F.col("r.time_sec") >= F.col("w.start_time_sec")) & (F.col("r.time_sec") < F.col("w.end_time_sec"))
-    cond = inside
-    for s in same:
-        cond = cond & s
-    mine = [F.col(f"w.{c}") for c in windows.columns]
-    theirs = [F.col(f"r.{c}") for c in rows.columns if c not in windows.columns]
-    matched = w.join(r, cond).select(*mine, *theirs)
-    rest = windows.join(matched.select(*keys, "window_id").distinct(), [*keys, "window_id"], "left_anti")
-    return matched.unionByName(rest, allowMissingColumns=True)
+    cond = (F.col("r.time_sec") >= F.col("w.start_time_sec")) & (F.col("r.time_sec") < F.col("w.end_time_sec"))
+    for k in (*keys, "__b"):
+        cond = cond & (F.col(f"w.{k}") == F.col(f"r.{k}"))
+    return w.join(r, cond, "left").select(*(F.col(f"w.{c}") for c in windows.columns), *(F.col(f"r.{c}") for c in rows.columns if c not in windows.columns))
+
+
+def in_windows(windows: DataFrame, rows: DataFrame, keys: list[str], length: float = WINDOW_SEC) -> DataFrame:
+    """The same with each window's rows alone, or one row without time where it has none."""
+    joined = window_rows(windows, rows, keys, length)
+    by = Window.partitionBy(*keys, "window_id")
+    place = F.row_number().over(by.orderBy(F.col("time_sec").asc_nulls_last()))
+    marked = joined.withColumns({"__n": F.count("time_sec").over(by), "__i": place})
+    return marked.filter(F.col("time_sec").isNotNull() | ((F.col("__n") == 0) & (F.col("__i") == 1))).drop("__n", "__i")
 
 
 def effective_rate(n: Column, first: Column, last: Column) -> Column:
@@ -74,7 +79,7 @@ def window_quality(windows: DataFrame, frames: DataFrame, by: list[str]) -> Data
     frames: one row per frame and region with sel_seq, the order that rates and gaps follow. windows must hold every
     group wanted, so a window without frames has its row too.
     """
-    joined = in_windows(windows, frames, by)
+    joined = window_rows(windows, frames, by)
     good = F.coalesce("valid", F.lit(False)) & fin("r").isNotNull() & fin("g").isNotNull() & fin("b").isNotNull()
     here = F.col("time_sec").isNotNull()
     sample = F.struct("sel_seq", "time_sec", F.when(good, F.col("r")).alias("r"), F.when(good, F.col("g")).alias("g"), F.when(good, F.col("b")).alias("b"), good.alias("good"))
@@ -97,27 +102,54 @@ def sensor_corrected(hr: Column) -> Column:
     return F.when((fin(hr) > 0) & (fin(hr) < 42), hr + 128.0).otherwise(fin(hr))
 
 
+def carried(rows: DataFrame, keys: list[str], order: str, span: float, value: Column, name: str, ahead: bool = False) -> DataFrame:
+    """rows with the column ``name``: the last value that is not null in an earlier row of the same keys (or, with
+    ``ahead``, the first in a later one), by ``order``.
+
+    A recording is cut into stretches of ``span`` units of the order. The last value of each stretch is found first, by a
+    grouped maximum; one small row for each stretch carries it on, and each stretch is then filled on its own. So no
+    task holds a recording. rows is read twice.
+    """
+    piece = F.floor(F.col(order) / span)
+    held = rows.withColumns({"__piece": piece, "__value": F.struct(value.alias("v"))}).withColumn("__value", F.when(F.col("__value.v").isNotNull(), F.col("__value")))
+    pick = F.min_by if ahead else F.max_by
+    ends = held.filter("__value is not null").groupBy(*keys, "__piece").agg(pick("__value", order).alias("__end"))
+    stretches = held.select(*keys, "__piece").distinct().join(ends, [*keys, "__piece"], "left")
+    along = F.col("__piece").desc() if ahead else F.col("__piece")
+    before = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = stretches.select(*keys, "__piece", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    step = F.col(order).desc() if ahead else F.col(order)
+    inside = Window.partitionBy(*keys, "__piece").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    out = held.join(stretches, [*keys, "__piece"], "left").withColumn(name, F.coalesce(F.last("__value", ignorenulls=True).over(inside), F.col("__carry"))["v"])
+    return out.select(*rows.columns, name)
+
+
+#: Frames, and seconds, of the stretches in which a recording is filled.
+STRETCH_FRAMES, STRETCH_SEC = 4096, 600.0
+
+
 def motion_since_face(frames: DataFrame) -> DataFrame:
     """Shift of the face centre, by face width, and change of face area since the last frame with a face; 0 at first.
 
     frames: subject, frame_idx, landmark_valid, cx, cy, face_width_px, face_area_ratio.
     """
-    by = Window.partitionBy("subject").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, -1)
     face = F.col("landmark_valid")
-    held = lambda c: F.last(F.when(face, F.col(c)), ignorenulls=True).over(by)
-    out = frames.withColumns({"__x": held("cx"), "__y": held("cy"), "__a": held("face_area_ratio")})
-    shift = ratio(F.hypot(F.col("cx") - F.col("__x"), F.col("cy") - F.col("__y")), F.col("face_width_px"))
-    change = ratio(F.abs(F.col("face_area_ratio") - F.col("__a")), F.col("__a"))
-    first = F.col("__x").isNull()
-    return out.withColumn("face_center_shift", F.when(face, F.when(first, 0.0).otherwise(shift))).withColumn("face_area_change", F.when(face, F.when(first, 0.0).otherwise(change))).drop("__x", "__y", "__a")
-
-
-def fill_linear(rows: DataFrame, keys: list[str], time: str, value: str, good: str) -> DataFrame:
-    """value interpolated linearly between good rows, the nearest good value beyond the ends; column ``filled``."""
-    back = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(time).rowsBetween(0, Window.unboundedFollowing)
-    pick = lambda c: F.when(F.col(good), F.col(c))
-    out = rows.withColumns({"__t0": F.last(pick(time), True).over(back), "__v0": F.last(pick(value), True).over(back), "__t1": F.first(pick(time), True).over(ahead), "__v1": F.first(pick(value), True).over(ahead)})
-    share = ratio(F.col(time) - F.col("__t0"), F.col("__t1") - F.col("__t0"))
-    mid = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * F.coalesce(share, F.lit(0.0))
-    return out.withColumn("filled", F.coalesce(mid, "__v0", "__v1")).drop("__t0", "__v0", "__t1", "__v1")
+    seen = F.when(face, F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("face_area_ratio").alias("a")))
+    out = carried(frames, ["subject"], "frame_idx", STRETCH_FRAMES, seen, "__last")
+    shift = ratio(F.hypot(F.col("cx") - F.col("__last.x"), F.col("cy") - F.col("__last.y")), F.col("face_width_px"))
+    change = ratio(F.abs(F.col("face_area_ratio") - F.col("__last.a")), F.col("__last.a"))
+    first = F.col("__last").isNull()
+    return out.withColumn("face_center_shift", F.when(face, F.when(first, 0.0).otherwise(shift))).withColumn("face_area_change", F.when(face, F.when(first, 0.0).otherwise(change))).drop("__last")
+
+
+def fill_linear(rows: DataFrame, keys: list[str], time: str, value: str, good: str, span: float = STRETCH_SEC) -> DataFrame:
+    """value interpolated linearly between good rows, the nearest good value beyond the ends; column ``filled``.
+
+    span is the length of the stretches that are filled on their own; it changes no value.
+    """
+    point = F.when(F.col(good) & F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
+    out = carried(carried(rows, keys, time, span, point, "__back"), keys, time, span, point, "__ahead", ahead=True)
+    share = ratio(F.col(time) - F.col("__back.t"), F.col("__ahead.t") - F.col("__back.t"))
+    mid = F.col("__back.v") + (F.col("__ahead.v") - F.col("__back.v")) * F.coalesce(share, F.lit(0.0))
+    own = F.when(F.col(good), F.col(value))
+    return out.withColumn("filled", F.coalesce(own, mid, F.col("__back.v"), F.col("__ahead.v"))).drop("__back", "__ahead")

@@ -342,6 +342,5 @@ def shifted_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours of regions that moved by 2.4 and -1.4 pixels in frames of 24 x 20, and what they keep."""
     pixels = adapters.sql(spark, sf_dir, PIXELS, "lineitem")
     masks = pixels.select("subject", "frame_idx", F.when(F.col("x") < 12, "forehead").otherwise("cheeks_mean").alias("roi"), "x", "y")
-    moved = faces.shifted(masks, F.lit(2.4), F.lit(-1.4), F.lit(24), F.lit(20))
-    keys = ["subject", "frame_idx", "roi"]
-    return rounded(faces.region_colours(moved, pixels, keys).join(faces.retention(masks, moved, keys), keys))
+    frames = adapters.rasters(pixels, 24, 20).join(faces.encoded(masks), ["subject", "frame_idx"])
+    return rounded(faces.moved_regions(frames, 2.4, -1.4).filter("n_pixels > 0"))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,26 +22,41 @@ def test_landmarks_reach_the_frames_last_pixel(spark):
     assert faces.first_frames(frames, 1).count() == 1 and faces.first_frames(frames, None).count() == 2
 
 
+FRAMES = "subject string, frame_idx long, time_sec double, width int, height int, raster binary, landmarks array<double>, regions array<struct<roi: string, runs: array<int>>>, present array<int>"
+
+
+def frame(i, shape, colour=(40, 80, 255), marks=None, regions=None, present=None):
+    raster = np.full((*shape, 3), colour, np.uint8).tobytes()
+    return ("s", i, i / 10, shape[1], shape[0], raster, marks, [(roi, list(r)) for roi, r in regions.items()] if regions is not None else None, present)
+
+
 def test_regions_move_as_one_and_are_clipped(spark):
-    masks = spark.createDataFrame([("s", 0, "full_face_inner", 2, 2), ("s", 0, "forehead", 5, 4), ("s", 0, "cheeks_mean", 7, 0)], "subject string, frame_idx long, roi string, x int, y int")
-    got = {r.roi: (r.x, r.y) for r in faces.shifted(masks, F.lit(2.0), F.lit(-1.0), F.lit(8), F.lit(8)).collect()}
-    assert got == {"full_face_inner": (4, 1), "forehead": (7, 3)}
+    regions = {"full_face_inner": (2, 2, 3), "forehead": (4, 5, 6), "cheeks_mean": (0, 7, 8)}
+    df = spark.createDataFrame([frame(0, (8, 8), regions=regions), frame(1, (8, 8), regions={"forehead": (4, 5, 6)}, present=[3, 0, 7])], FRAMES)
+    got = {(r.frame_idx, r.roi): (r.n_pixels, r.retention_ratio) for r in faces.moved_regions(df, 2.0, -1.0).collect()}
+    assert got == {(0, "full_face_inner"): (1, 0.0), (0, "forehead"): (1, 0.0), (0, "cheeks_mean"): (0, 0.0), (1, "forehead"): (0, 0.0)}
+
+
+def test_masks_of_pixels_become_runs(spark):
+    masks = spark.createDataFrame([("s", 0, "forehead", x, y) for x, y in ((3, 1), (4, 1), (6, 1), (0, 2))], "subject string, frame_idx long, roi string, x long, y long")
+    (r,) = faces.encoded(masks).collect()
+    assert r.regions[0].roi == "forehead" and sorted(zip(*[iter(r.regions[0].runs)] * 3)) == [(1, 3, 5), (1, 6, 7), (2, 0, 1)]
 
 
 def test_traces_of_two_shifts_in_one_plan(spark):
-    frames = spark.createDataFrame([("s", i, i / 10, 100, 100) for i in range(3)], "subject string, frame_idx long, time_sec double, width int, height int")
-    marks = spark.createDataFrame([("s", i, k, x, x) for i in (0, 2) for k, x in enumerate((0.2, 0.8))], "subject string, frame_idx long, landmark_id int, x double, y double")
-    square = [(r, x, y) for r in ROIS[:2] for x in range(30, 40) for y in range(30, 40)] + [(ROIS[2], x, 50) for x in range(20)]
-    masks = spark.createDataFrame([("s", i, *m) for i in (0, 2) for m in square], "subject string, frame_idx long, roi string, x int, y int")
-    pixels = spark.range(10_000).select(F.lit("s").alias("subject"), F.explode(F.lit([0, 1, 2]).cast("array<long>")).alias("frame_idx"), (F.col("id") % 100).cast("int").alias("x"), F.floor(F.col("id") / 100).cast("int").alias("y"), F.lit(40).alias("r"), F.lit(80).alias("g"), F.lit(255).alias("b"))
-    got = {(r.frame_idx, r.roi, r.roi_shift_fraction): r for r in faces.traces(frames, marks, masks, pixels, [0.0, 0.05]).collect()}
+    square = [v for y in range(30, 40) for v in (y, 30, 40)]
+    regions = {ROIS[0]: square, ROIS[1]: square, ROIS[2]: (50, 0, 20)}
+    df = spark.createDataFrame([frame(i, (100, 100), marks=None if i == 1 else [0.2, 0.2, 0.8, 0.8], regions=regions) for i in range(3)], FRAMES)
+    got = {(r.frame_idx, r.roi, r.roi_shift_fraction): r for r in faces.frame_traces(df, [0.0, 0.05]).collect()}
     assert len(got) == 3 * 3 * 2
     still, moved = got[2, "forehead", 0.0], got[2, "forehead", 0.05]
     assert (still.r, still.g, still.b, still.n_pixels, still.valid, still.retention_ratio, still.overexposure_ratio) == (40, 80, 255, 100, True, 1.0, 1.0)
+    assert still.brightness == pytest.approx(0.299 * 40 + 0.587 * 80 + 0.114 * 255)
     dx = math.sin(2 * math.pi * 0.2 / 10) * 59.4 * 0.05
     assert moved.roi_shift_x_px == pytest.approx(dx) and moved.retention_ratio == pytest.approx((10 - math.floor(dx + 0.5)) * (10 - math.floor(moved.roi_shift_y_px + 0.5)) / 100)
     few, none = got[0, "cheeks_mean", 0.0], got[1, "forehead", 0.0]
     assert few.n_pixels == 20 and not few.valid and few.r is None and none.n_pixels == 0 and not none.valid and none.roi_shift_x_px is None
+    assert not none.landmark_valid and none.face_width_px is None and none.face_center_shift is None and still.face_center_shift == 0
 
 
 def trace(spark, shift=0.0):
