@@ -48,6 +48,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch where the session sets no bound of its own.
+ARROW_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as by rows, where the session doesn't, for stages that read whole texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a cut or cheap narrow table if it has at most this many rows; else leave the shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

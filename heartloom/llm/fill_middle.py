@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heartloom.llm import eliasfano
-from heartloom.llm.common import SALT, dealt, hot_keys, spread
+from heartloom.llm.common import SALT, bounded_batches, dealt, hot_keys, spread
 
 #: Marks of the parts. Fixed values.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -114,6 +114,7 @@ def cuts(ids: DataFrame, found: DataFrame, hot: DataFrame, seed: str = "1") -> D
 
 def _joined(docs: DataFrame, seed: str) -> DataFrame:
     """One row per document with its text and cuts."""
+    bounded_batches(docs.sparkSession)
     ids = _keyed(docs).select("doc_id", "digest")
     hot = hot_keys(ids.groupBy("digest").agg(F.count("*").alias("n")), "digest", docs.count())
     texts = distinct_texts(docs)

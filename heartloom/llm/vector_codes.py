@@ -26,7 +26,7 @@ from heartloom.llm.common import SALT, cut, dealt, hot_keys, spread
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 #: Largest absolute component; above it sums of squares might leave 64-bit integers.
 LARGEST = float(1 << 17)
-#: A floating-point bound is lowered by this share of the squared norms that went into it.
+#: A floating-point bound is lowered by this share of the largest squared norms that went into it.
 SLACK = 1e-9
 #: Vectors that are compared at a time in a task.
 BATCH = 1024
@@ -66,27 +66,36 @@ class Blocks:
             edges = sorted({*edges, *((a + b) // 2 for a, b in zip(edges[:-1], edges[1:], strict=True))})
 
 
+def _bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Lower bounds of every row of a against every row of b, up to rounding."""
+    out = np.zeros((len(a[0]), len(b[0])))
+    for x, y in zip(a, b, strict=True):
+        for k in range(x.shape[1]):
+            d = x[:, k, None] - y[None, :, k]
+            d *= d
+            out += d
+    return out
+
+
 def nearest(rows: np.ndarray, book: Blocks) -> tuple[np.ndarray, np.ndarray, int]:
     """Index and squared distance of each row's nearest entry, ties to the lower index, and the number of exact distances."""
+    if not len(rows):
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0
     mine = Blocks(rows)
-    n, k = len(rows), len(book.rows)
-    slack = SLACK * (mine.norms[:, None] + book.norms[None, :] + 1.0)
-    if mine.levels:
-        bound = sum((a[:, None, :] - b[None, :, :]) ** 2 for a, b in zip(mine.levels[0], book.levels[0], strict=True)).sum(2)
-    else:
-        bound = np.zeros((n, k))
+    slack = SLACK * (mine.norms.max() + book.norms.max() + 1.0)
+    bound = _bound(mine.levels[0], book.levels[0]) if mine.levels else np.zeros((len(rows), len(book.rows)))
     first = bound.argmin(1)
     top = ((rows - book.rows[first]) ** 2).sum(1)  # exact: an upper bound of the least distance
-    r, c = np.nonzero(bound - slack <= top[:, None])
+    r, c = np.divmod(np.flatnonzero(bound <= (top + slack)[:, None]), len(book.rows))
     for level in range(1, len(mine.levels)):
         fine = sum(((a[r] - b[c]) ** 2).sum(1) for a, b in zip(mine.levels[level], book.levels[level], strict=True))
-        keep = fine - slack[r, c] <= top[r]
+        keep = fine <= top[r] + slack
         r, c = r[keep], c[keep]
-    exact = ((rows[r] - book.rows[c]) ** 2).sum(1)
-    order = np.lexsort((c, exact, r))
-    r, c, exact = r[order], c[order], exact[order]
-    lead = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if n else np.empty(0, np.int64)
-    return c[lead], exact[lead], len(exact)
+    exact = ((rows[r] - book.rows[c]) ** 2).sum(1)  # by row, entries rising, at least the first one in each
+    lead = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    least = np.minimum.reduceat(exact, lead)
+    tied = np.flatnonzero(exact == least[r])
+    return c[tied[np.append(True, r[tied][1:] != r[tied][:-1])]], least, len(exact)
 
 
 def _parts(batch: pa.RecordBatch, width: int) -> Iterator[np.ndarray]:
