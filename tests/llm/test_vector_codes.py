@@ -1,0 +1,95 @@
+"""Vector codes against brute force in whole numbers."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from heartloom.llm import vector_codes
+
+SCHEMA = "vec_id long, embedding array<float>, label int, code string, error long"
+
+
+def brute(rows, rounds=2):
+    """The contract over (vec_id, vector, label), in Python numbers."""
+    kept = [(i, [math.floor(256 * float(np.float32(x))) for x in v], label) for i, v, label in rows if v and all(x is not None and math.isfinite(x) for x in v)]
+    w = len(kept[0][1]) // 16
+    cut = lambda v: [tuple(v[p * w : p * w + w]) for p in range(16)]
+    seeds = [cut(v) for _, v, _ in sorted(kept)[:64]]
+    books = [[s[p] for s in seeds] for p in range(16)]
+    near = lambda x, book: min((sum((a - b) ** 2 for a, b in zip(x, c)), e) for e, c in enumerate(book))
+    for _ in range(rounds):
+        groups = {}
+        for _, v, _ in kept:
+            for p, x in enumerate(cut(v)):
+                groups.setdefault((p, near(x, books[p])[1]), []).append(x)
+        books = [[tuple(sum(c) // len(c) for c in zip(*groups[p, e])) if (p, e) in groups else books[p][e] for e in range(len(books[p]))] for p in range(16)]
+    out = [(i, [near(x, books[p]) for p, x in enumerate(cut(v))], label) for i, v, label in kept]
+    total = {}
+    for _, found, label in out:
+        total[label] = total.get(label, 0) + sum(d for d, _ in found)
+    sha = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
+    return sorted(((i, "".join(f"{e:02x}" for _, e in found), sum(d for d, _ in found), total[label], sha) for i, found, label in out), key=str)
+
+
+def vectors(n, width, seed, low=-1.0, high=1.0):
+    x = np.random.default_rng(seed).uniform(low, high, (n, 16 * width)).astype(np.float32)
+    return [(int(i), [float(v) for v in row], int(i) % 3 if i % 5 else None) for i, row in enumerate(x)]
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(*r, "c", 1) for r in rows], SCHEMA)
+
+
+@pytest.mark.parametrize(("n", "width", "span"), [(150, 4, 1.0), (90, 1, 0.02), (90, 5, 0.01), (30, 2, 1.0)])
+def test_codes_equal_brute_force(spark, n, width, span):
+    rows = vectors(n, width, n + width, -span, span)
+    got = vector_codes.encode(table(spark, rows))
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
+
+
+def test_rows_that_cannot_be_coded_are_left_out(spark):
+    good = vectors(80, 1, 9)
+    bad = [(-1, None, 1), (-2, [], 1), (-3, [1.0] * 15 + [None], 1), (-4, [1.0] * 15 + [float("nan")], 1), (-5, [1.0] * 15 + [float("inf")], 1), (-6, [1.0] * 15 + [float("-inf")], None)]
+    repeated = [good[70], good[70]]
+    got = vector_codes.encode(table(spark, bad + good + repeated))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(good + repeated)
+    other = vector_codes.encode(table(spark, good + [(500, [0.5] * 32, 1), (501, [0.5] * 17, 1)]))
+    assert sorted((tuple(r) for r in other.collect()), key=str) == brute(good)
+    assert vector_codes.encode(table(spark, bad)).count() == vector_codes.encode(table(spark, bad).limit(0)).count() == 0
+    nameless = vector_codes.encode(table(spark, [(None, v, None) for _, v, _ in good[:5]]))
+    assert nameless.count() == 5 and nameless.filter("vec_id is null and error = 0").count() == 5
+    with pytest.raises(Exception, match="scale the vectors"):
+        vector_codes.encode(table(spark, [(1, [1e30] * 16, 1)])).collect()
+
+
+def test_one_label_may_hold_most_rows(spark):
+    rows = [(i, v, 7 if i > 20 else i) for i, v, _ in vectors(200, 1, 3)]
+    assert sorted((tuple(r) for r in vector_codes.encode(table(spark, rows)).collect()), key=str) == brute(rows)
+
+
+def test_bounds_never_lose_the_nearest():
+    rng = np.random.default_rng(4)
+    for width, low, high in ((1, -3, 3), (2, -4, 4), (3, -2, 2), (4, -300, 300), (7, -9, 9), (16, -50, 50), (48, -500, 500), (8, -(1 << 25), 1 << 25)):
+        rows, book = rng.integers(low, high, (400, width)), rng.integers(low, high, (64, width))
+        rows[:64] = book  # distance zero, and entries that repeat
+        book[40] = book[3]
+        full = ((rows[:, None] - book[None]) ** 2).sum(2)
+        index, least, exact = vector_codes.nearest(rows, vector_codes.Blocks(book))
+        assert (index == full.argmin(1)).all() and (least == full.min(1)).all() and exact <= full.size
+    far = np.concatenate([rng.normal(1000 * k, 1, (50, 16)) for k in range(8)]).astype(np.int64)
+    book = np.concatenate([rng.normal(1000 * k, 1, (8, 16)) for k in range(8)]).astype(np.int64)
+    assert vector_codes.nearest(far, vector_codes.Blocks(book))[2] <= len(far) * len(book) / 4  # most are left out by their bounds
+
+
+def test_codes_stand_for_their_entries(spark):
+    rows = vectors(100, 2, 8)
+    kept = vector_codes.usable(table(spark, rows))
+    books = vector_codes.fit(kept)
+    got = vector_codes.decode(vector_codes.assign(kept, books), books).select("vec_id", "error", F.transform("approx", lambda x: (x * 256).cast("long")).alias("a"))
+    by = {i: v for i, v, _ in rows}
+    for r in got.collect():
+        assert sum((math.floor(256 * x) - a) ** 2 for x, a in zip(by[r.vec_id], r.a, strict=True)) == r.error
