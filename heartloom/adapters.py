@@ -107,7 +107,8 @@ def rasters(pixels: DataFrame, width: int, height: int) -> DataFrame:
 
     Pixels without a row are not present. A frame's pixels meet in one row, and the raster is made of doubles.
     """
-    each = pixels.groupBy("subject", "frame_idx").agg(*(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))), lambda p, c=c: p[c].cast("double")).alias(c) for c in ("x", "y", "r", "g", "b")))
+    each = pixels.groupBy("subject", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
+    each = each.select("subject", "frame_idx", *(F.col(f"p.{c}").cast("array<double>").alias(c) for c in ("x", "y", "r", "g", "b")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

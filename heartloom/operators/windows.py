@@ -82,15 +82,18 @@ def window_quality(windows: DataFrame, frames: DataFrame, by: list[str]) -> Data
     joined = window_rows(windows, frames, by)
     good = F.coalesce("valid", F.lit(False)) & fin("r").isNotNull() & fin("g").isNotNull() & fin("b").isNotNull()
     here = F.col("time_sec").isNotNull()
-    sample = F.struct("sel_seq", "time_sec", F.when(good, F.col("r")).alias("r"), F.when(good, F.col("g")).alias("g"), F.when(good, F.col("b")).alias("b"), good.alias("good"))
+    sample = F.struct("sel_seq", "time_sec", F.when(good, F.col("r")).alias("r"), F.when(good, F.col("g")).alias("g"), F.when(good, F.col("b")).alias("b"), good.alias("good"), fin("brightness").alias("brightness"))
     keys = list(windows.columns)
     stats = joined.groupBy(*keys).agg(
         F.count_if(here).alias("n_frames"), F.min_by("time_sec", "sel_seq").alias("t0"), F.max_by("time_sec", "sel_seq").alias("t1"),
         F.coalesce(ratio(F.count_if(here & good), F.count_if(here)), F.lit(0.0)).alias("valid_frame_fraction"),
-        *(F.avg(fin(c)).alias(f"mean_{c}") for c in ("face_area_ratio", "face_center_shift", "face_area_change", "brightness", "overexposure_ratio")),
+        *(F.avg(fin(c)).alias(f"mean_{c}") for c in ("face_area_ratio", "face_center_shift", "face_area_change", "overexposure_ratio")),
         F.stddev_pop(fin("brightness")).alias("brightness_std"), F.array_sort(F.collect_list(F.when(here, sample))).alias("samples"),
     )
     rate = effective_rate(F.col("n_frames"), F.col("t0"), F.col("t1"))
+    # frame by frame, so that the last digit doesn't depend on how rows were dealt
+    light = F.filter(F.col("samples.brightness"), lambda x: x.isNotNull())
+    stats = stats.withColumn("mean_brightness", ratio(F.aggregate(light, F.lit(0.0), lambda s, x: s + x), F.size(light)))
     times = F.transform(F.filter("samples", lambda s: s["good"]), lambda s: s["time_sec"])
     stats = stats.withColumn("sample_rate_hz", rate).withColumn("max_missing_gap_sec", longest_gap(F.col("start_time_sec"), times, F.col("end_time_sec")))
     cover = coverage(F.col("n_frames"), F.col("sample_rate_hz"), F.col("end_time_sec") - F.col("start_time_sec"))
