@@ -13,21 +13,42 @@ from heartloom.operators.windows import window_rows
 def pick_frames(times: Column, start: Column, end: Column, fps: Column) -> Column:
     """Indices (from 0) of the frames picked for evenly spaced ticks, in the order of picking.
 
-    Each tick takes the nearest frame not yet taken, the earlier of two equally near; it stops when none is left. The
-    frames left are the state of a fold over the ticks, so the choice is exact and stays in the JVM.
+    Each tick takes the nearest frame not yet taken, the one of lower index of two equally near; it stops when none is
+    left. Frames and ticks are folded over in order of time: of the frames not taken, only the last one passed and the
+    next one ahead can be nearest, so a step looks at two frames, is exact and stays in the JVM.
     """
     ticks = F.bround((end - start) * fps, 0).cast("int")
-    left = F.transform(times, lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    state = F.struct(F.array().cast("array<int>").alias("taken"), left.alias("left"))
+    frames = F.array_sort(F.transform(times, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
 
-    def step(s: Column, k: Column) -> Column:
-        tick = start + k / fps
-        best = F.array_min(F.transform(s["left"], lambda x: F.struct(F.abs(x["t"] - tick).alias("d"), x["i"].alias("i"))))["i"]
-        # the best is bound to a variable, or the filter would find it anew for each frame
-        took = lambda b: F.struct(F.array_append(s["taken"], b).alias("taken"), F.filter(s["left"], lambda x: x["i"] != b).alias("left"))
-        return F.when(F.size(s["left"]) == 0, s).otherwise(F.element_at(F.transform(F.array(best), took), 1))
+    def fold(fs: Column) -> Column:
+        passed = F.transform(fs, lambda f, k: F.struct(f["t"].alias("t"), F.lit(0).alias("tick"), k.alias("k")))
+        marks = F.transform(F.sequence(F.lit(0), ticks - 1), lambda k: F.struct((start + k / fps).alias("t"), F.lit(1).alias("tick"), k.alias("k")))
+        none = F.array().cast("array<int>")
+        # ahead: the first frame neither passed nor taken; behind: those passed and not taken, in order of time
+        state = F.struct(F.lit(0).alias("ahead"), none.alias("behind"), none.alias("taken"))
+        return F.aggregate(F.array_sort(F.concat(passed, marks)), state, lambda s, e: F.when(e["tick"] == 1, taken(fs, s, e["t"])).when(e["k"] < s["ahead"], s).otherwise(after(e["k"] + 1, F.array_append(s["behind"], e["k"]), s["taken"])), lambda s: s["taken"])
 
-    return F.when(ticks > 0, F.aggregate(F.sequence(F.lit(0), ticks - 1), state, step, lambda s: s["taken"])).otherwise(F.array().cast("array<int>"))
+    return F.when(ticks > 0, F.element_at(F.transform(F.array(frames), fold), 1)).otherwise(F.array().cast("array<int>"))
+
+
+def after(ahead: Column, behind: Column, taken: Column) -> Column:
+    return F.struct(ahead.alias("ahead"), behind.alias("behind"), taken.alias("taken"))
+
+
+def taken(fs: Column, s: Column, tick: Column) -> Column:
+    """The state of ``pick_frames`` after a tick took its frame."""
+    left = lambda k: F.get(fs, F.get(s["behind"], F.size(s["behind"]) - k))
+    own, right = left(1)["t"], F.get(fs, s["ahead"])
+    # of frames of one time the lowest index goes first
+    lowest = F.when(left(2)["t"] == own, F.array_min(F.filter(s["behind"], lambda k: F.get(fs, k)["t"] == own))).otherwise(F.get(s["behind"], F.size(s["behind"]) - 1))
+
+    def step(k: Column) -> Column:
+        dl, dr = F.abs(own - tick), F.abs(right["t"] - tick)
+        back = k.isNotNull() & (right.isNull() | (dl < dr) | ((dl == dr) & (F.get(fs, k)["i"] < right["i"])))
+        took = after(s["ahead"], F.array_remove(s["behind"], k), F.array_append(s["taken"], F.get(fs, k)["i"]))
+        return F.when(back, took).when(right.isNotNull(), after(s["ahead"] + 1, s["behind"], F.array_append(s["taken"], right["i"]))).otherwise(s)
+
+    return F.element_at(F.transform(F.array(lowest), step), 1)
 
 
 def downsample(windows: DataFrame, frames: DataFrame, fps: float) -> DataFrame:

@@ -23,6 +23,8 @@ CONDITIONS = (
     ("roi_shift_3", 3, "roi_shift", 0.03, None), ("roi_shift_5", 4, "roi_shift", 0.05, None),
 )
 STATUSES = ("ok", "low_video_coverage", "low_valid_fraction", "long_missing_gap")
+#: Long traces: a row for each frame and region.
+TRACE_LONG = f"subject string, {FRAME_COLUMNS}, roi string, r double, g double, b double, n_pixels bigint, brightness double, overexposure_ratio double, valid boolean, retention_ratio double, sel_seq bigint"
 WIDE_TRACE = FRAME_COLUMNS + "".join(f", {roi}_{c} {t}" for roi in ROIS for c, t in ROI_COLUMNS.items())
 CANDIDATES = (
     "subject string, condition string, window_id bigint, start_time_sec double, end_time_sec double, duration_sec double, roi string, method string, "

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,28 @@ def require_empty(spark: SparkSession, path: str) -> None:
         raise FileExistsError(f"output folder is not empty: {path}")
 
 
+@contextmanager
+def publication(spark: SparkSession, output: str) -> Iterator[str]:
+    """A folder beside the output to write into; it becomes the output by one rename when all is written.
+
+    The output must not exist or be empty. When anything fails, what was written goes and the output stays as it was, so
+    a reader sees all tables or none.
+    """
+    require_empty(spark, output)
+    place, fs = path_of(spark, output)
+    staging, _ = path_of(spark, f"{output.rstrip('/')}.{uuid.uuid4().hex}.staging")
+    fs.mkdirs(staging)
+    try:
+        yield staging.toString()
+        fs.mkdirs(place.getParent())
+        if fs.exists(place):
+            fs.delete(place, False)
+        if not fs.rename(staging, place):
+            raise OSError(f"could not publish {output}")
+    finally:
+        fs.delete(staging, True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV files with a header, one for each task; booleans as True and False, missing as empty."""
     cols = [F.initcap(F.col(c).cast("string")).alias(c) if t == "boolean" else F.col(c) for c, t in df.dtypes]

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heartloom.missing import require_none
-from heartloom.schemas import CANDIDATES, REFERENCE_WINDOWS, ROI_COLUMNS, ROIS, WIDE_TRACE
-from heartloom.sources.sinks import path_of
+from heartloom.schemas import CANDIDATES, REFERENCE_WINDOWS, ROI_COLUMNS, ROIS, TRACE_LONG, WIDE_TRACE
+from heartloom.sources.files import sha256_of
+from heartloom.sources.sinks import exists, path_of
 
 
 def discover_subjects(spark: SparkSession, root: str) -> DataFrame:
@@ -81,19 +84,41 @@ def trace_wide(long: DataFrame) -> DataFrame:
 
 
 def file_sha256(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256) of every file's bytes."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of every file's bytes, empty ones too; the driver lists names and sizes, and tasks read files in
+    pieces, so that they may be of any size."""
+    place, fs = path_of(spark, path)
+    found, rows = fs.listFiles(place, True), []
+    while found.hasNext():
+        f = found.next()
+        rows.append((f.getPath().toString(), f.getLen()))
+    listed = spark.createDataFrame(rows, "path string, length long").repartition(max(1, min(len(rows), 1000)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("sha256", pa.array([sha256_of(p) for p in batch.column("path").to_pylist()], pa.string()))
+
+    return listed.mapInArrow(run, "path string, length long, sha256 string")
 
 
 def file_facts(spark: SparkSession, path: str) -> dict[str, object]:
     """Size and SHA-256 of a file; of a folder the sum of sizes and the hash of its files' names and hashes, in order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    found = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha")).filter(~F.col("name").rlike(r"^[._]"))
-    rows = sorted(found.collect())
+    files = file_sha256(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length", F.col("sha256").alias("sha")).filter(~F.col("name").rlike(r"^[._]"))
+    rows = sorted(files.collect())
     sha = rows[0].sha if len(rows) == 1 else hashlib.sha256("\n".join(f"{r.name} {r.sha}" for r in rows).encode()).hexdigest()
     return {"size_bytes": sum(r.length for r in rows), "sha256": sha}
 
 
+def baseline_traces(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(subjects that have a trace, long traces) of a baseline run's output: its Parquet table, or a CSV file a subject."""
+    if exists(spark, f"{folder}/traces.parquet", folder=True):
+        long = spark.read.parquet(f"{folder}/traces.parquet")
+        return long.select("subject").distinct(), long
+    named = trace_files(spark, f"{folder}/traces")
+    if named.isEmpty():
+        return named, spark.createDataFrame([], TRACE_LONG)
+    return named, trace_long(read_traces(spark, f"{folder}/traces/*.csv")).withColumn("sel_seq", F.col("frame_idx"))
+
+
 def trace_files(spark: SparkSession, folder: str) -> DataFrame:
     """(subject) of each trace file or folder <subject>.csv; only names are listed."""
     place, fs = path_of(spark, folder)

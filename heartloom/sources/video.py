@@ -11,17 +11,17 @@ library. A file is indexed by its OpenDML super index, else by its ``idx1`` chun
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as filesystems
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heartloom.sources.files import open_file
+
 #: Frames of one range: what a task reads at a time is some of them, never all.
 RANGE = 256
 #: Bytes of frames that are held at a time.
@@ -41,17 +41,6 @@ class Header(NamedTuple):
     old_index: tuple[int, int] | None
 
 
-def open_file(path: str) -> BinaryIO:
-    path = re.sub(r"^file:/+", "/", path)
-    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", path):
-        source, path = filesystems.FileSystem.from_uri(path)
-    else:
-        source = filesystems.LocalFileSystem()
-    if source.get_file_info(path).type != filesystems.FileType.File:
-        raise FileNotFoundError(f"video file not found: {path}")
-    return source.open_input_file(path)
-
-
 def _read(f: BinaryIO, at: int, n: int) -> bytes:
     f.seek(at)
     return f.read(n)

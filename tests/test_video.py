@@ -1,5 +1,6 @@
 """From uncompressed AVI files to traces: scan, landmark stage, region masks."""
 
+import hashlib
 import math
 import struct
 import sys
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from heartloom.functions import regions, runs
 from heartloom.functions.runs import Size
+from heartloom.missing import ContractError
 from heartloom.operators import faces, landmarks
-from heartloom.sources import video
+from heartloom.plans import jobs
+from heartloom.sources import provenance, sinks, tables, video
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # tasks don't know this module
 
@@ -351,3 +354,71 @@ def test_scan_is_dealt_and_kept_in_order(spark, tmp_path):
     assert video.spread_out(found, 4).select(F.spark_partition_id()).distinct().count() > 1
     (one,) = video.in_order(found, 4).groupBy(F.spark_partition_id().alias("p")).agg(F.collect_list("first_frame").alias("x")).collect()
     assert one.x == list(range(0, 40, 2))
+
+
+def dataset(folder, subjects=("subject1",), frames=300, bpm=72.0):
+    """Folders of recordings: a face whose colour beats, and contact samples of the same pulse."""
+    t = np.arange(frames) / 30
+    beat = np.sin(2 * math.pi * bpm / 60 * t)
+    for s in subjects:
+        (folder / s).mkdir(parents=True)
+        noise = np.random.default_rng(1).integers(-4, 5, (100, 100, 3))  # so that means are finer than one level
+        shown = [np.clip(np.array((180, 140, 120)) * (1 + np.array((0.003, 0.010, 0.005)) * b * 3) + noise, 0, 255).round().astype(np.uint8) for b in beat]
+        (folder / s / "vid.avi").write_bytes(avi(shown, fps=30, index="super"))
+        lines = (beat, np.full(frames, bpm), t)
+        (folder / s / "ground_truth.txt").write_text("\n".join(" ".join(repr(float(v)) for v in line) for line in lines))
+
+
+def test_folder_to_manifest_with_nothing_by_hand(spark, tmp_path):
+    dataset(tmp_path / "data")
+    (tmp_path / "model").write_bytes(b"model")
+    got = jobs.baseline_from_folders(spark, str(tmp_path / "data"), Scripted, str(tmp_path / "base"))
+    assert got == {"subjects": 1, "reference_windows": 1, "candidates": 6}
+    done = jobs.formal_run_from_folders(spark, str(tmp_path / "data"), str(tmp_path / "model"), str(tmp_path / "base"), None, str(tmp_path / "out"), 1, 1, Scripted)
+    assert done["status"] == "completed" and done["summary"]["candidate_count"] == 30 and done["summary"]["condition_audit_count"] == 15 and done["summary"]["candidate_status_counts"] == {"ok": 30}
+    found = spark.read.parquet(f"{tmp_path}/out/degradation_candidates.parquet")
+    assert found.filter("condition = 'original' and absolute_error_bpm < 1").count() == 6
+    audit = {(r.condition, r.roi): r for r in spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/out/condition_audit.csv").collect()}
+    assert audit["fps10", "forehead"].retained_frame_count == 100 and audit["roi_shift_3", "forehead"].max_roi_shift_fraction == pytest.approx(0.03, abs=1e-3)
+    assert 0 < audit["roi_shift_5", "cheeks_mean"].min_roi_retention_ratio < 1 and audit["original", "forehead"].mean_roi_retention_ratio == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["base", "data", "model", "out"]  # no staging is left
+    with pytest.raises(ContractError, match="no .such. subjects"):
+        jobs.baseline_from_folders(spark, str(tmp_path / "data"), Scripted, str(tmp_path / "none"), ["subject9"])
+
+
+def test_a_failed_second_write_publishes_no_table(spark, tmp_path, monkeypatch):
+    dataset(tmp_path / "data")
+    (tmp_path / "model").write_bytes(b"model")
+    jobs.baseline_from_folders(spark, str(tmp_path / "data"), Scripted, str(tmp_path / "base"))
+
+    def broken(df, path):
+        raise OSError("disk full")
+
+    monkeypatch.setattr(jobs.sinks, "write_csv", broken)
+    with pytest.raises(OSError, match="disk full"):
+        jobs.formal_run_from_folders(spark, str(tmp_path / "data"), str(tmp_path / "model"), str(tmp_path / "base"), None, str(tmp_path / "out"), 1, 1, Scripted)
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")] == ["run_manifest.json"] and not list(tmp_path.glob("*.staging"))
+    said = sinks.read_json(spark, f"{tmp_path}/out/run_manifest.json")
+    assert said["status"] == "failed" and said["output_files"] == {} and "disk full" in said["error"]["message"]
+
+
+def test_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name, data in (("a/x", b"x" * 20_000_001), ("a/b/y", b""), ("a/z z", b"z")):
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in tables.file_sha256(spark, f"{tmp_path}/a").collect()}
+    assert {k.replace("%20", " "): v for k, v in got.items()} == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in (("x", b"x" * 20_000_001), ("y", b""), ("z z", b"z"))}
+
+
+def test_revision_is_read_from_the_repository(tmp_path):
+    assert provenance.revision(tmp_path) == {"branch": None, "commit": None}
+    git = tmp_path / ".git"
+    (git / "refs" / "heads").mkdir(parents=True)
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "packed-refs").write_text("# pack-refs\nabc refs/heads/main\n")
+    (tmp_path / "src").mkdir()
+    assert provenance.revision(tmp_path / "src") == {"branch": "main", "commit": "abc"}
+    (git / "refs" / "heads" / "main").write_text("def\n")
+    assert provenance.revision(tmp_path) == {"branch": "main", "commit": "def"}
+    (git / "HEAD").write_text("123\n")
+    assert provenance.revision(tmp_path) == {"branch": "HEAD", "commit": "123"}

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,3 +88,39 @@ def test_quality_gates(spark):
     assert {k: r.window_status for k, r in got.items()} == {"a": "ok", "b": "long_missing_gap", "c": "low_valid_fraction"}
     assert got["c"].max_missing_gap_sec == 10.0 and got["a"].n_frames == 300
     assert got["b"].max_missing_gap_sec == pytest.approx(1.0 + 1 / 30)
+
+
+def test_random_picks_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for c in range(200):
+        times = [rng.choice([round(rng.uniform(0, 3), 2), rng.randint(0, 12) / 4]) for _ in range(rng.randint(0, 30))]
+        rows.append((c, sorted(times) if c % 2 else times, float(rng.randint(1, 3)), float(rng.choice([1, 2, 4, 5, 10]))))
+    df = spark.createDataFrame(rows, "c int, t array<double>, e double, f double")
+    got = {r.c: r.x for r in df.select("c", degrade.pick_frames(F.col("t"), F.lit(0.0), F.col("e"), F.col("f")).alias("x")).collect()}
+    assert got == {c: greedy(t, 0.0, e, f) for c, t, e, f in rows}
+
+
+def test_carries_cross_stretches(spark):
+    rng = random.Random(4)
+    rows = [(s, i, rng.random() if rng.random() < 0.2 and not 30 <= i < 75 else None) for s in "ab" for i in range(100)] + [("c", i, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "s string, i long, v double")
+    for ahead in (False, True):
+        got = {(r.s, r.i): r.w for r in windows.carried(df, ["s"], "i", 7, F.col("v"), "w", ahead).collect()}
+        assert len(got) == len(rows)
+        for s in "abc":
+            last = None
+            for _, i, v in sorted((r for r in rows if r[0] == s), key=lambda r: -r[1] if ahead else r[1]):
+                assert got[s, i] == last
+                last = last if v is None else v
+    filled = {span: sorted((r.s, r.i, r.filled) for r in windows.fill_linear(df.withColumn("g", F.col("v").isNotNull()), ["s"], "i", "v", "g", span).collect()) for span in (3.0, 1000.0)}
+    assert filled[3.0] == filled[1000.0] and all(f is None for s, _, f in filled[3.0] if s == "c") and all(f is not None for s, _, f in filled[3.0] if s != "c")
+
+
+def test_a_window_join_is_one_join(spark):
+    w = spark.createDataFrame([("s", k, 10.0 * k, 10.0 * k + 10) for k in range(4)], "subject string, window_id long, start_time_sec double, end_time_sec double")
+    r = spark.range(25).select(F.lit("s").alias("subject"), (F.col("id") * 0.5 + 3).alias("time_sec"))
+    joined = windows.window_rows(w, r, ["subject"])
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert {x.window_id: x.n for x in joined.groupBy("window_id").agg(F.count("time_sec").alias("n")).collect()} == {0: 14, 1: 11, 2: 0, 3: 0}
+    assert sorted((x.window_id, x.n) for x in windows.in_windows(w, r, ["subject"]).groupBy("window_id").agg(F.count("*").alias("n")).collect()) == [(0, 14), (1, 11), (2, 1), (3, 1)]
