@@ -1,8 +1,10 @@
 """Main text of web pages by shallow text features.
 
-A page is cut into flat text blocks. Each block has its own and its neighbours' word counts and link densities and the
-kind of place it stands in (main, boilerplate by element or name, or neither); a decision tree, grown on a small
-labelled table of pages, tells content from boilerplate.
+A page is cut into flat text blocks. Each block has its own and its neighbours' word counts and link densities, and what
+markup says of its place: main text, surely boilerplate (by element, or by names made of known words only), doubtful
+(names that hold a word of boilerplate among others), or nothing. A decision tree, grown on a small labelled table of
+pages, tells content from boilerplate. Places in the table mislead: links to other pages stand inside articles and texts
+inside elements with doubtful names, so words and links, the neighbours' included, overrule the place there.
 """
 
 from __future__ import annotations
@@ -35,15 +37,30 @@ BOILER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button"
 #: Boilerplate in which an article is a teaser.
 ASIDE = BOILER - {"form"}
 #: Elements whose names tell what they hold.
-NAMED = {"div", "section", "aside", "nav", "header", "footer", "ul", "ol", "dl", "form", "table", "details", "fieldset", "p"}
-_BAD_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
-#: Inside a main element or article only names that are one of these, or one and a general word, are boilerplate.
-_BAD_INSIDE = re.compile(
-    r"(?:^|\s)(?:(?:post|entry|article|page|site|user|reader)[_-])?(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|masthead|menu|modal|nav|navigation|newsletter|notice|pagination|popup|promo\w*|related|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
-    r"(?:[_-](?:area|bar|block|box|buttons?|container|form|icons?|inner|items?|links?|list|media|articles|pages|posts|section|signup|slot|stories|thread|unit|wrap|wrapper))*(?:$|\s)", re.I,
-)
+NAMED = {"article", "div", "section", "aside", "nav", "header", "footer", "figure", "ul", "ol", "li", "dl", "form", "table", "td", "details", "fieldset", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Words in names of what readers and advertisers add; an article among them is not the page's own.
+READERS = {
+    "ad", "ads", "adslot", "adsense", "advert", "adverts", "advertise", "advertisement", "advertisements", "advertising", "advertorial", "comment", "comments", "commentlist", "disqus", "recommendation", "recommendations",
+    "recommended", "related", "replies", "reply", "respond", "sponsor", "sponsored", "sponsors", "teaser", "teasers",
+}
+#: Words in names of what serves the page.
+SERVICE = {
+    "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "disclaimer", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination",
+    "popup", "promo", "promos", "promotion", "share", "sharing", "sidebar", "signup", "social", "subscribe", "subscription", "toolbar", "widget", "widgets",
+}
+#: Words that say nothing of what an element holds.
+GENERIC = {
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "entry", "fixed", "form", "icon", "icons", "id", "inline", "inner", "item",
+    "items", "large", "left", "link", "links", "list", "media", "mobile", "outer", "page", "pages", "panel", "post", "posts", "reader", "right", "row", "section", "site", "slot", "small", "sticky", "stories", "the", "this",
+    "thread", "top", "unit", "user", "wrap", "wrapper",
+}
+#: Places of a block: surely boilerplate, boilerplate if its names can be trusted, nothing known, in the main text.
+BAD, DOUBTFUL, UNKNOWN, MAIN = -2, -1, 0, 1
+_TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Names that say what a page has or lacks, not what the element is.
-_MODIFIER = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no)[_-][^\s]*", re.I)
+_MODIFIER = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no)[_-][^\s]*|[^\s]*[_-](?:enabled|disabled|open|closed)(?=\s|$))", re.I)
+#: Sections of an article that are named like lists of links.
+_OWN_SECTION = re.compile(r"(?:^|\s)related[_-]?(?:work|works|research|literature|studies)(?:$|\s)", re.I)
 _GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|main|post|story)(?:$|[\s_-])", re.I)
 #: Names of the main text itself, which undo a boilerplate name (not an element) around them.
 _MAIN_NAME = re.compile(r"(?:^|\s)(?:(?:article|entry|post|story)[_-](?:body|content|text)|main[_-](?:content|text))(?:$|\s)", re.I)
@@ -54,11 +71,13 @@ def _sample(rng: np.random.Generator, least: int, most: int) -> str:
     return " ".join(f"word{n}" for n in rng.integers(0, 999, rng.integers(least, most + 1)))
 
 
-def labelled_pages(n: int = 72, seed: int = 1) -> list[tuple[str, list[str]]]:
-    """The labelled table: pages of six layouts with invented words, and the texts of their content blocks.
+def labelled_pages(n: int = 200, seed: int = 1) -> list[tuple[str, list[str]]]:
+    """The labelled table: pages of ten layouts with invented words, and the texts of their content blocks.
 
-    Layouts: sectioning elements; named divs; divs without names; a layout table; a blog theme whose wrapper is named
-    after its sidebar; and one with a form around everything. Nameless pages have a title that counts as a header.
+    Layouts 0 to 5 are regular: sectioning elements; named divs; divs without names; a layout table; a blog theme whose
+    wrapper is named after its sidebar; and one with a form around everything. In 6 to 9 places mislead: lists of links
+    without names stand inside the article, headings are links, sections of the text have names of boilerplate, and
+    whole pages, menus included, stand in wrappers with such names. Nameless pages have a title that counts as a header.
     """
     rng, out = np.random.default_rng(seed), []
     for k in range(n):
@@ -72,21 +91,39 @@ def labelled_pages(n: int = 72, seed: int = 1) -> list[tuple[str, list[str]]]:
             kind = rng.random() if 0 < i else 1.0
             body.append(f"<p>{words(2, 8)}</p>" if kind < 0.2 else f"<h2>{words(1, 6)}</h2>" if kind < 0.4 else f"<p>{words(14, 40)} {link(1, 4)} {words(5, 60)}</p>" if kind < 0.6 else f"<p>{words(20, 120)}</p>")
         body.append(f"<p>{words(25, 90)}</p>")
+        if k % 10 in (0, 1, 4, 5, 6) and rng.random() < 0.4:  # a short last line, which only its place tells from a caption
+            body.append(f"<p>{words(2, 8)}</p>")
         notes = "".join(f"<p>{words(4, 60)}</p>" for _ in range(rng.integers(1, 5)))
         text, main = "".join(body), f"<h1>{title}</h1>" + "".join(body)
-        layout = k % 6
+        loose = "".join(f"<div>{link(2, 9)}</div>" for _ in range(rng.integers(3, 7)))
+        prose = "".join(f"<p>{words(16, 90)}</p>" for _ in range(rng.integers(2, 5)))
+        some = lambda x: x if rng.random() < 0.7 else ""  # noqa: E731  (pages may begin and end with their text)
+        odd = str(rng.choice(["social-impact", "menu-planning", "banner-year", "widget-makers", "cookie-recipes", "sharing-economy", "newsletter-history"]))
+        layout = k % 10
         if layout == 0:
-            page = f"<header><h1>{words(1, 3)}</h1></header><nav><ul>{nav}</ul></nav><main><article>{main}</article></main><aside>{notes}{teasers}</aside><footer>{foot}</footer>"
+            page = some(f"<header><h1>{words(1, 3)}</h1></header>") + some(f"<nav><ul>{nav}</ul></nav>") + f"<main><article>{main}</article></main>" + some(f"<aside>{notes}{teasers}</aside>") + some(f"<footer>{foot}</footer>")
         elif layout == 1:
-            page = f'<div class="site-header">{words(1, 4)}</div><ul class="menu">{nav}</ul><div id="content" class="post">{main}</div><div class="comments">{notes}</div><div class="sidebar">{teasers}</div><div id="footer">{foot}</div>'
+            page = f'<div class="site-header">{words(1, 4)}</div><ul class="menu">{nav}</ul><div id="content" class="post">{main}</div>' + some(f'<div class="comments">{notes}</div><div class="sidebar">{teasers}</div>') + some(f'<div id="footer">{foot}</div>')
         elif layout == 2:
             page = f"<div>{nav}</div><h1>{title}</h1><div>{text}</div><div>{teasers}</div><div>{link(1, 3)} {link(1, 3)}</div>"
         elif layout == 3:
             page = f"<table><tr><td>{nav}</td><td>{text}</td></tr><tr><td>{link(1, 4)}</td></tr></table>"
         elif layout == 4:
-            page = f'<body class="single right-sidebar"><div id="page" class="has-sidebar"><ul>{nav}</ul><article><header class="entry-header"><h1>{title}</h1></header>{text}</article><div class="comment-list">{notes}</div></div></body>'
-        else:
-            page = f"<form action=/x><div class=navbar>{nav}</div><main>{main}</main></form><div class='cookie-notice'>{words(8, 40)}</div><footer>{foot}</footer>"
+            page = f'<body class="single right-sidebar"><div id="page" class="has-sidebar"><ul>{nav}</ul><article><header class="entry-header"><h1>{title}</h1></header>{text}</article>' + some(f'<div class="comment-list">{notes}</div>') + "</div></body>"
+        elif layout == 5:
+            page = f"<form action=/x><div class=navbar>{nav}</div><main>{main}</main></form>" + some(f"<div class='cookie-notice'>{words(8, 40)}</div>") + some(f"<footer>{foot}</footer>")
+        elif layout == 6:  # links of other pages inside the article, without a name
+            page = some(f"<nav>{nav}</nav>") + f"<article>{main}<div>{loose}</div></article>" + some(f"<footer>{foot}</footer>")
+        elif layout == 7:  # headings that are links, each before its text; shares among the paragraphs
+            main = "".join(f'<h2><a href="/{i}">{words(2, 9)}</a></h2><p>{words(18, 90)}</p>' for i in range(rng.integers(2, 5)))
+            page = some(f"<nav>{nav}</nav>") + f"<main>{main}" + some(f"<div><div>{link(1, 2)}</div><div>{link(1, 2)}</div><div>{link(1, 2)}</div></div>") + "</main>"
+        elif layout == 8:  # a section of the text with a name of boilerplate, and one of links with a name alike
+            links = f'<div class="{odd}-x">{loose}</div>' if rng.random() < 0.5 else ""
+            page = f'<nav>{nav}</nav><article>{main}<section class="{odd}">{prose}</section>{links}</article>' + some(f'<div class="{odd}-more"><p>{words(2, 7)}</p>{teasers}<p>{words(2, 7)}</p></div>')
+            main += prose
+        else:  # the whole page in a wrapper with a name of boilerplate
+            page = f'<div class="{odd}-theme"><ul>{nav}</ul>{prose}' + some(f"<div>{teasers}</div>") + "</div>"
+            main = prose
         kept = text if layout in (2, 3) else main
         out.append((page, [_SPACE.sub(" ", re.sub(r"<[^>]*>", "", x)).strip() for x in re.findall(r"<(?:p|h1|h2)>(.*?)</(?:p|h1|h2)>", kept)]))
     return out
@@ -113,25 +150,47 @@ class Block:
         return self.linked / self.words if self.words else 0.0
 
 
-def _place(tag: str, attributes: str, place: int, named: bool, aside: int) -> tuple[int, bool]:
-    """The place of an element's content, and whether a name (not an element) made it boilerplate."""
+@lru_cache(8192)
+def _told(names: str) -> tuple[bool, bool, bool]:
+    """What names say: whether readers' or advertisers', whether surely of service, whether perhaps. Names of headers and
+    footers are left to ``_place``, which knows what they head."""
+    reader = sure = doubtful = False
+    for word in _OWN_SECTION.sub(" ", _MODIFIER.sub("", names)).split():
+        tokens = {t.lower() for t in _TOKENS.findall(word)}
+        reader |= bool(tokens & READERS)
+        if tokens & SERVICE:
+            known = tokens <= SERVICE | GENERIC | READERS
+            sure, doubtful = sure or known, doubtful or not known
+    return reader, sure, doubtful
+
+
+def _place(tag: str, attributes: str, place: int, named: bool, aside: int) -> tuple[int, bool, bool]:
+    """The place of an element's content, whether a name (not an element) made it boilerplate, and whether it is readers'.
+
+    aside counts the elements around it in which an article is a teaser or a reader's.
+    """
     root = tag == "html" or tag == "body"
     found = [(k.lower(), a or b or c) for k, a, b, c in _NAMES.findall(attributes)] if attributes else []
-    names = _MODIFIER.sub("", " ".join(v for _, v in found))
-    inside = place == 1
-    bad = bool(names and tag in NAMED and not (inside and tag == "header") and (_BAD_INSIDE if inside else _BAD_NAME).search(names))
-    if tag in BOILER and not (tag == "header" and inside):
-        return -1, False
-    if tag == "main" or tag == "article" and not aside:  # whatever names and forms are around it
-        return 1, False
-    if place == -1:
-        main = named and tag in NAMED and (_MAIN_NAME.search(names) or any(k == "id" and _MAIN_ID.match(v.strip()) for k, v in found))
-        return (1, False) if main else (place, named)
-    if bad and not (_MAIN_NAME.search(names) or any(k == "id" and _MAIN_ID.match(v.strip()) for k, v in found)):
-        return -1, True
-    if names and tag in NAMED and _GOOD_NAME.search(names):
-        return 1, False
-    return (0, False) if root else (place, named)
+    names = " ".join(v for _, v in found)
+    inside = place == MAIN
+    reader, sure, doubtful = _told(names) if names and tag in NAMED else (False, False, False)
+    if inside and (sure or doubtful):  # an article's own head and foot
+        rest = re.sub(r"(?i)(?:^|(?<=[\s_-]))(?:header|footer)(?=[\s_-]|$)", "", names)
+        reader, sure, doubtful = _told(rest)
+    if tag in BOILER and not (tag == "header" and inside and not reader and not sure):
+        return BAD, False, reader
+    if tag == "main" or tag == "article" and not aside and not reader:  # whatever other names and forms are around it
+        return MAIN, False, False
+    own = tag in NAMED and not reader and bool(_MAIN_NAME.search(names) or any(k == "id" and _MAIN_ID.match(v.strip()) for k, v in found))
+    if place == BAD:
+        return (MAIN, False, False) if named and own and not aside else (place, named, reader)
+    if (reader or sure) and not own:
+        return BAD, True, reader
+    if names and tag in NAMED and not reader and _GOOD_NAME.search(_MODIFIER.sub("", names)) and not doubtful:
+        return MAIN, False, False
+    if doubtful and not own:
+        return DOUBTFUL, True, False
+    return (UNKNOWN, False, False) if root else (MAIN, False, False) if own else (place, named, False)
 
 
 def blocks(page: str) -> list[Block]:
@@ -142,7 +201,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, bool, bool]] = []
     opened: Counter[str] = Counter()
     endless: set[str] = set()
     place, named, aside, link_at, at, n = 0, False, 0, -1, 0, len(page)
@@ -157,9 +216,9 @@ def blocks(page: str) -> list[Block]:
 
     def pop() -> str:
         nonlocal place, named, aside
-        name, place, named = stack.pop()
+        name, place, named, counted = stack.pop()
         opened[name] -= 1
-        aside -= name in ASIDE
+        aside -= counted
         return name
 
     while at < n:
@@ -206,11 +265,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if stack and (stack[-1][0] == "p" or tag == "li" and stack[-1][0] == "li"):  # a paragraph ends where a block begins
             pop()
-        stack.append((tag, place, named))
+        before = (tag, place, named)
+        place, named, reader = _place(tag, found[2] or "", place, named, aside)
+        counted = reader or tag in ASIDE
+        stack.append((*before, counted))
         opened[tag] += 1
-        inner = aside
-        aside += tag in ASIDE
-        place, named = _place(tag, found[2] or "", place, named, inner)
+        aside += counted
     flush()
     return out
 
