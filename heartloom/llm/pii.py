@@ -8,8 +8,9 @@ e-mail its registered domain, an IPv6 address its first digit, a person the titl
 A given name gets an ending usual for its gender: that of the titles it is seen with anywhere in the corpus (the more
 frequent one), else the one it usually has.
 
-Persons are found after a title, or by a common given name before a capitalised name. Names that stand alone without
-either are not found.
+Persons are found after a title, or by a common given name before a capitalised name. A surname of a person found so is
+also replaced where it stands alone in the same document, capitalised as a name. Names that stand alone without either
+are not found.
 
 No surrogate is shared by two entities of a type or equals a real one: all drawn surrogates are checked against each
 other and against all entities on Spark, and those that clash are drawn again. A form that stays too dense after
@@ -25,24 +26,24 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heartloom.llm.common import cut, light, small
+from heartloom.llm.common import SALT, cut, dealt, hot_keys, small, spread
 from heartloom.llm.quality_rules import let
 
 #: Titles and the gender that they tell. Fixed values.
 TITLES = {
-    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Господин", "Κύριος", "MR", "HERR"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Lady", "Госпожа", "Κυρία", "MRS", "MS", "FRAU", "MME"),
-    "n": ("Dr", "Prof", "DR", "PROF"),
+    "m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "Sir", "Господин", "Κύριος", "MR", "HERR", "monsieur", "señor", "don"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Lady", "Госпожа", "Κυρία", "MRS", "MS", "FRAU", "MME", "Mademoiselle", "madame", "mademoiselle", "señora", "señorita", "doña"),
+    "n": ("Dr", "Prof", "DR", "PROF", "Doctor", "Professor", "doctor", "professor"),
 }
 #: Common given names that are hardly other words, and their usual gender. Fixed values.
 GIVEN = {
     "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Andrew Joshua Kenneth Kevin Brian George Edward Ronald Timothy Jeffrey Jacob Nicholas Eric Jonathan Stephen Benjamin Samuel Peter Paul Hans Klaus Jürgen Wolfgang Stefan Andreas Jean Pierre Jacques François Antoine Olivier Laurent José Juan Carlos Luis Javier Miguel Pedro Pablo Diego Fernando Giovanni Giuseppe Marco Ivan Sergei Dmitri Иван Сергей Дмитрий Алексей Γιώργος Γιάννης Δημήτρης Mohammed Ahmed Ali Omar".split(),
     "f": "Mary Maria Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Kimberly Emily Donna Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Cynthia Anna Anne Ursula Monika Petra Sabine Claudia Katrin Marie Sophie Camille Isabelle Nathalie Carmen Ana Lucía Elena Isabel Teresa Giulia Francesca Chiara Olga Natalia Svetlana Анна Мария Ольга Елена Μαρία Ελένη Κατερίνα Fatima Aisha".split(),
 }
-_TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _LETTER = r"\p{L}\p{M}"
 #: A capitalised word of a name: John, JOHN, McDonald, Jean-Luc, O'Neil, J.
-_WORD = rf"\p{{Lu}}[{_LETTER}]*+(?:-[{_LETTER}]++|['’]\p{{Lu}}[{_LETTER}]*+){{0,9}}+"
+_WORD = rf"\p{{Lu}}[{_LETTER}]*+(?:-[{_LETTER}]++|['’]\p{{Lu}}[{_LETTER}]*+)*+"
 _GAP = rf"(?:(?<=(?<![{_LETTER}])\p{{Lu}})\.)?[ \x{{A0}}]{{1,2}}"
 #: Particles that stand between the words of a name. Fixed values.
 _PARTICLE = r"(?:(?:de|del|della|di|da|dos|das|du|des|la|le|los|van|von|vom|der|den|ter|ten|zu|zum|zur|bin|ibn|al|el|af|av)[ \x{A0}]|[dl]['’])"
@@ -63,25 +64,32 @@ _L = r"A-Za-z0-9\x{C0}-\x{1FFF}\x{2C00}-\x{D7FF}"  # letters and digits of addre
 _HEAD = rf"(?<![{_L}])"
 _V4 = r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?!\.?\d)"
 _V6 = r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]{0,39}+\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f]{1,4}:){0,7}:)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:])"
+#: Beginnings that only keys have, and the words before an unquoted secret. Fixed values.
+_MARKED = r"(?:gh[pousr]_[A-Za-z0-9]{20,}+|AKIA[0-9A-Z]{16}(?![0-9A-Z])|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)"
+_BARE = r"(?<=[=:]|[=:] )(?<=(?<![A-Za-z])(?i:token|secret|password|passwd|pwd|api_key|apikey|api-key)\s?[=:]\s?)(?=[^\s\"',;<>]*?\d)[^\s\"',;<>]{6,}+(?<![.)\]])"
 _QUOTED = r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api_key|apikey|key)\s{0,3}[=:]\s{0,3}[\"'])[^\"'\s]{6,}+(?=[\"'])"
 _HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![0-9A-Za-z])"
 #: Types in the order in which they are tried. All parts are linear for the texts they meet: open-ended ones are possessive
 #: and begin only where a run begins.
 PATTERNS = {
     "email": rf"(?<=(?<![{_L}._%+'-])[._%+'-]{{0,32}})[{_L}][{_L}._%+'-]*+@[{_L}-]{{1,63}}+(?:\.[{_L}-]{{1,63}}){{0,126}}\.(?:[A-Za-z]{{2,24}}|xn--[a-z0-9-]{{2,59}}|[\x{{C0}}-\x{{1FFF}}\x{{2C00}}-\x{{D7FF}}]{{2,24}})",
-    "secret": rf"{_QUOTED}|{_HEX}",
+    "secret": rf"{_QUOTED}|{_HEX}|{_BARE}|(?<![A-Za-z0-9_]){_MARKED}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"{_V4}|{_V6}",
-    "card": r"(?<!\d)\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\d)",
+    "card": r"(?<!\d)(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3[47]\d{2}[ -]\d{6}[ -]\d{5})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-    r"|(?<![\d.,:/+-])(?<!\d )(?=(?:[ ()/-]{0,2}\d){9,13}(?![ /-]?\d))(?:\(0[1-9]\d{0,4}\)|0[1-9]\d{0,4})(?:[ /-]{1,2}\d{2,8}){1,4}(?!\d)",
-    "person": rf"(?<![{_LETTER}])(?:(?:{_TITLE})\.?\s{{1,2}}{_PARTICLE}{{0,3}}+{_WORD}{_MORE}{{0,2}}+|{_COMMON}{_MORE}{{1,2}}+)",
+    r"|(?<![\d.,:/+-])(?<!\d )(?=(?:[ ()/-]{0,2}\d){9,13}(?![ /-]?\d))(?:\(0[1-9]\d{0,4}\)|0[1-9]\d{0,4})(?:[ /-]{1,2}\d{2,8}){1,4}(?!\d)"
+    r"|(?<![\d.,:/+-])(?<!\d )00[1-9]\d{0,2}(?:[ -]\d{2,5}){2,4}(?![ -]?\d)",
+    # open-ended and possessive: a name is as long as its capitalised words; only a common given name goes over a line end
+    "person": rf"(?<![{_LETTER}])(?:(?:{_TITLE})\.?\s{{1,2}}{_PARTICLE}{{0,3}}+(?:{_COMMON}[ \x{{A0}}]?\n[ \x{{A0}}]?)?+{_WORD}{_MORE}*+|{_COMMON}{_MORE}++)",
 }
 # At most places a look at one or two characters rules all types out.
 _DIGITS = rf"(?=[0-9+(])(?:{_V4}|{PATTERNS['card']}|{PATTERNS['ssn']}|{PATTERNS['phone']})"
-_OTHERS = rf"{_QUOTED}|(?=[0-9A-Fa-f])(?:{_HEX})|(?=[A-Z]{{2}}\d)(?:{PATTERNS['iban']})|{_V6}|{_DIGITS}|(?=\p{{Lu}})(?:{PATTERNS['person']})"
+_OTHERS = rf"{_QUOTED}|{_BARE}|(?=[AEeGgSsXx])(?<![A-Za-z0-9_]){_MARKED}|(?=[0-9A-Fa-f])(?:{_HEX})|(?=[A-Z]{{2}}\d)(?:{PATTERNS['iban']})|{_V6}|{_DIGITS}|(?=[\p{{Lu}}dmps])(?:{PATTERNS['person']})"
 ANY = rf"{_HEAD}(?:{PATTERNS['email']})|{_OTHERS}"
+#: A run of letters, as a surname may stand alone, or what lies between two.
+_RUN = rf"[{_LETTER}]++(?:-[{_LETTER}]++|['’](?=\p{{Lu}})[{_LETTER}]++)*+|[^{_LETTER}]++"
 
 #: Alphabets by script; a letter of one becomes another of it, other letters become Latin ones.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ")
@@ -274,16 +282,18 @@ def _spread(new: Column, form: Column) -> Column:
     return let(_chars(form), of)
 
 
+def _as_name(s: Column, w: Column) -> Column:
+    """A surrogate word in the case of the word it replaces: all capitals, or each part's first."""
+    segments = F.transform(F.split(s, "(?<=[-'’])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x))))
+    return F.when((F.length(w) > 1) & (w == F.upper(w)) | (F.length(w) == 1), F.upper(s)).otherwise(F.array_join(segments, ""))
+
+
 def _written(entity: Column, type_: Column, new: Column) -> Column:
     """The text that takes an entity's place, of the canonical surrogates of its parts in order."""
     rest = _bare_name(entity)
 
-    def cased(s: Column, w: Column) -> Column:
-        segments = F.transform(F.split(s, "(?<=[-'’])"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x))))
-        return F.when((F.length(w) > 1) & (w == F.upper(w)) | (F.length(w) == 1), F.upper(s)).otherwise(F.array_join(segments, ""))
-
     def person() -> Column:
-        words = F.zip_with(new, F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), cased)
+        words = F.zip_with(new, F.regexp_extract_all(rest, F.lit(_WORD), F.lit(0)), _as_name)
         title = F.substring(entity, F.lit(1), F.length(entity) - F.length(rest))
         return F.concat(title, F.array_join(F.zip_with(F.split(rest, _WORD, -1), words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), ""))
 
@@ -346,14 +356,37 @@ def _rewrite(docs: DataFrame, key: str) -> DataFrame:
     new = draws(votes.select("type", "canon", F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n").alias("gender")), key)
     subs = each.join(new.select("type", "canon", "s"), ["type", "canon"]).groupBy("e", "kind").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("ps"))
     subs = cut(subs.select("e", "kind", _written(F.col("e"), F.col("kind"), F.col("ps.s")).alias("new")))
-    maps = found.join(light(subs, F.length("e") + F.length("new") + 48), "e").groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("e", F.struct("new", "kind")))).alias("map"))
+    counts = cut(found.groupBy("e").agg(F.count("*").alias("n")))
+    hot = hot_keys(counts, "e", counts.agg(F.sum("n")).first()[0] or 0)
+    # surnames that may stand alone: of each entity the last word that is one, as a name is written, and its surrogate
+    last = each.filter("type = 'surname' and length(canon) > 1").join(new.select("type", "canon", "s"), ["type", "canon"]).groupBy("e").agg(F.max_by(F.struct("canon", "s"), "i").alias("p"))
+    subs = cut(subs.join(last, "e", "left"))
+    met = dealt(found, hot, "e", "k").join(spread(subs, hot, "e"), ["e", SALT])
+    maps = met.groupBy("k").agg(F.map_from_entries(F.collect_set(F.struct("e", F.struct("new", "kind")))).alias("map"), F.array_distinct(F.collect_set("p")).alias("last"))
+    maps = maps.withColumn("last", F.map_from_entries(F.array_distinct(F.transform("last", lambda p: F.struct(p["canon"], p["s"])))))
+
+    def alone(gap: Column) -> Column:
+        """A gap's text with the known surnames in it replaced, and their number."""
+
+        def of(words: Column) -> Column:
+            known = lambda w: F.coalesce(F.map_contains_key(F.col("last"), F.lower(w)) & (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))), F.lit(False))
+            return F.struct(F.array_join(F.transform(words, lambda w: F.when(known(w), _as_name(F.element_at(F.col("last"), F.lower(w)), w)).otherwise(w)), "").alias("text"), F.size(F.filter(words, known)).alias("n"))
+
+        return let(F.regexp_extract_all(gap, F.lit(_RUN), F.lit(0)), of)
 
     def rebuilt(es: Column) -> Column:
-        subs = F.transform(es, lambda e: F.element_at(F.col("map"), e))
-        whole = F.array_join(F.zip_with(F.split(F.col("text"), ANY, -1), subs["new"], lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
-        return F.struct(whole.alias("text"), F.size(es).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(subs["kind"])), ",").alias("types"))
+        gaps = F.split(F.col("text"), ANY, -1)
+        some = F.when(F.cardinality("last") > 0, F.transform(gaps, alone)).otherwise(F.transform(gaps, lambda g: F.struct(g.alias("text"), F.lit(0).alias("n"))))
+
+        def of(gs: Column) -> Column:
+            subs = F.transform(es, lambda e: F.element_at(F.col("map"), e))
+            whole = F.array_join(F.zip_with(gs["text"], subs["new"], lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
+            more = F.aggregate(gs["n"], F.lit(0), lambda s, x: s + x)
+            return F.struct(whole.alias("text"), (F.size(es) + more).cast("long").alias("n"), F.array_join(F.array_sort(F.array_distinct(subs["kind"])), ",").alias("types"))
+
+        return let(some, of)
 
-    done = held.join(maps.hint("shuffle_hash"), "k", "left")
+    done = held.join(maps, "k", "left")
     return done.select("row", "text", F.when(F.col("map").isNotNull(), let(entities(F.col("text")), rebuilt)).alias("new"))
 
 
