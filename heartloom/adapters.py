@@ -53,6 +53,8 @@ RECORDING = """
 SELECT 'subject' || CAST(e.rec + 1 AS STRING) AS subject, e.i AS frame_idx, CAST(e.i AS DOUBLE) / 30e0 AS time_sec, e.bpm AS bpm, e.noise AS noise
 FROM (SELECT CAST(floor(event_id / 900e0) AS BIGINT) AS rec, event_id % 900 AS i, CAST(60 + 4 * (CAST(floor(event_id / 900e0) AS BIGINT) % 15) AS DOUBLE) AS bpm, (value - floor(value)) / 1e4 AS noise FROM events) e
 """
+#: The same with rates that are no whole numbers of beats, and ten times the noise.
+OFF_GRID = RECORDING.replace("CAST(60 + 4 * (CAST(floor(event_id / 900e0) AS BIGINT) % 15) AS DOUBLE)", "61.3e0 + 3.7e0 * (CAST(floor(event_id / 900e0) AS BIGINT) % 13)").replace("/ 1e4 AS noise", "/ 1e3 AS noise")
 SPARK_MICROS, DUCK_MICROS = "unix_micros(CAST(ts AS TIMESTAMP))", "epoch_us(ts)"
 
 
@@ -70,22 +72,27 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, FEATURES, _views(spark, sf_dir, "orders", "lineitem"))
 
 
-def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, RECORDING, _views(spark, sf_dir, "events"))
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates without the quality features, which need the orders alone."""
+    return _sql(spark, CANDIDATES, _views(spark, sf_dir, "orders")).withColumn("rppg_hr_bpm", F.col("reference_hr_bpm") + F.col("signed_error_bpm"))
 
 
-def contact_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def recordings(spark: SparkSession, sf_dir: str, text: str = RECORDING) -> DataFrame:
+    return _sql(spark, text, _views(spark, sf_dir, "events"))
+
+
+def contact_samples(spark: SparkSession, sf_dir: str, text: str = RECORDING) -> DataFrame:
     """Contact samples of the recordings; the sensor's values wrap round above 127."""
-    held = recordings(spark, sf_dir)
+    held = recordings(spark, sf_dir, text)
     ppg = F.sin(2 * math.pi / 60 * F.col("bpm") * F.col("time_sec")) + F.col("noise")
     return held.select("subject", F.col("frame_idx").alias("i"), "time_sec", ppg.alias("ppg"), F.col("bpm").alias("sensor_hr"))
 
 
-def colour_traces(spark: SparkSession, sf_dir: str, shift: float = 0.0) -> DataFrame:
+def colour_traces(spark: SparkSession, sf_dir: str, shift: float = 0.0, text: str = RECORDING) -> DataFrame:
     """Long traces of the recordings' three regions; the region drifts by that share of the face's width."""
     p, m = F.sin(2 * math.pi / 60 * F.col("bpm") * F.col("time_sec")), F.sin(2 * math.pi * 0.15 * F.col("time_sec")) * 0.004
     x, y = degrade.drift(F.col("time_sec"), F.lit(200.0), shift)
-    rows = recordings(spark, sf_dir).withColumn("roi", F.explode(F.array(*map(F.lit, ROIS))))
+    rows = recordings(spark, sf_dir, text).withColumn("roi", F.explode(F.array(*map(F.lit, ROIS))))
     return rows.withColumns({
         "landmark_valid": F.lit(True), "face_width_px": F.lit(200.0), "face_area_ratio": F.lit(0.1), "face_center_shift": F.lit(0.001), "face_area_change": F.lit(0.002), "roi_shift_fraction": F.lit(shift),
         "roi_shift_x_px": x, "roi_shift_y_px": y, **{c: k * (1 + a * p + m + F.col("noise")) for c, k, a in (("r", 180.0, 0.003), ("g", 140.0, 0.010), ("b", 120.0, 0.005))}, "n_pixels": F.lit(1000).cast("long"),

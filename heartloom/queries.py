@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heartloom import adapters
-from heartloom.adapters import DUCK_MICROS, FEATURES, RECORDING, TRACE
+from heartloom.adapters import DUCK_MICROS, FEATURES, OFF_GRID, RECORDING, TRACE
 from heartloom.operators import bootstrap, candidates, degrade, faces, ranking, reliability, validate, windows
 from heartloom.schemas import QUALITY
 
@@ -58,9 +58,10 @@ PAIRED = f"""{C}, o AS MATERIALIZED (SELECT subject, window_id, roi, method, ref
 q AS (SELECT d.condition, subject, window_id, roi, method, v, so, d.window_status AS sd, ro, d.rppg_hr_bpm AS rd, eo, d.signed_error_bpm AS ed FROM c d JOIN o USING (subject, window_id, roi, method) WHERE d.condition <> 'original')"""
 
 
-@query(PAIRED + " SELECT condition, subject, window_id, roi, method, so AS window_status_original, sd AS window_status_degraded, round(eo, 6) AS signed_error_bpm_original, round(ed, 6) AS signed_error_bpm_degraded FROM q")
+@query(f"""WITH c AS (SELECT subject, window_id, roi, method, condition, window_status AS s, round(signed_error_bpm, 6) AS e FROM ({adapters.CANDIDATES}) z), o AS (SELECT subject, window_id, roi, method, s, e FROM c WHERE condition = 'original')
+SELECT c.condition, subject, window_id, roi, method, o.s AS window_status_original, c.s AS window_status_degraded, o.e AS signed_error_bpm_original, c.e AS signed_error_bpm_degraded FROM c JOIN o USING (subject, window_id, roi, method) WHERE c.condition <> 'original'""")
 def paired_degradation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = bootstrap.pair(adapters.candidates(spark, sf_dir), check=False)
+    held = bootstrap.pair(adapters.outcomes(spark, sf_dir), check=False)
     return rounded(held.select("condition", "subject", "window_id", "roi", "method", "window_status_original", "window_status_degraded", "signed_error_bpm_original", "signed_error_bpm_degraded"))
 
 
@@ -213,7 +214,25 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(reliability.gram_matrix(_eligible(spark, sf_dir), "baseline"), 4)
 
 
-@query()
+def _ridge_sql() -> str:
+    """Out-of-fold ridge predictions by normal equations: Gram sums by fold, solved by elimination, one column a step."""
+    features = "".join(f", (coalesce({q}, {q}_md) - {q}_mn) / {q}_sc AS x{4 + i}" for i, q in enumerate(QUALITY))
+    wide = ", ".join(f"max(CASE WHEN feature = '{q}' THEN {c} END) AS {q}_{n}" for q in QUALITY for c, n in (("median", "md"), ("mean", "mn"), ("CASE WHEN sd <= 1e-12 THEN 1 ELSE sd END", "sc")))
+    width = 4 + len(QUALITY)
+    sums = ", ".join([*(f"sum(x{i} * x{j}) AS g{i}_{j}" for i in range(width) for j in range(i, width)), *(f"sum(x{i} * y) AS b{i}" for i in range(width))])
+    row = lambda i, n: "[" + ", ".join([*(f"g{min(i, j)}_{max(i, j)}" + (" + 1" if i == j and i else "") for j in range(n)), f"b{i}"]) + "]"
+    system = lambda model, n: f"SELECT '{model}' AS model, held, {n} AS n, [{', '.join(row(i, n) for i in range(n))}] AS m FROM g"
+    dot = lambda n, b: " + ".join(f"x{i} * {b}[{i + 1}][{n + 1}]" for i in range(n))
+    return f"""{PARAMS.replace("WITH c AS", "WITH RECURSIVE c AS", 1)}, w AS (SELECT held, {wide} FROM pr GROUP BY held),
+x AS MATERIALIZED (SELECT held, fold, subject, condition, window_id, roi, method, absolute_error_bpm AS y, 1::DOUBLE AS x0, (roi = 'forehead')::INT::DOUBLE AS x1, (roi = 'cheeks_mean')::INT::DOUBLE AS x2, (method = 'CHROM')::INT::DOUBLE AS x3{features} FROM f CROSS JOIN w),
+g AS (SELECT held, {sums} FROM x WHERE held <> fold GROUP BY held),
+s AS (SELECT model, held, n, 1 AS k, m FROM ({system("baseline", 4)} UNION ALL {system("quality", width)})
+  UNION ALL SELECT model, held, n, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(r, lambda v: v / r[k]) ELSE list_transform(r, lambda v, j: v - r[k] * m[k][j] / m[k][k]) END) FROM s WHERE k <= n),
+z AS (SELECT held, max(CASE WHEN model = 'baseline' THEN m END) AS u, max(CASE WHEN model = 'quality' THEN m END) AS v FROM s WHERE k = n + 1 GROUP BY held)
+SELECT subject, condition, window_id, roi, method, round({dot(4, "u")}, 6) AS baseline_predicted, round({dot(width, "v")}, 6) AS quality_predicted FROM x JOIN z USING (held) WHERE held = fold"""
+
+
+@query(_ridge_sql())
 def ridge_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = reliability.out_of_fold(_eligible(spark, sf_dir), "ridge")
     return rounded(out.select("subject", "condition", "window_id", "roi", "method", "baseline_predicted", "quality_predicted"))
@@ -310,6 +329,26 @@ def pulse_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("subject", "condition", "window_id", "roi", "method", "window_status", "n_frames", near("rppg_hr_bpm"), near("reference_hr_bpm"), (F.col("absolute_error_bpm") <= 1.0).alias("close")))
 
 
+OFF = f"WITH e AS ({OFF_GRID}), n AS (SELECT subject, max(bpm) AS bpm, max(frame_idx) + 1 AS frames FROM e GROUP BY subject), w AS (SELECT subject, bpm, unnest(range(1, (frames // 300)::BIGINT + 1)) AS window_id FROM n WHERE frames >= 3)"
+
+
+@query(f"""{OFF} SELECT subject, window_id::BIGINT AS window_id, r.roi, m.method, round(bpm, 6) AS true_bpm, true AS contact_time_within_half, true AS contact_frequency_within_half, true AS video_within_half, true AS peak_stands_out, true AS entropy_of_a_sine
+FROM w, (VALUES ('full_face_inner'), ('forehead'), ('cheeks_mean')) AS r(roi), (VALUES ('POS'), ('CHROM')) AS m(method)""")
+def off_grid_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All estimates of noisy recordings with fractional rates lie within half a beat of the recordings' own rate; the
+    spectrum's peak holds most of the band's power, and its entropy is about that of a Hann-windowed sine (0.57)."""
+    refs = candidates.reference_windows(adapters.contact_samples(spark, sf_dir, OFF_GRID)).persist()
+    frames = adapters.colour_traces(spark, sf_dir, text=OFF_GRID).withColumn("condition", F.lit("original"))
+    found = candidates.candidates(refs, frames, ["original"])
+    own = adapters.recordings(spark, sf_dir, OFF_GRID).groupBy("subject").agg(F.max("bpm").alias("true_bpm"))
+    near = lambda c: F.abs(F.col(c) - F.col("true_bpm")) <= 0.5
+    out = found.join(refs.select("subject", "window_id", "time_hr_bpm", "frequency_hr_bpm"), ["subject", "window_id"]).join(own, "subject")
+    return rounded(out.select(
+        "subject", "window_id", "roi", "method", "true_bpm", near("time_hr_bpm").alias("contact_time_within_half"), near("frequency_hr_bpm").alias("contact_frequency_within_half"), near("rppg_hr_bpm").alias("video_within_half"),
+        (F.col("spectral_peak_fraction") >= 0.85).alias("peak_stands_out"), F.col("spectral_entropy").between(0.55, 0.6).alias("entropy_of_a_sine"),
+    ))
+
+
 @query(f"""{GRID} SELECT subject, condition, window_id::BIGINT AS window_id, roi, fps AS target_fps, 300::BIGINT AS source_frame_count, frames::BIGINT AS retained_frame_count, frames::BIGINT AS auditable_frame_count, shift AS roi_shift_fraction,
 round(shift, 2) AS max_roi_shift_fraction, round(1 - shift, 6) AS mean_roi_retention_ratio, round(1 - shift, 6) AS min_roi_retention_ratio FROM g""")
 def condition_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
