@@ -56,6 +56,32 @@ NOTICES = (
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0", "mozilla public license 2 0"),
     ("this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unlicense", "unencumbered"),
     ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib", "authors liable"),
+    ("licensed under cc by nd 4 0", "cc-by-nd-4.0", "cc by nd 4 0"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa-4.0", "cc by nc sa 4 0"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd-4.0", "cc by nc nd 4 0"),
+    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa-4.0", "creative commons attribution sharealike 4 0"),
+    ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc-4.0", "creative commons attribution noncommercial 4 0"),
+    ("licensed under a creative commons attribution noderivatives 4 0 international license", "cc-by-nd-4.0", "creative commons attribution noderivatives 4 0"),
+    ("distributed under the creative commons cc0 1 0 universal public domain dedication", "cc0-1.0", "cc0 1 0 universal"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3-clause", "endorse promote"),
+    ("bsd 3 clause license", "bsd-3-clause", "bsd 3 clause"),
+    ("bsd 2 clause license", "bsd-2-clause", "bsd 2 clause"),
+    ("subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", "apache-2.0", "contributor derivative"),
+    ("you may reproduce and distribute copies of the work or derivative works thereof in any medium with or without modifications and in source or object form provided that you meet the following conditions", "apache-2.0", "thereof derivative"),
+    ("the licenses for most software are designed to take away your freedom to share and change it by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users", "gpl", "gnu guarantee freedom"),
+    ("you may copy and distribute verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice and disclaimer of warranty", "gpl-2.0", "verbatim conspicuously disclaimer"),
+    ("the gnu general public license is a free copyleft license for software and other kinds of works", "gpl-3.0", "gnu general copyleft"),
+    ("you may convey verbatim copies of the program s source code as you receive it in any medium provided that you conspicuously and appropriately publish on each copy an appropriate copyright notice", "gpl-3.0", "convey verbatim"),
+    ("this license the lesser general public license applies to some specially designated software packages typically libraries of the free software foundation and of other authors who decide to use it", "lgpl", "lesser libraries"),
+    ("this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below", "lgpl", "lesser incorporates"),
+    ("if you modify the program your modified version must prominently offer all users interacting with it remotely through a computer network an opportunity to receive the corresponding source of your version", "agpl", "remotely network"),
+    ("each contributor hereby grants you a world wide royalty free non exclusive license under intellectual property rights other than patent or trademark licensable by such contributor to use reproduce make available modify display perform distribute and otherwise exploit its contributions", "mpl-2.0", "licensable exploit"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license", "epl", "eclipse public license"),
+    ("the accompanying program is provided under the terms of this eclipse public license any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement", "epl", "eclipse recipient"),
+    *((f"spdx license identifier {words}", label, f"identifier {words}") for label, words in (
+        ("mit", "mit"), ("apache-2.0", "apache 2 0"), ("gpl-2.0", "gpl 2 0"), ("gpl-3.0", "gpl 3 0"), ("lgpl", "lgpl 2 1"), ("lgpl", "lgpl 3 0"), ("agpl", "agpl 3 0"), ("bsd-2-clause", "bsd 2 clause"), ("bsd-3-clause", "bsd 3 clause"),
+        ("mpl-2.0", "mpl 2 0"), ("epl", "epl 2 0"), ("isc", "isc"), ("zlib", "zlib"), ("unlicense", "unlicense"), ("cc0-1.0", "cc0 1 0"), ("cc-by-4.0", "cc by 4 0"), ("cc-by-sa-4.0", "cc by sa 4 0"), ("bsl-1.0", "bsl 1 0"),
+    )),
 )
 #: Words too common to vote alone. Fixed values.
 COMMON = frozenset("a all an and any are as at be by for from in is it of on or that the this to under use with without you".split())
@@ -195,7 +221,7 @@ def scan(docs: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null and empty texts have no words, no labels and the score 0; very long texts are scanned whole. Score is the best
-    share of a template's grams that a span holds; ties are of no account. Repeated rows get equal results; null
+    share of a notice's grams that a span holds, 0 where only phrases are found; ties are of no account. Repeated rows get equal results; null
     doc_ids are no obstacle; extra columns are ignored, whatever their names; an empty table gives an empty table.
     """
     known = templates(p)
@@ -207,7 +233,7 @@ def scan(docs: DataFrame, p: ScanParams = ScanParams()) -> DataFrame:
     got = found.groupBy(*ROW).agg(
         F.count_if(base).alias("n_base"), F.min(F.when(base, F.col("first"))).alias("first_word"), F.max(F.when(base, F.col("first"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
-        F.max("score").alias("score"),
+        F.max(F.when(~base, F.col("score"))).alias("score"),
     )
     words = held.select(*ROW, F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"))
     g = got.select(*(F.col(c).alias(f"g_{c}") for c in ROW), "n_base", "first_word", "last_word", "base_labels", "labels", "score")

@@ -31,7 +31,7 @@ def brute(text):
             ts = {t for _, t in run}
             if len(run) >= x.need and ts.issuperset(x.whole) and {t + k for t in ts for k in (0, 1)}.issuperset(x.telling):
                 labels.add(x.label)
-                score = max(score, len(run) / len(x.votes))
+                score = score if x.base else max(score, len(run) / len(x.votes))
     return ",".join(sorted(labels)), round(score, 9)
 
 
@@ -77,3 +77,16 @@ def test_rows_of_one_id_and_hot_texts(spark):
     rows = [(1, "mit license"), (1, "apache license"), (1, "apache license"), (None, "mit license mit license"), (None, None), (2, "general public license " * 5000), (3, ("permission is hereby granted free of charge " * 3000))]
     got = sorted(((r.doc_id or 0, r.n_words, r.n_base, r.base_labels) for r in ls.scan(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, template string, t int")).collect()))
     assert got == [(0, 0, 0, ""), (0, 4, 2, "mit"), (1, 2, 1, "apache"), (1, 2, 1, "apache"), (1, 2, 1, "mit"), (2, 15000, 5000, "gpl"), (3, 21000, 0, "")]
+
+
+NAMED = [
+    ("// SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0"), ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("under the BSD-3-Clause license", "bsd-3-clause"), ("CC BY-ND 4.0", "cc-by-nd-4.0"),
+    ("Licensed under CC-BY-NC-SA 4.0.", "cc-by-nc-sa-4.0"), ("under the Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa-4.0"),
+]
+
+
+def test_tags_and_short_names(spark):
+    for (text, label), r in zip(NAMED, scan(spark, [t for t, _ in NAMED]), strict=True):
+        assert r.labels == label and (r.labels, round(r.score, 9)) == brute(text), (text, r)
+    phrase, notice = scan(spark, ["the apache license is named", "released under the mit license"])
+    assert (phrase.labels, phrase.score) == ("apache", 0.0) and (notice.labels, notice.score) == ("mit", 1.0)
