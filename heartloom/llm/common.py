@@ -1,13 +1,16 @@
-"""Small helpers that several operators share: lineage cuts, size-checked broadcasts, table access."""
+"""Small helpers that several operators share: size-checked broadcasts, hot keys, table access."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heartloom.lineage import cut, shared_folder
+
+__all__ = ["cut", "table", "small", "light", "hot_keys", "dealt", "spread", "bounded_batches", "shared_place", "SALT"]
+
 #: Bytes of a wider table that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 #: Rows of narrow (id, id) pairs that may be broadcast; a hashed relation of them stays under about 32 MB.
@@ -18,34 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir, which the driver and all executors share.
-
-    A folder of our own is set only where a local session has none, as in tests; a cluster without one is an error, for
-    a folder of one machine would be lost with it.
-    """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="heartloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def shared_place(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody uses yet."""
-    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder.
-
-    Set spark.cleaner.referenceTracking.cleanCheckpoints on long-lived sessions, so that checkpoints go with the tables
-    that used them.
-    """
-    shared(df.sparkSession)
-    return df.checkpoint()
+    """A path in the folder that all share (``lineage.shared_folder``) that nobody uses yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 #: Bytes of an Arrow batch where the session sets no bound of its own.

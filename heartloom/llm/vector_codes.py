@@ -52,28 +52,34 @@ def whole(x: np.ndarray) -> np.ndarray:
 
 
 class Blocks:
-    """Sums and residual norms of rows of integers, over blocks of halving size, coarse to fine."""
+    """Rows of integers by column, and their sums and residual norms over blocks of halving size, coarse to fine."""
 
     def __init__(self, rows: np.ndarray) -> None:
         width = rows.shape[1]
-        self.rows, self.norms, self.levels = rows, (rows * rows).sum(1).astype(np.float64), []
+        self.n, self.columns = len(rows), list(np.ascontiguousarray(rows.T))
+        self.norm = float((rows.astype(np.float64) ** 2).sum(1).max()) if len(rows) else 0.0
+        self.levels: list[list[np.ndarray]] = []  # of each level: a sum and a norm for each block, scaled to add up as squares
         edges = [0, width]
         while max(np.diff(edges)) > 1:
-            starts, sizes = np.array(edges[:-1]), np.diff(edges)
-            sums = np.add.reduceat(rows, starts, axis=1).astype(np.float64)
-            rest = np.add.reduceat(rows * rows, starts, axis=1).astype(np.float64) - sums * sums / sizes
-            self.levels.append((sums / np.sqrt(sizes), np.sqrt(np.maximum(rest, 0.0))))
-            edges = sorted({*edges, *((a + b) // 2 for a, b in zip(edges[:-1], edges[1:], strict=True))})
-
-
-def _bound(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Lower bounds of every row of a against every row of b, up to rounding."""
-    out = np.zeros((len(a[0]), len(b[0])))
+            level = []
+            for x, y in zip(edges[:-1], edges[1:], strict=True):
+                total = sum(self.columns[x:y])
+                squares = sum(c * c for c in self.columns[x:y])
+                level.append(total / np.sqrt(y - x))
+                if y - x > 1:
+                    level.append(np.sqrt(np.maximum(squares - total.astype(np.float64) ** 2 / (y - x), 0.0)))
+            self.levels.append(level)
+            edges = sorted({*edges, *((x + y) // 2 for x, y in zip(edges[:-1], edges[1:], strict=True))})
+
+
+def _squares(a: list[np.ndarray], b: list[np.ndarray], r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs (r, c) over columns."""
+    out = None
     for x, y in zip(a, b, strict=True):
-        for k in range(x.shape[1]):
-            d = x[:, k, None] - y[None, :, k]
-            d *= d
-            out += d
+        d = x[r]
+        d -= y[c]
+        d *= d
+        out = d if out is None else np.add(out, d, out=out)
     return out
 
 
@@ -82,16 +88,19 @@ def nearest(rows: np.ndarray, book: Blocks) -> tuple[np.ndarray, np.ndarray, int
     if not len(rows):
         return np.empty(0, np.int64), np.empty(0, np.int64), 0
     mine = Blocks(rows)
-    slack = SLACK * (mine.norms.max() + book.norms.max() + 1.0)
-    bound = _bound(mine.levels[0], book.levels[0]) if mine.levels else np.zeros((len(rows), len(book.rows)))
-    first = bound.argmin(1)
-    top = ((rows - book.rows[first]) ** 2).sum(1)  # exact: an upper bound of the least distance
-    r, c = np.divmod(np.flatnonzero(bound <= (top + slack)[:, None]), len(book.rows))
-    for level in range(1, len(mine.levels)):
-        fine = sum(((a[r] - b[c]) ** 2).sum(1) for a, b in zip(mine.levels[level], book.levels[level], strict=True))
-        keep = fine <= top[r] + slack
+    slack = SLACK * (mine.norm + book.norm + 1.0)
+    bound = np.zeros((mine.n, book.n))
+    for x, y in zip(mine.levels[0], book.levels[0], strict=True) if mine.levels else ():
+        d = x[:, None] - y[None, :]
+        d *= d
+        bound += d
+    every = np.arange(mine.n)
+    top = _squares(mine.columns, book.columns, every, bound.argmin(1))  # exact: an upper bound of the least distance
+    r, c = np.divmod(np.flatnonzero(bound <= (top + slack)[:, None]), book.n)
+    for x, y in zip(mine.levels[1:], book.levels[1:], strict=True):
+        keep = _squares(x, y, r, c) <= top[r] + slack
         r, c = r[keep], c[keep]
-    exact = ((rows[r] - book.rows[c]) ** 2).sum(1)  # by row, entries rising, at least the first one in each
+    exact = _squares(mine.columns, book.columns, r, c)  # by row, entries rising, at least the first one in each
     lead = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
     least = np.minimum.reduceat(exact, lead)
     tied = np.flatnonzero(exact == least[r])
