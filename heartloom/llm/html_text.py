@@ -41,18 +41,19 @@ NAMED = {"article", "div", "section", "aside", "nav", "header", "footer", "figur
 #: Words in names of what readers and advertisers add; an article among them is not the page's own.
 READERS = {
     "ad", "ads", "adslot", "adsense", "advert", "adverts", "advertise", "advertisement", "advertisements", "advertising", "advertorial", "comment", "comments", "commentlist", "disqus", "recommendation", "recommendations",
-    "recommended", "related", "replies", "reply", "respond", "sponsor", "sponsored", "sponsors", "teaser", "teasers",
+    "outbrain", "promoted", "recommended", "related", "replies", "reply", "respond", "sponsor", "sponsored", "sponsors", "taboola", "teaser", "teasers",
 }
 #: Words in names of what serves the page.
 SERVICE = {
-    "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "disclaimer", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination",
-    "popup", "promo", "promos", "promotion", "share", "sharing", "sidebar", "signup", "social", "subscribe", "subscription", "toolbar", "widget", "widgets",
+    "alert", "alerts", "banner", "breadcrumb", "breadcrumbs", "consent", "cookie", "cookies", "copyright", "disclaimer", "footer", "gdpr", "header", "lightbox", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation",
+    "newsletter", "notice", "notices", "notification", "notifications", "overlay", "pager", "pagination", "popup", "promo", "promos", "promotion", "searchform", "share", "sharing", "sidebar", "signup", "social", "subscribe",
+    "subscription", "toast", "toolbar", "topbar", "widget", "widgets",
 }
 #: Words that say nothing of what an element holds.
 GENERIC = {
-    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "entry", "fixed", "form", "icon", "icons", "id", "inline", "inner", "item",
-    "items", "large", "left", "link", "links", "list", "media", "mobile", "outer", "page", "pages", "panel", "post", "posts", "reader", "right", "row", "section", "site", "slot", "small", "sticky", "stories", "the", "this",
-    "thread", "top", "unit", "user", "wrap", "wrapper",
+    "area", "article", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "col", "column", "container", "content", "desktop", "entry", "first", "fixed", "form", "full", "global", "icon", "icons", "id", "inline", "inner", "item",
+    "items", "large", "last", "left", "link", "links", "list", "main", "media", "mobile", "outer", "page", "pages", "panel", "post", "posts", "primary", "reader", "right", "row", "secondary", "section", "site", "slot", "small", "sticky", "stories", "the", "this",
+    "thread", "top", "unit", "user", "wide", "wrap", "wrapper",
 }
 #: Places of a block: surely boilerplate, boilerplate if its names can be trusted, nothing known, in the main text.
 BAD, DOUBTFUL, UNKNOWN, MAIN = -2, -1, 0, 1
