@@ -68,8 +68,25 @@ def _sql(spark: SparkSession, text: str, tables: dict[str, DataFrame]) -> DataFr
     return spark.sql(text, **tables)
 
 
+#: Orders of one partition of the candidates, each of which makes 30 of them.
+ORDERS = 60_000
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, FEATURES, _views(spark, sf_dir, "orders", "lineitem"))
+    """The rows of FEATURES. Orders meet the sums of their lines before each is made into its 30 candidates, so the shuffles
+    hold orders and lines alone; the candidates of a window lie in one partition, whose size is bounded.
+    """
+    views = _views(spark, sf_dir, "orders", "lineitem")
+    parts = max(spark.sparkContext.defaultParallelism, -(-views["orders"].count() // ORDERS))
+    own, features = CANDIDATES.split("FROM (", 1)[0], FEATURES.split("LEFT JOIN (", 1)[1].split("  FROM lineitem", 1)[0]
+    sums = _sql(spark, f"{features} FROM lines GROUP BY l_orderkey", {"lines": views["lineitem"].repartition(parts, "l_orderkey")})
+    names = [c for c in sums.columns if c != "l_orderkey"]
+    orders = views["orders"].select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
+    both = orders.join(sums, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    text = own + ", " + ", ".join(f"o.{n} AS {n}" for n in names) + " FROM (SELECT *, o_orderkey AS k FROM both) o" + CANDIDATES.split(") o", 1)[1]
+    held = _sql(spark, text, {"both": both})
+    shown = FEATURES.split("SELECT ", 1)[1].split("FROM (", 1)[0].replace("l.", "c.")
+    return _sql(spark, f"SELECT {shown} FROM held c", {"held": held})
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heartloom.missing import ContractError, fin, require_none, require_same_keys, require_unique
-from heartloom.schemas import AUDIT_KEY, CANDIDATE_KEY, STATUSES, condition_dim, method_dim, roi_dim
+from heartloom.schemas import AUDIT_KEY, CANDIDATE_KEY, CONDITIONS, METHODS, ROIS, STATUSES, condition_dim, method_dim, roi_dim
 
 
 def grid(references: DataFrame, methods: bool) -> DataFrame:
@@ -17,29 +17,54 @@ def grid(references: DataFrame, methods: bool) -> DataFrame:
     return references.select("subject", "window_id").join(F.broadcast(dims), F.lit(True))
 
 
+def missing_keys(references: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Keys of ``grid(references, True)`` that no candidate has.
+
+    A window's candidates are summed into one number with a bit for each cell of the protocol, so a row for each window,
+    and not one for each key, meets its reference.
+    """
+    cells = [(c[0], r, m) for c in CONDITIONS for r in ROIS for m in METHODS]
+    bits = references.sparkSession.createDataFrame([(*cell, 1 << i) for i, cell in enumerate(cells)], "condition string, roi string, method string, bit long")
+    seen = candidates.join(F.broadcast(bits), ["condition", "roi", "method"]).groupBy("subject", "window_id").agg(F.bit_or("bit").alias("seen"))
+    gone = lambda i: (F.coalesce("seen", F.lit(0)).bitwiseAND(F.lit(1 << i)) == 0)
+    each = F.array_compact(F.array(*(F.when(gone(i), F.struct(*(F.lit(v).alias(k) for k, v in zip(("condition", "roi", "method"), cell, strict=True)))) for i, cell in enumerate(cells))))
+    out = references.select("subject", "window_id").join(seen, ["subject", "window_id"], "left").select("subject", "window_id", F.explode(each).alias("cell"))
+    return out.select("subject", "cell.condition", "window_id", "cell.roi", "cell.method")
+
+
 def _differ(a: F.Column, b: F.Column, rtol: float = 0.0, atol: float = 1e-9) -> F.Column:
     """Neither both missing nor within tolerance."""
     return ~F.coalesce(F.abs(a - b) <= atol + rtol * F.abs(b), a.isNull() & b.isNull())
 
 
 def reference_mismatches(references: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Windows' references as candidates have them (and how many have them so, column n) that aren't the canonical one."""
     known = references.select("subject", "window_id", F.col("reference_hr_bpm").alias("hr"), F.col("reference_valid").alias("valid"))
-    both = candidates.join(known, ["subject", "window_id"])
+    held = candidates.groupBy("subject", "window_id", "reference_hr_bpm", "reference_valid").agg(F.count("*").alias("n"))
+    both = held.join(known, ["subject", "window_id"])
     return both.filter(_differ(fin("reference_hr_bpm"), fin("hr")) | ~F.col("reference_valid").eqNullSafe(F.col("valid")))
 
 
-def status_violations(c: DataFrame) -> DataFrame:
+def status_broken() -> F.Column:
     """Unknown status; ok without an estimate; not ok with an estimate or an error."""
     ok = F.col("window_status") == "ok"
     some = F.col("rppg_hr_bpm").isNotNull() | F.col("signed_error_bpm").isNotNull() | F.col("absolute_error_bpm").isNotNull()
-    return c.filter(F.coalesce(~F.col("window_status").isin(*STATUSES), F.lit(True)) | (ok & fin("rppg_hr_bpm").isNull()) | (~ok & some))
+    return F.coalesce(~F.col("window_status").isin(*STATUSES), F.lit(True)) | (ok & fin("rppg_hr_bpm").isNull()) | (~ok & some)
 
 
-def error_violations(c: DataFrame) -> DataFrame:
+def status_violations(c: DataFrame) -> DataFrame:
+    return c.filter(status_broken())
+
+
+def error_broken() -> F.Column:
     """Errors that aren't estimate less reference, or are there without both."""
     want = fin("rppg_hr_bpm") - fin("reference_hr_bpm")
     wrong = lambda a, b: F.when(want.isNull(), a.isNotNull()).otherwise(_differ(a, b, 1e-5, 1e-8))
-    return c.filter(wrong(F.col("signed_error_bpm"), want) | wrong(F.col("absolute_error_bpm"), F.abs(want)))
+    return wrong(F.col("signed_error_bpm"), want) | wrong(F.col("absolute_error_bpm"), F.abs(want))
+
+
+def error_violations(c: DataFrame) -> DataFrame:
+    return c.filter(error_broken())
 
 
 def strength_violations(audit: DataFrame) -> DataFrame:
