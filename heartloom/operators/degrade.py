@@ -4,51 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
+from heartloom.functions import gathered
 from heartloom.operators.windows import window_rows
+from heartloom.schemas import RATES
 
 
-def pick_frames(times: Column, start: Column, end: Column, fps: Column) -> Column:
-    """Indices (from 0) of the frames picked for evenly spaced ticks, in the order of picking.
-
-    Each tick takes the nearest frame not yet taken, the one of lower index of two equally near; it stops when none is
-    left. Frames and ticks are folded over in order of time: of the frames not taken, only the last one passed and the
-    next one ahead can be nearest, so a step looks at two frames, is exact and stays in the JVM.
-    """
-    ticks = F.bround((end - start) * fps, 0).cast("int")
-    frames = F.array_sort(F.transform(times, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
-
-    def fold(fs: Column) -> Column:
-        passed = F.transform(fs, lambda f, k: F.struct(f["t"].alias("t"), F.lit(0).alias("tick"), k.alias("k")))
-        marks = F.transform(F.sequence(F.lit(0), ticks - 1), lambda k: F.struct((start + k / fps).alias("t"), F.lit(1).alias("tick"), k.alias("k")))
-        none = F.array().cast("array<int>")
-        # ahead: the first frame neither passed nor taken; behind: those passed and not taken, in order of time
-        state = F.struct(F.lit(0).alias("ahead"), none.alias("behind"), none.alias("taken"))
-        return F.aggregate(F.array_sort(F.concat(passed, marks)), state, lambda s, e: F.when(e["tick"] == 1, taken(fs, s, e["t"])).when(e["k"] < s["ahead"], s).otherwise(after(e["k"] + 1, F.array_append(s["behind"], e["k"]), s["taken"])), lambda s: s["taken"])
-
-    return F.when(ticks > 0, F.element_at(F.transform(F.array(frames), fold), 1)).otherwise(F.array().cast("array<int>"))
-
-
-def after(ahead: Column, behind: Column, taken: Column) -> Column:
-    return F.struct(ahead.alias("ahead"), behind.alias("behind"), taken.alias("taken"))
-
-
-def taken(fs: Column, s: Column, tick: Column) -> Column:
-    """The state of ``pick_frames`` after a tick took its frame."""
-    left = lambda k: F.get(fs, F.get(s["behind"], F.size(s["behind"]) - k))
-    own, right = left(1)["t"], F.get(fs, s["ahead"])
-    # of frames of one time the lowest index goes first
-    lowest = F.when(left(2)["t"] == own, F.array_min(F.filter(s["behind"], lambda k: F.get(fs, k)["t"] == own))).otherwise(F.get(s["behind"], F.size(s["behind"]) - 1))
-
-    def step(k: Column) -> Column:
-        dl, dr = F.abs(own - tick), F.abs(right["t"] - tick)
-        back = k.isNotNull() & (right.isNull() | (dl < dr) | ((dl == dr) & (F.get(fs, k)["i"] < right["i"])))
-        took = after(s["ahead"], F.array_remove(s["behind"], k), F.array_append(s["taken"], F.get(fs, k)["i"]))
-        return F.when(back, took).when(right.isNotNull(), after(s["ahead"] + 1, s["behind"], F.array_append(s["taken"], right["i"]))).otherwise(s)
-
-    return F.element_at(F.transform(F.array(lowest), step), 1)
+@pandas_udf(ArrayType(IntegerType()))
+def pick_frames(times: pd.Series, start: pd.Series, end: pd.Series, fps: pd.Series) -> pd.Series:
+    """``gathered.pick`` of each row's list of times."""
+    return pd.Series([gathered.pick(np.asarray(t, float), *x) for t, *x in zip(times, start.tolist(), end.tolist(), fps.tolist(), strict=True)], dtype=object)
 
 
 def downsample(windows: DataFrame, frames: DataFrame, fps: float) -> DataFrame:
@@ -65,7 +36,8 @@ def downsample_all(windows: DataFrame, frames: DataFrame, rates: dict[str, float
     here = F.when(F.col("time_sec").isNotNull(), F.struct("frame_idx", "time_sec"))
     each = window_rows(held, frames.select("subject", "frame_idx", "time_sec"), ["subject"]).groupBy(*held.columns).agg(F.array_sort(F.collect_list(here)).alias("fs"))
     picked = lambda fps: pick_frames(F.col("fs.time_sec"), F.col("start_time_sec"), F.col("end_time_sec"), F.lit(float(fps)))
-    every = F.explode(F.array(*(F.struct(F.lit(name).alias("condition"), picked(fps).alias("ks")) for name, fps in rates.items())))
+    each = each.withColumns({f"__{i}": picked(fps) for i, fps in enumerate(rates.values())})
+    every = F.explode(F.array(*(F.struct(F.lit(name).alias("condition"), F.col(f"__{i}").alias("ks")) for i, name in enumerate(rates))))
     rows = each.select("subject", "window_id", "fs", every.alias("c")).select("subject", "window_id", "fs", "c.condition", F.posexplode("c.ks").alias("sel_seq", "k"))
     return rows.select("subject", "window_id", F.get("fs", F.col("k"))["frame_idx"].alias("frame_idx"), F.get("fs", F.col("k"))["time_sec"].alias("time_sec"), F.col("sel_seq").cast("bigint").alias("sel_seq"), "condition")
 
@@ -77,18 +49,23 @@ def drift(time: Column, width: Column, fraction: Column | float) -> tuple[Column
     return F.sin(phase) * width * fraction, F.sin(phase * 2) * 0.5 * width * fraction
 
 
-def condition_traces(windows: DataFrame, original: DataFrame, shifted: DataFrame | None = None) -> DataFrame:
-    """Long traces of all conditions: the original, two lower frame rates of it, and given traces of shifted regions.
+def source_traces(original: DataFrame, shifted: DataFrame | None = None) -> DataFrame:
+    """Long traces of the conditions that have frames of their own: the original and given traces of shifted regions.
 
     The original's shift is 0 and its retention 1 in every frame, with or without a face. shifted has a condition
     column and its own frames.
     """
-    plain = original.drop("sel_seq").withColumns({"roi_shift_fraction": F.lit(0.0), "roi_shift_x_px": F.lit(0.0), "roi_shift_y_px": F.lit(0.0), "retention_ratio": F.lit(1.0)})
     order = F.col("frame_idx").cast("bigint")
-    kept = downsample_all(windows, plain.select("subject", "frame_idx", "time_sec").distinct(), {"fps15": 15.0, "fps10": 10.0})
+    plain = original.withColumns({"roi_shift_fraction": F.lit(0.0), "roi_shift_x_px": F.lit(0.0), "roi_shift_y_px": F.lit(0.0), "retention_ratio": F.lit(1.0), "condition": F.lit("original"), "sel_seq": order})
+    return plain if shifted is None else plain.unionByName(shifted.withColumn("sel_seq", order).select(*plain.columns))
+
+
+def condition_traces(windows: DataFrame, original: DataFrame, shifted: DataFrame | None = None) -> DataFrame:
+    """Long traces of all conditions: those of ``source_traces``, and two lower frame rates of the original."""
+    sources = source_traces(original, shifted)
+    plain = source_traces(original)
+    kept = downsample_all(windows, plain.select("subject", "frame_idx", "time_sec").distinct(), RATES)
     place = F.struct("condition", (F.col("window_id") * 1_000_000 + F.col("sel_seq")).alias("sel_seq"))
     uses = kept.groupBy("subject", "frame_idx").agg(F.collect_list(place).alias("uses"))  # as many as the rates and the windows a frame is in
-    own = F.array(F.struct(F.lit("original").alias("condition"), order.alias("sel_seq")))
-    each = plain.join(uses, ["subject", "frame_idx"], "left").withColumn("use", F.explode(F.concat(own, F.coalesce("uses", F.array().cast("array<struct<condition:string,sel_seq:bigint>>")))))
-    out = each.select(*plain.columns, "use.condition", "use.sel_seq")
-    return out if shifted is None else out.unionByName(shifted.withColumn("sel_seq", order).select(*out.columns))
+    each = plain.drop("condition", "sel_seq").join(uses, ["subject", "frame_idx"]).withColumn("use", F.explode("uses"))
+    return sources.unionByName(each.select("*", "use.condition", "use.sel_seq").select(*sources.columns))

@@ -41,6 +41,18 @@ def window_rows(windows: DataFrame, rows: DataFrame, keys: list[str], length: fl
     return w.join(r, cond, "left").select(*(F.col(f"w.{c}") for c in windows.columns), *(F.col(f"r.{c}") for c in rows.columns if c not in windows.columns))
 
 
+#: Windows up to this many are broadcast to their frames (about 50 MB); of more, both are shuffled.
+FEW = 300_000
+
+
+def frames_in(windows: DataFrame, rows: DataFrame, few: bool, length: float = WINDOW_SEC) -> DataFrame:
+    """rows of the same subject whose time is in a window's [start, end), with the windows' columns; empty windows are left
+    out. With ``few``, the windows are broadcast and no row is shuffled."""
+    spread = windows.withColumn("__b", F.explode(F.sequence(F.floor(F.col("start_time_sec") / length), F.floor(F.col("end_time_sec") / length))))
+    joined = rows.withColumn("__b", F.floor(F.col("time_sec") / length)).join(F.broadcast(spread) if few else spread, ["subject", "__b"])
+    return joined.filter((F.col("time_sec") >= F.col("start_time_sec")) & (F.col("time_sec") < F.col("end_time_sec"))).drop("__b")
+
+
 def in_windows(windows: DataFrame, rows: DataFrame, keys: list[str], length: float = WINDOW_SEC) -> DataFrame:
     """The same with each window's rows alone, or one row without time where it has none."""
     joined = window_rows(windows, rows, keys, length)
